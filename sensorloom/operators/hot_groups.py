@@ -1,0 +1,100 @@
+"""Groups that hold a large share of all events.
+
+In the plain aggregate every task sends one quantile summary per column and
+group, and one reducer merges all summaries of a group. For a session with
+billions of events that is one summary from every input split, so the merge of
+that one group is spread here: events are first aggregated by (group, salt) and
+the few salted rows of a group are merged afterwards. Nothing is dropped, and no
+task sees more than its salt's share of a group.
+
+Moments merge exactly (count, mean and squared deviation per salt). The median
+uses a mergeable quantile sketch sized for a rank error of about 1e-4, the same
+as the default accuracy of the plain path; it returns an actual element too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sensorloom.functions.columns import SUMMARISED
+
+# Largest sketch Spark offers; held only for hot groups, a few at a time.
+SKETCH_SIZE = 65535
+SALTS = 64
+
+
+def find_hot_groups(profile: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """Keys with more than ``threshold`` events, from an event profile.
+
+    There are fewer than (all events / threshold) of them by construction.
+    """
+    counts = profile.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"))
+    return counts.where(F.col("n_rows") > threshold).select(*keys)
+
+
+def summarise_hot_groups(
+    events: DataFrame, keys: list[str], carry: list[str], salts: int = SALTS
+) -> DataFrame:
+    """The metrics of the given events per ``keys``, by way of (keys, salt)."""
+    # The salt is the input split's number: a task still sends one buffer per
+    # group, and the splits of one group spread over `salts` reducers.
+    salted = events.withColumn("salt", F.spark_partition_id() % salts)
+    first = [
+        F.count("*").alias("n_events"),
+        F.min("timestamp").alias("t_min"),
+        F.max("timestamp").alias("t_max"),
+        *[F.max(c).alias(c) for c in carry],
+    ]
+    for name, column in SUMMARISED.items():
+        first += [
+            F.count(column).alias(f"{name}_nn"),
+            F.count_if(~F.isnan(column)).alias(f"{name}_real"),
+            F.avg(column).alias(f"{name}_avg"),
+            (F.var_pop(column) * F.count(column)).alias(f"{name}_dev"),
+            F.min(column).alias(f"{name}_min"),
+            F.max(column).alias(f"{name}_max"),
+            # The sketch skips NaN, which sorts above everything: park it at the top.
+            F.kll_sketch_agg_double(
+                F.nanvl(F.col(column), F.lit(float("inf"))), F.lit(SKETCH_SIZE)
+            ).alias(f"{name}_sketch"),
+        ]
+    parts = salted.groupBy(*keys, "salt").agg(*first)
+
+    # At most `salts` rows per group from here on.
+    whole = Window.partitionBy(*keys)
+    means = {
+        f"{name}_mean": F.sum(F.col(f"{name}_avg") * F.col(f"{name}_nn")).over(whole)
+        / F.nullif(F.sum(f"{name}_nn").over(whole), F.lit(0))
+        for name in SUMMARISED
+    }
+    second = [
+        F.sum("n_events").alias("n_events"),
+        (F.max("t_max") - F.min("t_min")).alias("duration_ms"),
+        *[F.max(c).alias(c) for c in carry],
+    ]
+    for name in SUMMARISED:
+        second += _merged(name)
+    return parts.withColumns(means).groupBy(*keys).agg(*second)
+
+
+def _merged(name: str) -> list[Column]:
+    n = F.sum(f"{name}_nn")
+    mean = F.first(f"{name}_mean", True)
+    gap = F.col(f"{name}_avg") - F.col(f"{name}_mean")
+    deviation = F.sum(F.col(f"{name}_dev") + F.col(f"{name}_nn") * gap * gap)
+    middle = F.kll_sketch_get_quantile_double(
+        F.kll_merge_agg_double(f"{name}_sketch"), F.lit(0.5)
+    )
+    median = F.when(
+        n > 0,
+        F.when(F.ceil(n / 2) > F.sum(f"{name}_real"), F.lit(float("nan"))).otherwise(middle),
+    )
+    return [
+        mean.alias(f"{name}_mean"),
+        median.alias(f"{name}_p50"),
+        F.when(n > 1, F.sqrt(deviation / (n - 1))).alias(f"{name}_std"),
+        F.min(f"{name}_min").alias(f"{name}_min"),
+        F.max(f"{name}_max").alias(f"{name}_max"),
+        n.alias(f"{name}_nn"),
+    ]
