@@ -75,8 +75,8 @@ def _on_events(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame],
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded: sums may differ in the last bits across partitionings."""
-    return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    return df.selectExpr(
+        *[f"round(`{c}`, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes]
     )
 
 

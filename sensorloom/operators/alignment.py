@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NOT_FEATURES = {"session_id", "user_id"}
 
@@ -17,20 +17,15 @@ def feature_union(*tables: DataFrame) -> list[str]:
 def project_features(table: DataFrame, features: list[str], labelled: bool) -> DataFrame:
     """``session_id``, the given features as doubles, the label.
 
-    A feature the table lacks, a NULL and a NaN all become 0. Everything is one
-    projection; counts are cast to double so that both sides get one schema.
+    A feature the table lacks, a NULL and a NaN all become 0. Reconciling with a
+    schema adds, orders and casts everything in one projection, so both sides
+    end up with exactly the same types.
     """
-    present = set(table.columns)
-    zero = F.lit(0.0)
-
-    def value(name: str):
-        if name not in present:
-            return zero.alias(name)
-        number = F.col(f"`{name}`").cast("double")
-        return F.coalesce(F.nanvl(number, zero), zero).alias(name)
-
-    label = ["user_id"] if labelled else []
-    return table.select("session_id", *[value(f) for f in features], *label)
+    columns = [T.StructField("session_id", T.StringType())]
+    columns += [T.StructField(name, T.DoubleType()) for name in features]
+    if labelled:
+        columns.append(T.StructField("user_id", T.StringType()))
+    return table.to(T.StructType(columns)).na.fill(0.0, subset=features)
 
 
 def align_train_test_features(

@@ -102,13 +102,13 @@ def pivot_sensors(
         picks.append(F.max("user_id").alias("user_id"))
     if not picks:
         return rows.select("session_id").distinct()
-    features = [
-        F.col(f"pick_{i}")[metric].alias(feature_name(sensor, metric))
-        for i, sensor in enumerate(sensors)
-        for metric in METRICS
-    ]
     label = ["user_id"] if carry_user else []
-    return rows.groupBy("session_id").agg(*picks).select("session_id", *features, *label)
+    names = [feature_name(sensor, metric) for sensor in sensors for metric in METRICS]
+    # Unpacking whole structs and naming by position is two calls; building
+    # hundreds of column objects one by one takes longer than the query.
+    unpacked = [f"pick_{i}.*" for i in range(len(sensors))]
+    wide = rows.groupBy("session_id").agg(*picks).select("session_id", *unpacked, *label)
+    return wide.toDF("session_id", *names, *label)
 
 
 def session_labels(events: DataFrame) -> DataFrame:
