@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.queries import HOT_ROWS, PAIRS, SEEDS  # noqa: F401  (HOT_ROWS documents the twin)
+from catalog.queries import PAIRS, SEEDS
 from catalog.views import (
     FIRST_DAY,
     MODEL_OF_SENSOR,
@@ -12,7 +12,6 @@ from catalog.views import (
     TRAIN_ONLY_SENSOR,
 )
 from sensorloom.functions.columns import METRICS, SUMMARISED
-from sensorloom.operators.baselines import POSITIONS_PER_SLOT  # noqa: F401
 
 COLUMNS = (
     ["uid", "timestamp", "sensor_type"]
@@ -289,9 +288,14 @@ def oracle_sql() -> dict[str, str]:
     class_splits = [SENSOR_EVENTS, CLASS_SESSIONS, *split_sql(0.2)]
     mixed = with_(SENSOR_EVENTS, MIXED)
     all_digest = with_(SENSOR_EVENTS, digest_sql("sensor_events")) + DIGEST_SELECT + " FROM digest"
-    train_aligned = aligned_columns(SENSORS)
     scaler_cells = ", ".join(f"sensor_{s}_{m}" for s in SENSORS for m in METRICS)
-    sql = {
+    aligned_train = (
+        with_(*TRAIN_WIDE, LABELS.format("train"))
+        + f"SELECT w.session_id, {aligned_columns(SENSORS)}, l.user_id "
+        "FROM wide w LEFT JOIN labels_ l ON l.session_id = w.session_id"
+    )
+    aligned_test = with_(*TEST_WIDE) + f"SELECT session_id, {aligned_columns(SEEN)} FROM wide"
+    return {
         "csv_roundtrip_train": train_rows,
         "parquet_roundtrip_train": train_rows,
         "csv_roundtrip_test": with_(SENSOR_EVENTS, TEST) + "SELECT * FROM test",
@@ -354,7 +358,7 @@ HAVING count(DISTINCT u) > 1 OR (count(DISTINCT u) > 0 AND count_if(u IS NULL) >
         + "SELECT uid, round(sqrt(field_0 * field_0 + field_1 * field_1 + field_2 * field_2), 6) "
         "AS mag_012 FROM sensor_events",
         "session_sensor_features_all": all_digest,
-        "hot_group_features": all_digest,
+        "session_sensor_features_by_layout": all_digest,
         "session_features_train": with_(*TRAIN_WIDE, LABELS.format("train"))
         + f"SELECT w.session_id, {wide_columns(SENSORS)}, l.user_id "
         "FROM wide w LEFT JOIN labels_ l ON l.session_id = w.session_id",
@@ -365,11 +369,10 @@ FROM (SELECT session_id, nullif(count_if(sensor_type = '1'), 0)::BIGINT AS n
 LEFT JOIN labels_ l ON l.session_id = w.session_id""",
         "session_features_test": with_(*TEST_WIDE)
         + f"SELECT session_id, {wide_columns(SEEN)} FROM wide",
-        "aligned_train": with_(*TRAIN_WIDE, LABELS.format("train"))
-        + f"SELECT w.session_id, {train_aligned}, l.user_id "
-        "FROM wide w LEFT JOIN labels_ l ON l.session_id = w.session_id",
-        "aligned_test": with_(*TEST_WIDE)
-        + f"SELECT session_id, {aligned_columns(SEEN)} FROM wide",
+        "aligned_train": aligned_train,
+        "aligned_test": aligned_test,
+        "feature_job_train": aligned_train,
+        "feature_job_test": aligned_test,
         "feature_job_sizes": with_(SENSOR_EVENTS, TRAIN, TEST)
         + "".join(
             f"{joiner}SELECT '{side}' AS side, count(DISTINCT session_id) AS n_sessions, "
@@ -407,36 +410,35 @@ FROM sessions JOIN (SELECT user_id, count(*) AS n_class FROM sessions GROUP BY u
             *TRAIN_WIDE,
             f"filled AS (SELECT session_id, {aligned_columns(SENSORS, None)} FROM wide)",
         )
-        + f"""SELECT feature, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std
+        + f"""SELECT feature, printf('%.7e', avg(value)) AS mean, printf('%.7e', stddev_samp(value)) AS std
 FROM (SELECT feature, value FROM filled UNPIVOT (value FOR feature IN ({scaler_cells})))
 GROUP BY feature""",
-        "score_summary": with_(SENSOR_EVENTS, scores_sql(6), SUMMARY)
+        "score_summary": with_(SENSOR_EVENTS, scores_sql(9), SUMMARY)
         + "SELECT model, "
         + ", ".join(
             f"round({c}_macro_f1, 6) AS {c}_macro_f1" for c in ("mean", "std", "min", "max")
         )
         + " FROM summary ORDER BY mean_macro_f1 DESC, model",
-        "paired_score_differences": with_(SENSOR_EVENTS, scores_sql(6), DIFFERENCES)
+        "paired_score_differences": with_(SENSOR_EVENTS, scores_sql(9), DIFFERENCES)
         + "SELECT model_a, model_b, seed, score_a, score_b, "
-        "round(difference, 6) AS difference FROM differences",
+        "round(difference, 9) AS difference FROM differences",
         "wilcoxon_pair": with_(
-            SENSOR_EVENTS, scores_sql(6), WAYS, DIFFERENCES, SIGNED_RANKS, recursive=True
+            SENSOR_EVENTS, scores_sql(9), WAYS, DIFFERENCES, SIGNED_RANKS, recursive=True
         ),
         "wilcoxon_pair_ties": with_(
             SENSOR_EVENTS, scores_sql(2), WAYS, DIFFERENCES, SIGNED_RANKS, recursive=True
         ),
-        "comparison_chart_data": with_(SENSOR_EVENTS, scores_sql(6), SUMMARY)
+        "comparison_chart_data": with_(SENSOR_EVENTS, scores_sql(9), SUMMARY)
         + """SELECT cast(row_number() OVER (ORDER BY mean_macro_f1, model DESC) AS int) AS position,
        model, round(mean_macro_f1, 6) AS mean,
        round(mean_macro_f1 - std_macro_f1, 6) AS lo, round(mean_macro_f1 + std_macro_f1, 6) AS hi,
        round(least(mean_macro_f1 + 0.015, 0.97), 6) AS label_x,
        printf('%.3f', mean_macro_f1) AS label
 FROM summary""",
-        "tuning_rank": with_(SENSOR_EVENTS, scores_sql(6), SUMMARY)
+        "tuning_rank": with_(SENSOR_EVENTS, scores_sql(9), SUMMARY)
         + f"""SELECT CASE s.model {GRID_IDS} END AS grid_id, round(mean_macro_f1, 6) AS mean,
-       round(std_macro_f1, 6) AS std, "rank", seed, macro_f1 AS score
+       round(std_macro_f1, 6) AS std, "rank", seed, round(macro_f1, 6) AS score
 FROM (SELECT *, cast(row_number() OVER (ORDER BY mean_macro_f1 DESC,
         CASE model {GRID_IDS} END) AS int) AS "rank" FROM summary) s
 JOIN scores USING (model)""",
     }
-    return sql

@@ -9,16 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import views
-from sensorloom.functions.columns import METRICS
 from sensorloom.operators import estimators as est
 from sensorloom.operators.baselines import most_frequent_predictions, stratified_predictions
 from sensorloom.operators.features import (
-    GRAIN,
     build_session_features,
     session_sensor_features,
     with_magnitude,
 )
-from sensorloom.operators.hot_groups import find_hot_groups
+from sensorloom.operators.layout import plan_layout
 from sensorloom.operators.quality import (
     event_profile,
     find_mixed_user_sessions,
@@ -42,7 +40,7 @@ from sensorloom.operators.splits import (
     fit_label_index,
     stratified_splits,
 )
-from sensorloom.plans.reports import feature_job, validation_report
+from sensorloom.plans.reports import FeatureTables, feature_job, validation_report
 from sensorloom.sources.events import (
     dataset_audit,
     load_test_data,
@@ -57,8 +55,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SEEDS = [0, 1, 2]
 PAIRS = [("RF", "GBT"), ("LR", "SVM"), ("RF", "Dummy_stratified")]
-# Groups above this count as hot in the hot-group query, so that both paths run.
-HOT_ROWS = 4
+# Sessions above this count as hot in some queries, so that both paths run.
+HOT_ROWS = 13
 
 _QUERIES: dict[str, Query] = {}
 
@@ -218,10 +216,10 @@ def session_sensor_features_all(events: DataFrame) -> DataFrame:
 
 
 @_on_events
-def hot_group_features(events: DataFrame) -> DataFrame:
-    """The same table with its larger groups going through the two-level path."""
-    hot = materialize(find_hot_groups(event_profile(events), GRAIN, HOT_ROWS), "hot")
-    return rounded(session_sensor_features(events, hot_groups=hot), 6)
+def session_sensor_features_by_layout(events: DataFrame) -> DataFrame:
+    """The same table, co-located by session, with its larger sessions kept apart."""
+    layout = plan_layout(materialize(event_profile(events), "profile"), HOT_ROWS)
+    return rounded(session_sensor_features(events, layout=layout), 6)
 
 
 @_on_events
@@ -253,10 +251,26 @@ def aligned_test(events: DataFrame) -> DataFrame:
     return rounded(views.aligned_sides(events)[1])
 
 
+def _feature_job(events: DataFrame) -> FeatureTables:
+    return feature_job(
+        views.train_part(events), views.test_part(events), hot_session_rows=HOT_ROWS
+    )
+
+
+@_on_events
+def feature_job_train(events: DataFrame) -> DataFrame:
+    return rounded(_feature_job(events).train)
+
+
+@_on_events
+def feature_job_test(events: DataFrame) -> DataFrame:
+    return rounded(_feature_job(events).test)
+
+
 @_on_events
 def feature_job_sizes(events: DataFrame) -> DataFrame:
     """Sessions and feature columns of both sides after the feature job."""
-    tables = feature_job(views.train_part(events), views.test_part(events))
+    tables = _feature_job(events)
     sides = [
         side.agg(F.count("*").alias("n_sessions")).select(
             F.lit(name).alias("side"),
@@ -331,7 +345,13 @@ def class_weights_all(events: DataFrame) -> DataFrame:
 @_on_events
 def scaler_stats(events: DataFrame) -> DataFrame:
     train, _, features = views.aligned_sides(events)
-    return rounded(est.scaler_statistics(assemble(train, features, ["session_id"]), features), 4)
+    stats = est.scaler_statistics(assemble(train, features, ["session_id"]), features)
+    # Eight significant digits: the features differ by many orders of magnitude.
+    return stats.select(
+        "feature",
+        F.format_string("%.7e", "mean").alias("mean"),
+        F.format_string("%.7e", "std").alias("std"),
+    )
 
 
 # --- evaluation -------------------------------------------------------------
@@ -339,18 +359,18 @@ def scaler_stats(events: DataFrame) -> DataFrame:
 
 @_on_events
 def score_summary(events: DataFrame) -> DataFrame:
-    return rounded(summarize_model_scores(views.score_table(events, 6)))
+    return rounded(summarize_model_scores(views.score_table(events, 9)))
 
 
 @_on_events
 def paired_score_differences(events: DataFrame) -> DataFrame:
-    return rounded(paired_differences(views.score_table(events, 6), PAIRS))
+    return rounded(paired_differences(views.score_table(events, 9), PAIRS), 9)
 
 
 @_on_events
 def wilcoxon_pair(events: DataFrame) -> DataFrame:
     """No ties: exact p-values."""
-    return rounded(signed_rank_test(paired_differences(views.score_table(events, 6), PAIRS)))
+    return rounded(signed_rank_test(paired_differences(views.score_table(events, 9), PAIRS)))
 
 
 @_on_events
@@ -361,7 +381,7 @@ def wilcoxon_pair_ties(events: DataFrame) -> DataFrame:
 
 @_on_events
 def comparison_chart_data(events: DataFrame) -> DataFrame:
-    return rounded(comparison_chart(summarize_model_scores(views.score_table(events, 6))))
+    return rounded(comparison_chart(summarize_model_scores(views.score_table(events, 9))))
 
 
 @_on_events
@@ -371,11 +391,10 @@ def tuning_rank(events: DataFrame) -> DataFrame:
     grid_id = F.lit(None)
     for model, i in points.items():
         grid_id = F.when(F.col("model") == model, i).otherwise(grid_id)
-    scores = views.score_table(events, 6).select(grid_id.alias("grid_id"), "seed", "macro_f1")
+    scores = views.score_table(events, 9).select(grid_id.alias("grid_id"), "seed", "macro_f1")
     ranked = est.rank_grid(scores)
-    return rounded(ranked.select("grid_id", "mean", "std", "rank", F.posexplode("scores")).select(
-        "grid_id", "mean", "std", "rank", F.col("pos").alias("seed"), F.col("col").alias("score")
-    ))
+    unfolded = ranked.select("grid_id", "mean", "std", "rank", F.posexplode("scores"))
+    return rounded(unfolded.toDF("grid_id", "mean", "std", "rank", "seed", "score"))
 
 
 # --- models (no SQL twin) ---------------------------------------------------
@@ -429,5 +448,3 @@ def final_predictions(events: DataFrame) -> DataFrame:
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
-
-__all__ = ["METRICS", "queries"]

@@ -1,9 +1,8 @@
 """Session features: events -> one wide row per session.
 
-Plan shape: one aggregate over the events by (session, sensor), whose 57 metrics
-are all partial aggregates, so what is shuffled is one small buffer per task and
-group and never the events. The pivot then groups those rows by session; a
-session has at most one row per sensor there.
+Plan shape: one aggregate over the events by (session, sensor), all 57 metrics at
+once and all of them partial aggregates. The pivot then groups those rows by
+session; a session has at most one row per sensor there.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import (
+    MEASUREMENTS,
     METRICS,
     SUMMARISED,
     event_rate,
@@ -21,7 +21,7 @@ from sensorloom.functions.columns import (
     span,
     summary,
 )
-from sensorloom.operators.hot_groups import summarise_hot_groups
+from sensorloom.operators.layout import SessionLayout, aggregate_by_layout
 from sensorloom.operators.quality import get_sensor_types
 
 GRAIN = ["session_id", "sensor_type"]
@@ -35,40 +35,27 @@ def with_magnitude(events: DataFrame) -> DataFrame:
 def session_sensor_features(
     events: DataFrame,
     accuracy: int | None = None,
-    hot_groups: DataFrame | None = None,
+    layout: SessionLayout | None = None,
     carry_user: bool = False,
 ) -> DataFrame:
     """One row per (session, sensor) with the 57 metrics.
 
-    ``hot_groups`` holds the (session, sensor) pairs known to be huge; they go
-    through a two-level aggregate (see :mod:`.hot_groups`). ``carry_user`` adds
-    the session's ``user_id``, valid once no session has two users.
+    ``layout`` (from an event profile) decides how the events are spread; see
+    :mod:`.layout`. ``carry_user`` adds the session's ``user_id``, valid once no
+    session has two users.
     """
-    measured = with_magnitude(events)
-    extra = [F.max("user_id").alias("user_id")] if carry_user else []
-    if hot_groups is None:
-        regular = measured
-    else:
-        hot = _same_group(measured, hot_groups, "left_semi")
-        regular = _same_group(measured, hot_groups, "left_anti")
+    label = ["user_id"] if carry_user else []
     aggregates = [F.count("*").alias("n_events"), span("timestamp").alias("duration_ms")]
     for prefix, column in SUMMARISED.items():
         aggregates += summary(prefix, column, accuracy)
-    rows = regular.groupBy(*GRAIN).agg(*aggregates, *extra)
-    rows = rows.withColumn("event_rate", event_rate())
-    if hot_groups is not None:
-        split = summarise_hot_groups(hot, GRAIN, carry=["user_id"] if carry_user else [])
-        rows = rows.unionByName(split.withColumn("event_rate", event_rate()))
-    return rows.select(*GRAIN, *METRICS, *(["user_id"] if carry_user else []))
+    aggregates += [F.max(c).alias(c) for c in label]
 
+    def aggregate(rows: DataFrame) -> DataFrame:
+        return with_magnitude(rows).groupBy(*GRAIN).agg(*aggregates)
 
-def _same_group(events: DataFrame, groups: DataFrame, how: str) -> DataFrame:
-    # NULL keys form groups of their own, so they have to match NULL.
-    groups = groups.select(*[F.col(k).alias(f"hot_{k}") for k in GRAIN])
-    condition = F.lit(True)
-    for key in GRAIN:
-        condition = condition & events[key].eqNullSafe(groups[f"hot_{key}"])
-    return events.join(groups, condition, how)
+    used = events.select(*GRAIN, "timestamp", *MEASUREMENTS, *label)
+    rows = aggregate(used) if layout is None else aggregate_by_layout(used, layout, aggregate)
+    return rows.withColumn("event_rate", event_rate()).select(*GRAIN, *METRICS, *label)
 
 
 def feature_name(sensor: str | None, metric: str) -> str:
@@ -121,7 +108,7 @@ def build_session_features(
     has_label: bool,
     sensors: Iterable[str | None] | None = None,
     accuracy: int | None = None,
-    hot_groups: DataFrame | None = None,
+    layout: SessionLayout | None = None,
     single_user: bool = False,
 ) -> DataFrame:
     """The wide session table: ``session_id``, features, ``user_id`` if labelled.
@@ -135,7 +122,7 @@ def build_session_features(
     if sensors is None:
         sensors = sensor_values(events)
     carry = has_label and single_user
-    rows = session_sensor_features(events, accuracy, hot_groups, carry)
+    rows = session_sensor_features(events, accuracy, layout, carry)
     wide = pivot_sensors(rows, sensors, carry)
     if carry:
         known = F.col("session_id").isNotNull()

@@ -15,6 +15,7 @@ from sensorloom.operators.estimators import (
     train_final_random_forest,
     tune_on,
 )
+from sensorloom.operators.layout import HOT_SESSION_ROWS
 from sensorloom.operators.quality import (
     find_mixed_user_sessions,
     imbalance,
@@ -26,7 +27,7 @@ from sensorloom.operators.scoring import (
     paired_wilcoxon_test,
     summarize_model_scores,
 )
-from sensorloom.plans.reports import HOT_GROUP_ROWS, audit_of, feature_job_of, profile_events
+from sensorloom.plans.reports import audit_of, feature_job_of, profile_events
 from sensorloom.session import build_session
 from sensorloom.sources.events import load_test_data, load_train_data
 from sensorloom.sources.predictions import write_predictions
@@ -37,7 +38,7 @@ def run_experiment(
     config: dict[str, Any],
     spark: SparkSession | None = None,
     settings: FitSettings = FitSettings(),
-    hot_group_rows: int = HOT_GROUP_ROWS,
+    hot_session_rows: int = HOT_SESSION_ROWS,
 ) -> dict[str, Any]:
     """Load, validate, build features, compare, test, tune, fit, predict, write.
 
@@ -47,7 +48,7 @@ def run_experiment(
     and optional ``output.model_comparison_path``, which gets the chart data.
 
     The events are read twice per side: once for the profile (validation,
-    pivot values, hot groups) and once for the features. A session of two users
+    pivot values, session sizes) and once for the features. A session of two users
     or a session without a user stops the run before features are built.
     """
     spark = spark or build_session()
@@ -63,7 +64,7 @@ def run_experiment(
     if not unlabelled.isEmpty():
         raise ValueError("Data validation failed: training events without session or user.")
 
-    tables = feature_job_of(train, test, hot_group_rows, single_user=True)
+    tables = feature_job_of(train, test, hot_session_rows, single_user=True)
     holdout = prepare_holdout(tables.train, tables.features, seeds)
     scores = materialize(macro_f1(compare_predictions(holdout, settings)), "scores")
     summary = summarize_model_scores(scores)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.operators.alignment import align_train_test_features
-from sensorloom.operators.features import GRAIN, build_session_features
-from sensorloom.operators.hot_groups import find_hot_groups
+from sensorloom.operators.features import build_session_features
+from sensorloom.operators.layout import HOT_SESSION_ROWS, plan_layout
 from sensorloom.operators.quality import (
     event_profile,
     find_mixed_user_sessions,
@@ -21,9 +21,6 @@ from sensorloom.operators.quality import (
 )
 from sensorloom.sources.scratch import materialize
 
-# Events of one (session, sensor) above which the two-level aggregate is used.
-HOT_GROUP_ROWS = 20_000_000
-
 
 @dataclass(frozen=True)
 class Profiled:
@@ -99,24 +96,23 @@ class FeatureTables:
 def feature_job_of(
     train: Profiled,
     test: Profiled,
-    hot_group_rows: int = HOT_GROUP_ROWS,
+    hot_session_rows: int = HOT_SESSION_ROWS,
     single_user: bool = False,
 ) -> FeatureTables:
     """:func:`feature_job` on profiled tables.
 
-    The profile supplies the pivot values of both sides and the groups that are
-    too large for one reducer, so neither costs a pass over the events.
+    The profile supplies the pivot values of both sides and the session sizes
+    the layout is planned from, so neither costs a pass over the events.
     """
     types = train.profile.select("sensor_type").union(test.profile.select("sensor_type"))
     sensors = [r["sensor_type"] for r in get_sensor_types(types).collect()]
-    wide = {}
+    wide: dict[str, DataFrame] = {}
     for side, table in (("train", train), ("test", test)):
-        hot = materialize(find_hot_groups(table.profile, GRAIN, hot_group_rows), "hot")
         wide[side] = build_session_features(
             table.events,
             has_label=side == "train",
             sensors=sensors,
-            hot_groups=None if hot.isEmpty() else hot,
+            layout=plan_layout(table.profile, hot_session_rows),
             single_user=single_user,
         )
     aligned_train, aligned_test, features = align_train_test_features(wide["train"], wide["test"])

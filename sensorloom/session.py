@@ -15,10 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The event aggregate holds nine median summaries per (session, sensor).
-    # The default of 128 groups per task falls back to sorting almost at once;
-    # a few thousand small summaries still fit an executor core's share.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2048",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
