@@ -27,7 +27,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import IndexToString, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators.baselines import (
@@ -277,10 +277,11 @@ def _run_all(tasks: list[Callable[[], DataFrame]], parallel: int, name: str) ->
         rows.write.parquet(path)
         return path, rows
 
+    spark = SparkSession.active()
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futures = [pool.submit(inheritable_thread_target(store), task) for task in tasks]
-        stored = [future.result() for future in futures]
-    spark, schema = stored[0][1].sparkSession, stored[0][1].schema
+        submit = inheritable_thread_target(spark)(store)
+        stored = list(pool.map(submit, tasks))
+    schema = stored[0][1].schema
     return spark.read.schema(schema).parquet(*[path for path, _ in stored])
 
 
