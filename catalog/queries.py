@@ -400,14 +400,18 @@ def tuning_rank(events: DataFrame) -> DataFrame:
 # --- models (no SQL twin) ---------------------------------------------------
 
 
-def _learnable_table(events: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    train, test, features = views.aligned_sides(views.learnable_events(events))
-    return materialize(train, "train"), materialize(test, "test"), features
+def _learnable(events: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    return views.aligned_sides(views.learnable_events(events))
+
+
+def _learnable_train(events: DataFrame) -> tuple[DataFrame, list[str]]:
+    train, _, features = _learnable(events)
+    return materialize(train, "train"), features
 
 
 def _learner(model: str) -> Callable[[DataFrame], DataFrame]:
     def predictions(events: DataFrame) -> DataFrame:
-        train, _, features = _learnable_table(events)
+        train, features = _learnable_train(events)
         data = est.prepare_holdout(train, features, SEEDS[:1])
         return est.learner_predictions(data, model, SEEDS[0], est.LIGHT)
 
@@ -427,20 +431,21 @@ for _name, _model in (
 
 @_on_events
 def model_comparison(events: DataFrame) -> DataFrame:
-    train, _, features = _learnable_table(events)
+    train, features = _learnable_train(events)
     scores = est.compare_models_repeated(train, features, SEEDS, settings=est.LIGHT)
     return rounded(summarize_model_scores(scores))
 
 
 @_on_events
 def forest_tuning(events: DataFrame) -> DataFrame:
-    train, _, features = _learnable_table(events)
+    train, features = _learnable_train(events)
     return est.tune_random_forest(train, features, SEEDS, est.LIGHT)[1]
 
 
 @_on_events
 def final_predictions(events: DataFrame) -> DataFrame:
-    train, test, features = _learnable_table(events)
+    train, test, features = _learnable(events)
+    train = materialize(train, "train")
     model = est.train_final_random_forest(train, features, est.LIGHT.forest, settings=est.LIGHT)
     return est.predict_users(model, test, features)
 

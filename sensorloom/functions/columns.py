@@ -31,32 +31,29 @@ def event_rate() -> Column:
     return F.col("n_events") / (F.col("duration_ms") + 1.0)
 
 
-def span(column: str) -> Column:
-    """Aggregate: largest minus smallest value."""
-    return F.max(column) - F.min(column)
+def metric_aggregates(accuracy: int | None = None) -> list[Column]:
+    """Aggregates: every metric but the event rate.
 
-
-def summary(prefix: str, column: str, accuracy: int | None = None) -> list[Column]:
-    """Aggregates: the six statistics of one event column.
-
-    Mean, sample standard deviation, extremes and non-null count are plain
+    Mean, sample standard deviation, extremes and non-null counts are plain
     partial aggregates. The median is a mergeable quantile summary: an actual
     element of the data, exact up to several thousand values per group.
+
+    Written as SQL fragments: one call each instead of several per column object.
     """
-    median = (
-        F.percentile_approx(column, 0.5)
-        if accuracy is None
-        else F.percentile_approx(column, 0.5, accuracy)
-    )
-    by_name = {
-        "mean": F.avg(column),
-        "p50": median,
-        "std": F.stddev_samp(column),
-        "min": F.min(column),
-        "max": F.max(column),
-        "nn": F.count(column),
+    closeness = "" if accuracy is None else f", {accuracy}"
+    of_column = {
+        "mean": "avg({c})",
+        "p50": "percentile_approx({c}, 0.5" + closeness + ")",
+        "std": "stddev_samp({c})",
+        "min": "min({c})",
+        "max": "max({c})",
+        "nn": "count({c})",
     }
-    return [by_name[stat].alias(f"{prefix}_{stat}") for stat in STATISTICS]
+    fragments = ["count(*) AS n_events", "max(timestamp) - min(timestamp) AS duration_ms"]
+    for prefix, column in SUMMARISED.items():
+        for statistic in STATISTICS:
+            fragments.append(of_column[statistic].format(c=column) + f" AS {prefix}_{statistic}")
+    return [F.expr(fragment) for fragment in fragments]
 
 
 def seeded_digest(*parts: Column | str) -> Column:

@@ -11,10 +11,9 @@ do not pile up on the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
@@ -29,6 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sensorloom.operators.baselines import (
     PREDICTION_COLUMNS,
@@ -44,7 +44,7 @@ from sensorloom.operators.splits import (
     split_sizes,
     stratified_splits,
 )
-from sensorloom.sources.scratch import fresh_path, materialize
+from sensorloom.sources.scratch import fresh_path, in_parallel, materialize
 
 # MLlib's depth limit stands in for "no limit".
 UNLIMITED_DEPTH = 30
@@ -239,7 +239,7 @@ def prepare_holdout(
     """
     seeds = list(dict.fromkeys(seeds))
     sizes = split_sizes(table, test_size)
-    splits = materialize(stratified_splits(table, seeds, test_size), "splits")
+    splits = materialize(stratified_splits(table, seeds, test_size, sizes=sizes), "splits")
     vectors = assemble(table, features, ["session_id", "user_id"])
     index = fit_label_index(table)
     flagged = index.transform(vectors).join(held_out_seeds(splits), "session_id")
@@ -268,21 +268,18 @@ def learner_predictions(data: HoldoutData, model: str, seed: int, settings: FitS
     )
 
 
-def _run_all(tasks: list[Callable[[], DataFrame]], parallel: int, name: str) -> DataFrame:
-    """Run the tasks a few at a time and collect their rows in one scratch table."""
+def _run_all(tasks: list[Callable[[], DataFrame]], at_a_time: int, name: str) -> DataFrame:
+    """Run the tasks a few at a time and gather their rows in one scratch table."""
 
-    def store(task: Callable[[], DataFrame]) -> tuple[str, DataFrame]:
+    def stored(task: Callable[[], DataFrame]) -> tuple[str, StructType]:
         rows = task()
         path = fresh_path(rows.sparkSession, name)
         rows.write.parquet(path)
-        return path, rows
+        return path, rows.schema
 
     spark = SparkSession.active()
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        submit = inheritable_thread_target(spark)(store)
-        stored = list(pool.map(submit, tasks))
-    schema = stored[0][1].schema
-    return spark.read.schema(schema).parquet(*[path for path, _ in stored])
+    written = in_parallel(spark, [partial(stored, task) for task in tasks], at_a_time)
+    return spark.read.schema(written[0][1]).parquet(*[path for path, _ in written])
 
 
 def compare_predictions(
@@ -295,11 +292,10 @@ def compare_predictions(
     for model in models:
         if model in DUMMIES:
             # One plan covers all seeds.
-            tasks.append(lambda m=model: DUMMIES[m](data.splits))
+            tasks.append(partial(DUMMIES[model], data.splits))
         else:
             tasks += [
-                lambda m=model, s=seed: learner_predictions(data, m, s, settings)
-                for seed in data.seeds
+                partial(learner_predictions, data, model, seed, settings) for seed in data.seeds
             ]
     return _run_all(tasks, settings.parallel_fits, "predictions").select(*PREDICTION_COLUMNS)
 
@@ -347,7 +343,7 @@ def grid_scores(data: HoldoutData, settings: FitSettings = FitSettings()) -> Dat
         )
 
     tasks = [
-        lambda g=grid_id, p=params, s=seed: one(g, p, s)
+        partial(one, grid_id, params, seed)
         for grid_id, params in enumerate(settings.grid)
         for seed in data.seeds
     ]

@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from sensorloom.functions.columns import (
     MEASUREMENTS,
     METRICS,
-    SUMMARISED,
     event_rate,
     magnitude,
-    span,
-    summary,
+    metric_aggregates,
 )
 from sensorloom.operators.layout import SessionLayout, aggregate_by_layout
 from sensorloom.operators.quality import get_sensor_types
@@ -45,10 +43,7 @@ def session_sensor_features(
     session has two users.
     """
     label = ["user_id"] if carry_user else []
-    aggregates = [F.count("*").alias("n_events"), span("timestamp").alias("duration_ms")]
-    for prefix, column in SUMMARISED.items():
-        aggregates += summary(prefix, column, accuracy)
-    aggregates += [F.max(c).alias(c) for c in label]
+    aggregates = metric_aggregates(accuracy) + [F.max(c).alias(c) for c in label]
 
     def aggregate(rows: DataFrame) -> DataFrame:
         return with_magnitude(rows).groupBy(*GRAIN).agg(*aggregates)
@@ -64,8 +59,16 @@ def feature_name(sensor: str | None, metric: str) -> str:
 
 
 def sensor_values(events: DataFrame) -> list[str | None]:
-    """The sensor types of a table as pivot values (an action; a handful of rows)."""
-    return [row["sensor_type"] for row in get_sensor_types(events).collect()]
+    """The sensor types of a table as pivot values (an action).
+
+    Meant to be a handful; more than ``spark.sql.pivotMaxValues`` is an error, so
+    a column full of garbage never reaches the driver.
+    """
+    limit = int(events.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    found = [row["sensor_type"] for row in get_sensor_types(events).take(limit + 1)]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} sensor types to pivot")
+    return found
 
 
 def pivot_sensors(

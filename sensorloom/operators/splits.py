@@ -115,6 +115,7 @@ def stratified_splits(
     seeds: Iterable[int],
     test_size: float = 0.2,
     bin_rows: int = ROWS_PER_BIN,
+    sizes: SplitSizes | None = None,
 ) -> DataFrame:
     """``(seed, session_id, user_id, is_valid)``, one exact split per seed (M3).
 
@@ -123,10 +124,11 @@ def stratified_splits(
     go to the largest remainders, ties by a digest of seed and user. Within a
     user the sessions with the smallest digest of seed and session are taken.
 
-    No task sorts more than about ``bin_rows`` sessions of one user.
+    No task sorts more than about ``bin_rows`` sessions of one user. ``sizes``
+    saves a job if :func:`split_sizes` has been asked already.
     """
     seeds = list(dict.fromkeys(seeds))
-    sizes = split_sizes(sessions, test_size)
+    sizes = sizes or split_sizes(sessions, test_size)
     user_bins = F.ceil(F.col("n_class") / bin_rows)
     candidates = (
         sessions.select("session_id", "user_id")

@@ -27,7 +27,7 @@ from sensorloom.operators.scoring import (
     paired_wilcoxon_test,
     summarize_model_scores,
 )
-from sensorloom.plans.reports import audit_of, feature_job_of, profile_events
+from sensorloom.plans.reports import audit_of, feature_job_of, profile_both
 from sensorloom.session import build_session
 from sensorloom.sources.events import load_test_data, load_train_data
 from sensorloom.sources.predictions import write_predictions
@@ -57,8 +57,10 @@ def run_experiment(
     seeds = list(range(int(config.get("evaluation", {}).get("n_seeds", 20))))
     random_state = int(config.get("model", {}).get("random_state", 42))
 
-    train = profile_events(load_train_data(spark, data["train_path"], fmt))
-    test = profile_events(load_test_data(spark, data["test_path"], fmt))
+    train, test = profile_both(
+        load_train_data(spark, data["train_path"], fmt),
+        load_test_data(spark, data["test_path"], fmt),
+    )
     require_single_user_sessions(train.profile)
     unlabelled = train.profile.where(F.col("user_id").isNull() | F.col("session_id").isNull())
     if not unlabelled.isEmpty():

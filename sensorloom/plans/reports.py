@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.operators.alignment import align_train_test_features
-from sensorloom.operators.features import build_session_features
+from sensorloom.operators.features import build_session_features, sensor_values
 from sensorloom.operators.layout import HOT_SESSION_ROWS, plan_layout
 from sensorloom.operators.quality import (
     event_profile,
@@ -19,7 +20,7 @@ from sensorloom.operators.quality import (
     imbalance,
     null_counts_of_profile,
 )
-from sensorloom.sources.scratch import materialize
+from sensorloom.sources.scratch import in_parallel, materialize
 
 
 @dataclass(frozen=True)
@@ -105,24 +106,30 @@ def feature_job_of(
     the layout is planned from, so neither costs a pass over the events.
     """
     types = train.profile.select("sensor_type").union(test.profile.select("sensor_type"))
-    sensors = [r["sensor_type"] for r in get_sensor_types(types).collect()]
-    wide: dict[str, DataFrame] = {}
-    for side, table in (("train", train), ("test", test)):
-        wide[side] = build_session_features(
-            table.events,
-            has_label=side == "train",
+    sensors = sensor_values(types)
+
+    def wide(side: Profiled, labelled: bool) -> DataFrame:
+        return build_session_features(
+            side.events,
+            has_label=labelled,
             sensors=sensors,
-            layout=plan_layout(table.profile, hot_session_rows),
+            layout=plan_layout(side.profile, hot_session_rows),
             single_user=single_user,
         )
-    aligned_train, aligned_test, features = align_train_test_features(wide["train"], wide["test"])
-    return FeatureTables(
-        materialize(aligned_train, "train_features"),
-        materialize(aligned_test, "test_features"),
-        features,
-    )
+
+    both = [partial(wide, train, True), partial(wide, test, False)]
+    aligned = align_train_test_features(*in_parallel(types.sparkSession, both, 2))
+    names = ("train_features", "test_features")
+    stored = [partial(materialize, df, name) for df, name in zip(aligned, names)]
+    return FeatureTables(*in_parallel(types.sparkSession, stored, 2), aligned[2])
+
+
+def profile_both(train: DataFrame, test: DataFrame) -> tuple[Profiled, Profiled]:
+    """Profiles of both sides, computed side by side."""
+    tasks = [partial(profile_events, train), partial(profile_events, test)]
+    return tuple(in_parallel(train.sparkSession, tasks, 2))
 
 
 def feature_job(train: DataFrame, test: DataFrame, **options) -> FeatureTables:
     """Session features of both tables with the same columns."""
-    return feature_job_of(profile_events(train), profile_events(test), **options)
+    return feature_job_of(*profile_both(train, test), **options)

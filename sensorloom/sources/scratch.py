@@ -10,9 +10,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+Result = TypeVar("Result")
+
 _local_roots: dict[str, str] = {}
 
 
@@ -47,3 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_parallel(
+    spark: SparkSession, tasks: list[Callable[[], Result]], at_a_time: int
+) -> list[Result]:
+    """Run actions from a few driver threads, so that their stages share the cluster."""
+
+    def run(task: Callable[[], Result]) -> Result:
+        return task()
+
+    with ThreadPoolExecutor(max_workers=max(1, at_a_time)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), tasks))
