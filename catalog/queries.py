@@ -13,6 +13,7 @@ from sensorloom.operators import estimators as est
 from sensorloom.operators.baselines import most_frequent_predictions, stratified_predictions
 from sensorloom.operators.features import (
     build_session_features,
+    session_labels,
     session_sensor_features,
     with_magnitude,
 )
@@ -40,6 +41,7 @@ from sensorloom.operators.splits import (
     fit_label_index,
     stratified_splits,
 )
+from sensorloom.plans.experiment import run_experiment
 from sensorloom.plans.reports import FeatureTables, feature_job, validation_report
 from sensorloom.sources.events import (
     dataset_audit,
@@ -109,7 +111,7 @@ def parquet_roundtrip_train(events: DataFrame) -> DataFrame:
 def predictions_sink(events: DataFrame) -> DataFrame:
     """Writes the last split's draws of the stratified dummy and reads them back."""
     spark = events.sparkSession
-    splits = stratified_splits(views.sessions(events), [SEEDS[-1]])
+    splits = _splits(events).where(F.col("seed") == SEEDS[-1])
     drawn = stratified_predictions(splits)
     path = fresh_path(spark, "predictions_csv")
     write_predictions(drawn.select("session_id", F.col("prediction").alias("user_id")), path)
@@ -285,33 +287,38 @@ def feature_job_sizes(events: DataFrame) -> DataFrame:
 # --- splits, dummies, metric ------------------------------------------------
 
 
+def _sessions(events: DataFrame) -> DataFrame:
+    """(session, user) pairs as a table: a split looks at them several times."""
+    return materialize(session_labels(events), "sessions")
+
+
 @_on_events
 def label_index(events: DataFrame) -> DataFrame:
-    pairs = views.sessions(events)
+    pairs = _sessions(events)
     indexed = fit_label_index(pairs).transform(pairs)
     return indexed.withColumn("label", F.col("label").cast("bigint"))
 
 
 @_on_events
 def stratified_split(events: DataFrame) -> DataFrame:
-    return stratified_splits(views.sessions(events), SEEDS)
+    return stratified_splits(_sessions(events), SEEDS)
 
 
 @_on_events
 def stratified_split_uneven(events: DataFrame) -> DataFrame:
     """Shares that do not divide, so left-over places are drawn."""
-    return stratified_splits(views.sessions(events), SEEDS, test_size=0.3)
+    return stratified_splits(_sessions(events), SEEDS, test_size=0.3)
 
 
 @_on_events
 def stratified_split_large_classes(events: DataFrame) -> DataFrame:
     """Four large classes, ranked in bins of about 16 sessions."""
-    pairs = views.sessions(views.learnable_events(events))
+    pairs = _sessions(views.learnable_events(events))
     return stratified_splits(pairs, SEEDS, bin_rows=16)
 
 
 def _splits(events: DataFrame) -> DataFrame:
-    return stratified_splits(views.sessions(events), SEEDS)
+    return materialize(stratified_splits(_sessions(events), SEEDS), "splits")
 
 
 @_on_events
@@ -332,14 +339,14 @@ def dummy_stratified_scores(events: DataFrame) -> DataFrame:
 @_on_events
 def macro_f1_scores(events: DataFrame) -> DataFrame:
     """Both dummies over four classes, scored in one pass."""
-    splits = stratified_splits(views.sessions(views.learnable_events(events)), SEEDS)
+    splits = _splits(views.learnable_events(events))
     both = most_frequent_predictions(splits).unionByName(stratified_predictions(splits))
     return rounded(macro_f1(both))
 
 
 @_on_events
 def class_weights_all(events: DataFrame) -> DataFrame:
-    return rounded(class_weights(views.sessions(views.learnable_events(events))))
+    return rounded(class_weights(_sessions(views.learnable_events(events))))
 
 
 @_on_events
@@ -450,6 +457,22 @@ def final_predictions(events: DataFrame) -> DataFrame:
     return est.predict_users(model, test, features)
 
 
+@_on_events
+def experiment(events: DataFrame) -> DataFrame:
+    """The whole job from CSV files to predictions, two seeds."""
+    spark = events.sparkSession
+    folder = fresh_path(spark, "experiment")
+    learnable = views.learnable_events(events)
+    write_events(views.train_part(learnable), f"{folder}/train")
+    write_events(views.test_part(learnable), f"{folder}/test")
+    config = {
+        "data": {"train_path": f"{folder}/train", "test_path": f"{folder}/test"},
+        "evaluation": {"n_seeds": 2},
+        "output": {"submission_path": f"{folder}/submission"},
+    }
+    return run_experiment(config, spark, est.LIGHT)["submission"]
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

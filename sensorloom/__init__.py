@@ -43,4 +43,44 @@ from sensorloom.sources.events import (
 )
 from sensorloom.sources.predictions import write_predictions
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "FOREST_GRID",
+    "FitSettings",
+    "ForestParams",
+    "LIGHT",
+    "TEST_SCHEMA",
+    "TRAIN_SCHEMA",
+    "align_train_test_features",
+    "assemble",
+    "build_session",
+    "build_session_features",
+    "class_weights",
+    "compare_models_repeated",
+    "comparison_chart",
+    "dataset_audit",
+    "feature_job",
+    "find_mixed_user_sessions",
+    "fit_label_index",
+    "get_imbalance_ratio",
+    "get_null_counts",
+    "get_sensor_types",
+    "get_session_size_stats",
+    "get_user_session_counts",
+    "imbalance",
+    "load_test_data",
+    "load_train_data",
+    "macro_f1",
+    "paired_wilcoxon_test",
+    "predict_users",
+    "preview",
+    "require_single_user_sessions",
+    "run_experiment",
+    "session_sensor_features",
+    "signed_rank_test",
+    "stratified_splits",
+    "summarize_model_scores",
+    "train_final_random_forest",
+    "tune_random_forest",
+    "validation_report",
+    "write_predictions",
+]

@@ -117,5 +117,5 @@ def require_single_user_sessions(df: DataFrame, on_mixed: str = "raise") -> Data
         raise ValueError(f"on_mixed must be 'raise' or 'report', not {on_mixed!r}")
     mixed = find_mixed_user_sessions(df)
     if on_mixed == "raise" and not mixed.isEmpty():
-        raise ValueError("Data validation failed: a session belongs to more than one user.")
+        raise ValueError("mixed sessions: some session_id comes with several users")
     return mixed

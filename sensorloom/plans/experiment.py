@@ -64,7 +64,7 @@ def run_experiment(
     require_single_user_sessions(train.profile)
     unlabelled = train.profile.where(F.col("user_id").isNull() | F.col("session_id").isNull())
     if not unlabelled.isEmpty():
-        raise ValueError("Data validation failed: training events without session or user.")
+        raise ValueError("unlabelled events: some training rows lack session_id or user_id")
 
     tables = feature_job_of(train, test, hot_session_rows, single_user=True)
     holdout = prepare_holdout(tables.train, tables.features, seeds)

@@ -56,7 +56,7 @@ def test_gate_stops_the_run(spark, config, tmp_path):
     events = views.mixed_events(views.train_part(views.sensor_events(spark, SF_DIR)))
     write_events(events, str(tmp_path / "mixed"))
     data = {**config["data"], "train_path": str(tmp_path / "mixed")}
-    with pytest.raises(ValueError, match="more than one user"):
+    with pytest.raises(ValueError, match="several users"):
         run_experiment({**config, "data": data}, spark, LIGHT)
 
 
@@ -65,5 +65,5 @@ def test_unlabelled_training_events_stop_the_run(spark, config, tmp_path):
     nobody = F.when(F.col("session_id") != "3-1", F.col("user_id"))
     write_events(events.withColumn("user_id", nobody), str(tmp_path / "nobody"))
     data = {**config["data"], "train_path": str(tmp_path / "nobody")}
-    with pytest.raises(ValueError, match="without session or user"):
+    with pytest.raises(ValueError, match="unlabelled events"):
         run_experiment({**config, "data": data}, spark, LIGHT)

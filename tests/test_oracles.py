@@ -44,6 +44,7 @@ def test_every_query_but_the_fits_has_a_twin():
         "model_comparison",
         "forest_tuning",
         "final_predictions",
+        "experiment",
     }
 
 

@@ -85,7 +85,7 @@ def test_imbalance_ratio(spark):
 
 def test_gate(spark):
     mixed = pairs(spark, [("s1", "u1"), ("s1", "u2"), ("s2", "u1")])
-    with pytest.raises(ValueError, match="more than one user"):
+    with pytest.raises(ValueError, match="several users"):
         require_single_user_sessions(mixed)
     assert require_single_user_sessions(mixed, on_mixed="report").count() == 1
     assert require_single_user_sessions(mixed.where("session_id = 's2'")).isEmpty()
