@@ -100,7 +100,7 @@ def _digest_column(metric: str) -> str:
 DIGEST_SELECT = "SELECT session_id, sensor_type, " + ", ".join(map(_digest_column, METRICS))
 
 
-def wide_sql(source: str, digest: str, name: str, sensors: list[str]) -> str:
+def wide_sql(digest: str, name: str, sensors: list[str]) -> str:
     cells = ", ".join(
         f"max(CASE WHEN sensor_type = '{s}' THEN {m} END) AS sensor_{s}_{m}"
         for s in sensors
@@ -128,8 +128,8 @@ def aligned_columns(present: list[str], digits: int | None = 6) -> str:
 
 
 SEEN = [s for s in SENSORS if s != TRAIN_ONLY_SENSOR]
-TRAIN_WIDE = [SENSOR_EVENTS, TRAIN, digest_sql("train"), wide_sql("train", "digest", "wide", SENSORS)]
-TEST_WIDE = [SENSOR_EVENTS, TEST, digest_sql("test"), wide_sql("test", "digest", "wide", SEEN)]
+TRAIN_WIDE = [SENSOR_EVENTS, TRAIN, digest_sql("train"), wide_sql("digest", "wide", SENSORS)]
+TEST_WIDE = [SENSOR_EVENTS, TEST, digest_sql("test"), wide_sql("digest", "wide", SEEN)]
 LABELS = "labels_ AS (SELECT DISTINCT session_id, user_id FROM {})"
 
 # --- splits -----------------------------------------------------------------
@@ -410,7 +410,8 @@ FROM sessions JOIN (SELECT user_id, count(*) AS n_class FROM sessions GROUP BY u
             *TRAIN_WIDE,
             f"filled AS (SELECT session_id, {aligned_columns(SENSORS, None)} FROM wide)",
         )
-        + f"""SELECT feature, printf('%.7e', avg(value)) AS mean, printf('%.7e', stddev_samp(value)) AS std
+        + f"""SELECT feature, printf('%.7e', avg(value)) AS mean,
+       printf('%.7e', stddev_samp(value)) AS std
 FROM (SELECT feature, value FROM filled UNPIVOT (value FOR feature IN ({scaler_cells})))
 GROUP BY feature""",
         "score_summary": with_(SENSOR_EVENTS, scores_sql(9), SUMMARY)

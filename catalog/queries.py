@@ -220,7 +220,7 @@ def session_sensor_features_all(events: DataFrame) -> DataFrame:
 @_on_events
 def session_sensor_features_by_layout(events: DataFrame) -> DataFrame:
     """The same table, co-located by session, with its larger sessions kept apart."""
-    layout = plan_layout(materialize(event_profile(events), "profile"), HOT_ROWS)
+    layout = plan_layout(materialize(event_profile(events, with_nulls=False), "profile"), HOT_ROWS)
     return rounded(session_sensor_features(events, layout=layout), 6)
 
 

@@ -259,7 +259,9 @@ def _named(predictions: DataFrame, classes: list[str]) -> DataFrame:
     )
 
 
-def learner_predictions(data: HoldoutData, model: str, seed: int, settings: FitSettings) -> DataFrame:
+def learner_predictions(
+    data: HoldoutData, model: str, seed: int, settings: FitSettings
+) -> DataFrame:
     """Fit one learner on one split and predict its validation sessions."""
     fitted = LEARNERS[model](settings, data.n_train, seed).fit(data.train(seed))
     named = _named(fitted.transform(data.valid(seed)), data.classes)
@@ -354,7 +356,9 @@ def grid_scores(data: HoldoutData, settings: FitSettings = FitSettings()) -> Dat
     return macro_f1(_run_all(tasks, settings.parallel_fits, "grid"), ["grid_id", "seed"])
 
 
-def tune_on(data: HoldoutData, settings: FitSettings = FitSettings()) -> tuple[ForestParams, DataFrame]:
+def tune_on(
+    data: HoldoutData, settings: FitSettings = FitSettings()
+) -> tuple[ForestParams, DataFrame]:
     """:func:`tune_random_forest` on prepared splits."""
     ranked = materialize(rank_grid(grid_scores(data, settings)), "tuning")
     # Literal map of the grid: as many entries as there are grid points.

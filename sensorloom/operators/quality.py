@@ -22,10 +22,13 @@ def get_null_counts(df: DataFrame) -> DataFrame:
     return df.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
 
 
-def event_profile(df: DataFrame) -> DataFrame:
-    """One row per (session, user, sensor): rows and NULLs of the other columns."""
+def event_profile(df: DataFrame, with_nulls: bool = True) -> DataFrame:
+    """One row per (session, user, sensor): rows and NULLs of the other columns.
+
+    Without the NULL counts a columnar scan reads the three key columns only.
+    """
     keys = [k for k in PROFILE_KEYS if k in df.columns]
-    others = [c for c in df.columns if c not in keys]
+    others = [c for c in df.columns if c not in keys] if with_nulls else []
     return df.groupBy(*keys).agg(
         F.count("*").alias(_COUNT),
         *[F.count_if(F.col(c).isNull()).alias(_NULLS + c) for c in others],
@@ -33,7 +36,7 @@ def event_profile(df: DataFrame) -> DataFrame:
 
 
 def null_counts_of_profile(profile: DataFrame, columns: list[str]) -> DataFrame:
-    """:func:`get_null_counts` of the profiled table, from its profile."""
+    """:func:`get_null_counts` of the profiled table, from a profile with NULL counts."""
 
     def nulls(column: str) -> Column:
         if _NULLS + column in profile.columns:

@@ -35,16 +35,20 @@ class Profiled:
         return "user_id" in self.events.columns
 
 
-def profile_events(events: DataFrame) -> Profiled:
+def profile_events(events: DataFrame, with_nulls: bool = False) -> Profiled:
     """One pass over the events; every check afterwards reads the small profile."""
-    return Profiled(events, materialize(event_profile(events), "profile"))
+    return Profiled(events, materialize(event_profile(events, with_nulls), "profile"))
 
 
-def report_of(profiled: Profiled) -> dict[str, DataFrame]:
-    """The checks of :func:`validation_report` on an existing profile."""
+def validation_report(events: DataFrame) -> dict[str, DataFrame]:
+    """All checks of one event table from a single pass over it.
+
+    Unlabelled tables have no user checks. Nothing here is fatal.
+    """
+    profiled = profile_events(events, with_nulls=True)
     profile = profiled.profile
     report = {
-        "null_counts": null_counts_of_profile(profile, profiled.events.columns),
+        "null_counts": null_counts_of_profile(profile, events.columns),
         "session_size_stats": get_session_size_stats(profile),
         "sensor_types": get_sensor_types(profile),
     }
@@ -55,14 +59,6 @@ def report_of(profiled: Profiled) -> dict[str, DataFrame]:
     return report
 
 
-def validation_report(events: DataFrame) -> dict[str, DataFrame]:
-    """All checks of one event table from a single pass over it.
-
-    Unlabelled tables have no user checks. Nothing here is fatal.
-    """
-    return report_of(profile_events(events))
-
-
 def audit_of(tables: dict[str, Profiled]) -> DataFrame:
     """:func:`sources.events.dataset_audit` from profiles."""
     audits = []

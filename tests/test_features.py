@@ -98,7 +98,9 @@ def test_single_event_and_missing_values(make_events):
 
 
 def test_nan_is_the_largest_value(make_events):
-    events = make_events([(1, "1", math.nan, 0.0, 0.0, "s", "u"), (2, "1", 7.0, 0.0, 0.0, "s", "u")])
+    events = make_events(
+        [(1, "1", math.nan, 0.0, 0.0, "s", "u"), (2, "1", 7.0, 0.0, 0.0, "s", "u")]
+    )
     row = session_sensor_features(events).first()
     assert math.isnan(row["field_0_max"]) and row["field_0_min"] == 7.0
     assert row["field_0_nn"] == 2
@@ -179,7 +181,8 @@ def test_alignment(six_events):
 
 def test_alignment_sorts_as_text_and_never_takes_the_label(spark):
     train = spark.createDataFrame(
-        [("s", 1, None, "u")], "session_id string, sensor_2_x bigint, sensor_19_x double, user_id string"
+        [("s", 1, None, "u")],
+        "session_id string, sensor_2_x bigint, sensor_19_x double, user_id string",
     )
     test = spark.createDataFrame(
         [("t", math.nan, "leak")], "session_id string, sensor_1_x double, user_id string"

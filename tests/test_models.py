@@ -63,9 +63,10 @@ def test_builders_carry_their_parameters(spark):
 
 def test_scaler_centres_and_flattens_constants(spark):
     rows = [("a", 1.0, 7.0), ("b", 2.0, 7.0), ("c", 6.0, 7.0)]
-    df = assemble(spark.createDataFrame(rows, "session_id string, x double, y double"), ["x", "y"], [])
-    scaled = est.standard_scaler().fit(df).transform(df).select(vector_to_array("scaled").alias("v"))
-    values = [r["v"] for r in scaled.collect()]
+    table = spark.createDataFrame(rows, "session_id string, x double, y double")
+    df = assemble(table, ["x", "y"], [])
+    scaled = est.standard_scaler().fit(df).transform(df)
+    values = [r["v"] for r in scaled.select(vector_to_array("scaled").alias("v")).collect()]
     assert [v[1] for v in values] == [0.0, 0.0, 0.0]
     std = math.sqrt(((1 - 3) ** 2 + (2 - 3) ** 2 + (6 - 3) ** 2) / 2)
     assert [v[0] for v in values] == pytest.approx([-2 / std, -1 / std, 3 / std])
@@ -142,7 +143,8 @@ def test_comparison_of_some_models(four_groups):
     scores = est.compare_models_repeated(
         four_groups, FEATURES, [5], settings=est.LIGHT, models=["RF", "Dummy_stratified"]
     )
-    assert {(r["model"], r["seed"]) for r in scores.collect()} == {("RF", 5), ("Dummy_stratified", 5)}
+    found = {(r["model"], r["seed"]) for r in scores.collect()}
+    assert found == {("RF", 5), ("Dummy_stratified", 5)}
 
 
 def test_tuning(holdout):

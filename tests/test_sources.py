@@ -70,6 +70,15 @@ def test_parquet_scan_reads_only_what_is_used(spark, six_events, tmp_path, plan_
     assert "ReadSchema: struct<session_id:string>" in plan
 
 
+def test_profile_reads_three_columns(spark, six_events, tmp_path, plan_text):
+    path = str(tmp_path / "events")
+    write_events(six_events, path, fmt="parquet")
+    events = load_train_data(spark, path, fmt="parquet")
+    plan = plan_text(event_profile(events, with_nulls=False))
+    assert "ReadSchema: struct<sensor_type:string,session_id:string,user_id:string>" in plan
+    assert "partial_count" in plan
+
+
 def test_unknown_format(spark, six_events, tmp_path):
     with pytest.raises(ValueError):
         read_events(spark, "x", labelled=True, fmt="orc")
@@ -95,7 +104,8 @@ def test_preview_is_a_top_n(six_events, plan_text):
 def test_predictions_are_sorted_csv_with_header(spark, tmp_path):
     path = tmp_path / "out" / "submission"
     rows = spark.createDataFrame(
-        [("s3", "u1", 1), ("s1", "u2", 2), ("s2", "u1", 3)], "session_id string, user_id string, x int"
+        [("s3", "u1", 1), ("s1", "u2", 2), ("s2", "u1", 3)],
+        "session_id string, user_id string, x int",
     )
     write_predictions(rows, str(path), single_file=True)
     write_predictions(rows, str(path), single_file=True)

@@ -78,7 +78,13 @@ def test_split_does_not_depend_on_row_order(spark):
 
 @pytest.mark.parametrize(
     "sizes, test_size",
-    [({"a": 10, "b": 1}, 0.2), ({"a": 2, "b": 2}, 0.2), ({"a": 2, "b": 2}, 0.8), ({}, 0.2), (SIZES, 1.0)],
+    [
+        ({"a": 10, "b": 1}, 0.2),
+        ({"a": 2, "b": 2}, 0.2),
+        ({"a": 2, "b": 2}, 0.8),
+        ({}, 0.2),
+        (SIZES, 1.0),
+    ],
 )
 def test_impossible_splits(spark, sizes, test_size):
     with pytest.raises(ValueError):
@@ -96,7 +102,8 @@ def test_held_out_seeds(spark):
     flags = {r["session_id"]: set(r["held_out"]) for r in held_out_seeds(splits).collect()}
     assert len(flags) == sum(SIZES.values())
     for seed in (0, 1, 2):
-        assert {s for s, seeds in flags.items() if seed in seeds} == expected_split(SIZES, seed, 0.2)
+        held = {s for s, seeds in flags.items() if seed in seeds}
+        assert held == expected_split(SIZES, seed, 0.2)
 
 
 def test_binned_ranks_equal_plain_ranks(spark):
