@@ -53,4 +53,136 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 FROM failing
 """
 
-ORACLES = {"op10_quality_rules": QUALITY_RULES}
+MAXSCORE = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id,
+       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id, score
+FROM scored
+QUALIFY rank <= 5
+"""
+
+PERSPECTIVES = r"""
+WITH spoken AS (
+  SELECT conv_id, turn, lower(trim(role)) AS speaker, coalesce(text, '') AS content
+  FROM conversations
+  WHERE conv_id IS NOT NULL AND trim(role) <> ''
+),
+seats AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, content) - 1 AS place
+  FROM spoken
+),
+perspectives AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM spoken WHERE speaker <> 'system'
+),
+lines AS (
+  SELECT s.conv_id, p.perspective, s.place, s.place // 512 AS part,
+         s.speaker = p.perspective AS own,
+         '<|im_start|>' || CASE WHEN s.speaker = p.perspective THEN 'assistant'
+                                WHEN s.speaker = 'system' THEN 'system'
+                                ELSE 'user name=' || replace(s.speaker, '<|', '<\|') END
+           || chr(10) AS head,
+         replace(s.content, '<|', '<\|') || '<|im_end|>' AS body
+  FROM seats s JOIN perspectives p ON p.conv_id = s.conv_id
+),
+measured AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (
+              PARTITION BY conv_id, perspective, part ORDER BY place) - length(body) - 1 AS body_from
+  FROM lines
+),
+parts AS (
+  SELECT conv_id, perspective, part, count(*) AS n_messages,
+         string_agg(head || body || chr(10), '' ORDER BY place) AS rendered,
+         coalesce(string_agg(CASE WHEN own THEN body_from::BIGINT || '-' || (body_from + length(body))::BIGINT END,
+                             ',' ORDER BY place), '') AS mask
+  FROM measured GROUP BY conv_id, perspective, part
+)
+SELECT conv_id, perspective, part,
+       coalesce(sum(length(rendered)) OVER (
+         PARTITION BY conv_id, perspective ORDER BY part
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+       n_messages, rendered, mask
+FROM parts
+"""
+
+LICENSES = r"""
+WITH templates(name, label, words, phrase) AS (VALUES
+  ('gpl-name', 'gpl', 'gnu general public license', true),
+  ('apache-name', 'apache', 'apache license', true),
+  ('cc-by-name', 'cc-by', 'cc by', true),
+  ('mit-name', 'mit', 'mit license', true),
+  ('mit-grant', 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction', false),
+  ('bsd-grant', 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', false),
+  ('gpl-notice', 'gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation', false),
+  ('gpl-use', 'gpl', 'licensed under the gnu general public license version', false),
+  ('apache-notice', 'apache', 'licensed under the apache license version 2 0 you may not use this file except in compliance with the license', false),
+  ('apache-use', 'apache', 'licensed under the apache license version 2 0', false),
+  ('cc-by-nc-use', 'cc-by-nc', 'licensed under cc by nc 4 0', false),
+  ('cc-by-sa-use', 'cc-by-sa', 'licensed under cc by sa 4 0', false),
+  ('mit-use', 'mit', 'released under the mit license', false),
+  ('mpl-notice', 'mpl', 'this source code form is subject to the terms of the mozilla public license', false),
+  ('reserved', 'all-rights-reserved', 'all rights reserved', false)
+),
+t AS (
+  SELECT name, label, phrase, string_split(words, ' ') AS seq,
+         list_distinct(string_split(words, ' ')) AS ws
+  FROM templates
+),
+d AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+),
+blocks AS (
+  SELECT doc_id, b, ws[b * 64 + 1 : b * 64 + 112] AS bw
+  FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + 63) // 64)) AS b FROM d)
+),
+met AS (
+  SELECT k.doc_id, k.b, k.bw, t.name, t.label, t.phrase, t.seq,
+         len(list_intersect(t.ws, list_distinct(k.bw))) AS shared, len(t.ws) AS n
+  FROM blocks k JOIN t
+    ON len(list_intersect(t.ws, list_distinct(k.bw)))
+       >= CASE WHEN t.phrase THEN len(t.ws) ELSE (len(t.ws) * 800 + 999) // 1000 END
+),
+placed AS (
+  SELECT *, CASE WHEN phrase THEN
+           list_filter(range(0, least(64, len(bw))), lambda i: bw[i + 1 : i + len(seq)] = seq)
+           ELSE [] END AS places
+  FROM met
+),
+hits AS (
+  SELECT doc_id,
+         sum(len(places))::BIGINT AS n_base,
+         min(b * 64 + list_min(places))::BIGINT AS first_word,
+         max(b * 64 + list_max(places))::BIGINT AS last_word,
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '') AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         string_agg(DISTINCT name, ',' ORDER BY name) AS templates,
+         max(shared / n) AS score
+  FROM placed WHERE NOT phrase OR len(places) > 0 GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+       first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score,
+       coalesce(templates, '') AS templates
+FROM d LEFT JOIN hits USING (doc_id)
+"""
+
+ORACLES = {
+    "op2_license_scan": LICENSES,
+    "op5_perspective_rotation": PERSPECTIVES,
+    "op6_maxscore_top_k": MAXSCORE,
+    "op10_quality_rules": QUALITY_RULES,
+}

@@ -5,13 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorloom.llm import oracles, quality_rules, token_counts
+from sensorloom.llm import (
+    bpe,
+    licenses,
+    maxscore,
+    oracles,
+    packing,
+    perspectives,
+    quality_rules,
+    token_counts,
+)
 from sensorloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole renderings, part by part; the masks as text, so that SQL can compare them."""
+    parts = perspectives.rotate(read_table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["begin"], m["end"]))
+    return parts.withColumn("mask", F.array_join(spans, ","))
+
+
+def op6_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return maxscore.exact_search(table, F.col("vec_id") % 50 == 0)
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents")))
+    decimal_ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(decimal_ids, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +67,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_license_scan": op2_license_scan,
+        "op5_perspective_rotation": op5_perspective_rotation,
+        "op6_maxscore_top_k": op6_maxscore_top_k,
+        "op7_bpe_round_trip": op7_bpe_round_trip,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }
