@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -35,8 +36,9 @@ from sensorloom.llm.common import map_slices, texts_of, type_of
 from sensorloom.llm.token_counts import load_tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids, and pairs whose verdicts, a worker keeps.
-KEPT_WORDS = 300_000
+# Pieces and words whose ids, and pairs whose verdicts, a worker keeps.
+KEPT_PIECES = 500_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 1_000_000
 # Words of these characters are their own NFC form and hold no white space.
 _SIMPLE = re.compile("[!-~À-ɏ]*")
@@ -93,7 +95,7 @@ class BacktrackingEncoder:
         for i, s in enumerate(spelt):
             self.tokens.add_word(s, i)
         self.tokens.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _spelling(self, token: str) -> str:
         """A token as one character per symbol, with the word end marked on its last."""
@@ -102,16 +104,15 @@ class BacktrackingEncoder:
             return body[:-1] + chr(ord(body[-1]) + _END)
         return token
 
-    def compatible(self, first: int, second: int) -> bool:
-        """Whether merging by rank leaves ``first`` and ``second`` side by side."""
-        known = self.pairs.get((first, second))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[first, second] = self._never_joined(first, second)
+    def _compare(self, pair: int) -> bool:
+        """Fills the table of pairs, whose keys are ``first << 32 | second``."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[pair] = self.compatible(pair >> 32, pair & 0xFFFFFFFF)
         return known
 
-    def _never_joined(self, first: int, second: int) -> bool:
+    def compatible(self, first: int, second: int) -> bool:
+        """Whether merging by rank leaves ``first`` and ``second`` side by side."""
         a, b = first, second
         # Undo merges from the last to the first. Whatever meets at the border must
         # not join before the merge that was just undone did happen; of equal
@@ -141,15 +142,22 @@ class BacktrackingEncoder:
         for end, token in self.tokens.iter(word):
             # Matches come by their end, so a later one from the same start is longer.
             longest[end + 1 - length[token]] = token
+        token = longest[0]
+        if length[token] == size:
+            return [self.ids[token]]
         given_up = bytearray(size + 1)
         cover: list[int] = []
-        at, token = 0, longest[0]
+        known = self.pairs.get
+        at = 0
         while at < size:
-            last = cover[-1] if cover else -1
+            last = cover[-1] << 32 if cover else -1
             while token >= 0:
-                end = at + length[token]
-                if not given_up[end] and (last < 0 or self.compatible(last, token)):
-                    break
+                if not given_up[at + length[token]]:
+                    if last < 0:
+                        break
+                    fits = known(last | token)
+                    if fits or (fits is None and self._compare(last | token)):
+                        break
                 token = shorter[token]
             if token >= 0:
                 cover.append(token)
@@ -167,7 +175,7 @@ class BacktrackingEncoder:
 class TextEncoder:
     """Whole texts: special strings, normal form, words, then the encoder above."""
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
         self.encoder = BacktrackingEncoder(path)
         self.library = load_tokenizer(path)
         with open(path, encoding="utf-8") as file:
@@ -177,40 +185,52 @@ class TextEncoder:
             raise ValueError(f"{path}: not a word-end vocabulary with a split pattern")
         self.words = regex.compile(parts[0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any("<|" not in string for string in self.special):
+            raise ValueError(f"{path}: special strings are expected to hold <|")
         strings = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
         self.cut = re.compile(f"({strings})") if strings else None
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         self.kept = kept
         self.known: dict[str, bytes] = {"": b""}
+        self.known_words: dict[str, bytes] = {}
 
     def _pieces(self, piece: str) -> list[str]:
         """The words of a piece, each as byte symbols."""
         if _SIMPLE.fullmatch(piece):
-            # Character by character: the library knows no context (final sigma).
-            lowered = "".join(c.lower() for c in piece)
-            symbols = self.symbols
+            # No final sigma among these, so lower() is free of context as the library is.
+            words = self.words.findall(piece.lower())
             return [
-                "".join([symbols[b] for b in word.encode("utf-8")])
-                for word in self.words.findall(lowered)
+                # Printable ASCII stands for itself.
+                w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.symbols)
+                for w in words
             ]
         # Any other script: the library's own normal form and split.
         normal = self.library.normalizer.normalize_str(piece)
         return [word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def _word(self, word: str) -> bytes:
+        ids = self.known_words.get(word)
+        if ids is None:
+            if len(self.known_words) >= KEPT_WORDS:
+                self.known_words.clear()
+            ids = self.known_words[word] = array("i", self.encoder.encode(word)).tobytes()
+        return ids
+
     def _learn(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for part in self.cut.split(piece) if self.cut else [piece]:
-            if self.cut and part in self.special:
-                ids.append(self.special[part])
+        if self.cut is None or "<|" not in piece:
+            return b"".join(map(self._word, self._pieces(piece)))
+        ids = b""
+        for part in self.cut.split(piece):
+            if part in self.special:
+                ids += array("i", [self.special[part]]).tobytes()
             elif part:
-                for word in self._pieces(part):
-                    ids.extend(self.encoder.encode(word))
-        return np.array(ids, dtype=np.int32).tobytes()
+                ids += b"".join(map(self._word, self._pieces(part)))
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as packed 32-bit integers."""
         known = self.known
-        if len(known) > self.kept:
+        if len(known) >= self.kept:
             known.clear()
             known[""] = b""
         found = []

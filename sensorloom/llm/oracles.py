@@ -180,7 +180,52 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_
 FROM d LEFT JOIN hits USING (doc_id)
 """
 
+LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, u.i AS i, u.line AS line,
+         regexp_matches(u.line, '[^\x20\x09-\x0D]') AS filled,
+         len(regexp_extract_all(u.line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(list_zip(range(len(l)), l)) AS z
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+       LATERAL (SELECT z[1] AS i, z[2] AS line) u
+),
+hashed AS (
+  SELECT doc_id, i, ('0x' || substr(md5(line), 1, 15))::BIGINT::HUGEINT AS h
+  FROM lines WHERE filled
+),
+borders AS (
+  SELECT doc_id, i,
+         (31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) + h) % 3 = 0 AS border
+  FROM hashed
+),
+numbered AS (
+  SELECT l.*, coalesce(sum(coalesce(b.border, false)::INT) OVER (
+           PARTITION BY l.doc_id ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM lines l LEFT JOIN borders b ON b.doc_id = l.doc_id AND b.i = l.i
+),
+chunks AS (
+  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body,
+         sum(filled::INT) > 1 OR sum(words) >= 50 AS worth
+  FROM numbered GROUP BY doc_id, chunk
+),
+judged AS (
+  SELECT *, worth AND row_number() OVER (
+           PARTITION BY worth, rtrim(body, chr(10)) ORDER BY doc_id, chunk) > 1 AS gone
+  FROM chunks
+),
+texts AS (
+  SELECT doc_id, string_agg(body, chr(10) ORDER BY chunk) FILTER (WHERE NOT gone) AS kept,
+         sum(gone::INT)::BIGINT AS chunks_removed
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id,
+       CASE WHEN chunks_removed > 0 THEN rtrim(coalesce(kept, ''), chr(10)) ELSE d.text END AS text,
+       coalesce(chunks_removed, 0) AS chunks_removed
+FROM documents d LEFT JOIN texts t ON t.doc_id = d.doc_id
+"""
+
 ORACLES = {
+    "op3_line_dedup": LINE_DEDUP,
     "op2_license_scan": LICENSES,
     "op5_perspective_rotation": PERSPECTIVES,
     "op6_maxscore_top_k": MAXSCORE,

@@ -256,7 +256,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.withColumnRenamed("position", "rank").withColumn(
         "rank", F.col("rank").cast("bigint")
     )
-    return ranked.join(slots(spark, plan), ["length", "rank"]).drop("bin", "rank")
+    # There are as many slots as pieces; their estimated size must not make Spark broadcast them.
+    return ranked.join(slots(spark, plan).hint("merge"), ["length", "rank"]).drop("bin", "rank")
 
 
 def best_fit_pack(

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm import (
     bpe,
+    jaccard_join,
     licenses,
+    line_dedup,
     maxscore,
     oracles,
     packing,
     perspectives,
     quality_rules,
+    surrogates,
     token_counts,
 )
 from sensorloom.llm.common import read_table
@@ -22,10 +25,24 @@ from sensorloom.llm.common import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeated_chunks(read_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "chunks_removed")
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace_entities(read_table(spark, sf_dir, "documents"))
+    return replaced.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"))
+
+
 def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole renderings, part by part; the masks as text, so that SQL can compare them."""
     parts = perspectives.rotate(read_table(spark, sf_dir, "conversations"))
@@ -67,7 +84,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_jaccard_components": op1_jaccard_components,
         "op2_license_scan": op2_license_scan,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_pii_surrogates": op4_pii_surrogates,
         "op5_perspective_rotation": op5_perspective_rotation,
         "op6_maxscore_top_k": op6_maxscore_top_k,
         "op7_bpe_round_trip": op7_bpe_round_trip,
