@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Text bytes that a Python function looks at together.
 SLICE_BYTES = 4 << 20
@@ -45,7 +46,7 @@ def map_slices(
     df: DataFrame,
     text: str,
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
-    schema: str,
+    schema: StructType | str,
 ) -> DataFrame:
     """``mapInArrow`` over slices that are balanced by the bytes of ``text``."""
 

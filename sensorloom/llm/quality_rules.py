@@ -14,6 +14,7 @@ the input are not looked at.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,7 @@ MEASUREMENTS = (
 )
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+_LEDGER = "__quality_ledger"
 
 
 @dataclass(frozen=True)
@@ -114,9 +116,11 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
-def _failures() -> Column:
+def _failures(prefix: str = "") -> Column:
+    """The failure bits, from measurements whose names carry a prefix."""
+    names = re.compile(rf"\b({'|'.join(MEASUREMENTS)})\b")
     bits = [
-        F.when(F.expr(rule.failed), F.lit(1 << bit)).otherwise(F.lit(0))
+        F.when(F.expr(names.sub(rf"{prefix}\1", rule.failed)), F.lit(1 << bit)).otherwise(F.lit(0))
         for bit, rule in enumerate(RULES)
     ]
     total = bits[0]
@@ -140,6 +144,29 @@ def rule_ledger(docs: DataFrame) -> DataFrame:
     return map_slices(texts_of(docs), "text", run, schema).withColumn("failures", _failures())
 
 
+def kept_documents(docs: DataFrame, policy: str | tuple[str, ...] = DEFAULT) -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with all their columns.
+
+    The measurements ride along in one column and are dropped again, so nothing is
+    shuffled or joined by id. A null text is measured as an empty one.
+    """
+    measured = pa.struct([(m, pa.int64()) for m in MEASUREMENTS])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        rows = [dict(zip(MEASUREMENTS, measure(text or ""))) for text in texts]
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(rows, measured)], names=[*batch.schema.names, _LEDGER]
+        )
+
+    fields = ", ".join(f"{m}: bigint" for m in MEASUREMENTS)
+    texts = docs.withColumn("text", F.col("text").cast("string"))
+    empty = F.lit(None).cast(f"struct<{fields}>")
+    with_ledger = map_slices(texts, "text", run, texts.withColumn(_LEDGER, empty).schema)
+    kept = _failures(f"{_LEDGER}.").bitwiseAND(F.lit(policy_mask(policy))) == 0
+    return with_ledger.where(kept).drop(_LEDGER)
+
+
 def policy_mask(policy: str | tuple[str, ...]) -> int:
     """The mask of a policy name or of rule names; unknown names are errors."""
     names = POLICIES[policy] if isinstance(policy, str) else policy

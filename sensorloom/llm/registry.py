@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sensorloom.llm import (
     bpe,
     jaccard_join,
@@ -84,6 +85,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_jaccard_components": op1_jaccard_components,
         "op2_license_scan": op2_license_scan,
         "op3_line_dedup": op3_line_dedup,
@@ -98,4 +100,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    found = dict(oracles.ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
