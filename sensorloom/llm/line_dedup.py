@@ -7,9 +7,9 @@ chunks around it and no others. Chunks that occur again, in another document or
 the same one, are candidates; they are compared byte by byte with the first
 occurrence and removed if equal. The first occurrence in (doc_id, chunk) order stays.
 
-A chunk is worth removing if it has several lines with a word, or if it has
-``LONG_WORDS`` words or more: a passage that was pasted as a single line. A short line
-that comes back everywhere (a heading, a greeting) stays.
+A line of ``LONG_WORDS`` words or more is a chunk of its own: a passage that was pasted as a
+single line. Else a chunk is worth removing if it has several lines with a word; a short
+line that comes back everywhere (a heading, a greeting) stays.
 
 What is shuffled is one digest per chunk; chunk texts travel only for repeated
 chunks, and whole texts on their way to the candidates and to the removals.
@@ -51,14 +51,18 @@ def chunk_spans(text: str, border: int = BORDER) -> list[tuple[int, int, int, in
     spans = []
     begin = at = filled = words = before = 0
     for line in text.split("\n"):
-        at += len(line) + 1
+        start, at = at, at + len(line) + 1
         if not line.strip(BLANKS):
             continue
+        n_words = len(line.encode("utf-8", "surrogatepass").split())
+        if n_words >= LONG_WORDS and begin < start:
+            spans.append((begin, start, filled, words))
+            begin, filled, words = start, 0, 0
         filled += 1
-        words += len(line.encode("utf-8", "surrogatepass").split())
+        words += n_words
         now = line_hash(line)
         # The rolling hash of two neighbouring lines.
-        if (31 * before + now) % border == 0:
+        if n_words >= LONG_WORDS or (31 * before + now) % border == 0:
             spans.append((begin, min(at, len(text)), filled, words))
             begin, filled, words = at, 0, 0
         before = now

@@ -198,11 +198,14 @@ borders AS (
          (31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) + h) % 3 = 0 AS border
   FROM hashed
 ),
-numbered AS (
-  SELECT l.*, coalesce(sum(coalesce(b.border, false)::INT) OVER (
-           PARTITION BY l.doc_id ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+starting AS (
+  SELECT l.*, (l.words >= 50 OR lag(coalesce(b.border, false) OR l.words >= 50, 1, false) OVER (
+           PARTITION BY l.doc_id ORDER BY l.i))::INT AS starts
   FROM lines l LEFT JOIN borders b ON b.doc_id = l.doc_id AND b.i = l.i
 ),
+numbered AS (
+  SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM starting
+),
 chunks AS (
   SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body,
          sum(filled::INT) > 1 OR sum(words) >= 50 AS worth
