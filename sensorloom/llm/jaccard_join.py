@@ -17,9 +17,12 @@ What makes candidates expensive are shingles that many nodes have (*hot*: more t
    frequency among these nodes. With c shingles that are not hot there, a partner shares at
    least c - (n - o) of them, if that is positive.
 3. *Core.* What is left are nodes of which over 80 % of the shingles are hot: large groups of
-   near copies. Each hot shingle names the core node with the least share of others
-   as its centre; every core node is verified against its centres. After that, only core
-   nodes in different components are candidates for each other.
+   near copies. Two of them that share a cheap shingle are found by it. Two that share
+   none have all they share among their hot ones, which must then be 4/9 of both sizes
+   together for either of them. Each hot shingle names the core node with the least share of
+   cheap ones as its centre; every core node is verified against its centres, which joins
+   nearly all that can be similar. After that, only core nodes in different
+   components that pass this bound are candidates for each other.
 
 Every step emits at most ``HOT`` candidates per posting but for the last, which meets only
 nodes that the centres did not join. All candidates are verified on their whole
@@ -154,20 +157,47 @@ def _close(a: str, b: str) -> Column:
     return F.expr(f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})")
 
 
-def _candidates(flagged: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` from postings ``token, node, n, c, need`` whose ``c`` is not hot.
+def _candidates(shared: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` from postings ``token, node, n, c, need`` of first prefixes.
 
     A node with ``need`` > 0 makes candidates: of all that share at least ``need``
     of its cheap tokens. Two such nodes are looked at from one side only.
     """
-    cheap = flagged.where(F.col("c") <= HOT)
+    cheap = shared.where(F.col("c") <= HOT)
     makers = cheap.where("need > 0").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "need")
     others = cheap.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"))
     met = makers.join(others, "token").where("a <> b and (need_b <= 0 or a < b)").where(_close("na", "nb"))
-    counted = met.groupBy("a", "b", "need").agg(F.count("*").alias("k"))
+    counted = met.groupBy("a", "b", F.greatest("need", "need_b").alias("need")).agg(
+        F.count("*").alias("k")
+    )
     return counted.where("k >= need").select("a", "b")
 
 
+def _whole_candidates(flagged: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes with whole sets that share a cheap token.
+
+    Of k shared cheap tokens: k is at least what either node needs, and with the hot
+    tokens of the poorer node it makes up 4/9 of both sizes, as a Jaccard of 0.8 asks.
+    """
+    cheap = flagged.where(F.col("c") <= HOT)
+    sides = [
+        cheap.select(
+            "token",
+            *[F.col(c).alias(f"{c}_{s}") for c in ("n", "need", "hot")],
+            F.col("node").alias(s),
+        )
+        for s in "ab"
+    ]
+    met = sides[0].join(sides[1], "token").where("a < b").where(_close("n_a", "n_b"))
+    bounds = [
+        F.greatest("need_a", "need_b").alias("need"),
+        F.ceil((F.col("n_a") + F.col("n_b")) * 4 / 9 - 1e-6).alias("overlap"),
+        F.least("hot_a", "hot_b").alias("hot"),
+    ]
+    counted = met.groupBy("a", "b", *bounds).agg(F.count("*").alias("k"))
+    return counted.where("k >= need and k + hot >= overlap").select("a", "b")
+
+
 def _frequent(postings: DataFrame, name: str) -> DataFrame:
     """Postings of tokens that two nodes or more have, with their number ``c``."""
     counts = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
@@ -190,7 +220,9 @@ def _flag_core(xshared: DataFrame) -> DataFrame:
     """Postings of the whole sets with ``need`` and the share of tokens that are not hot."""
     stats = xshared.groupBy("node", "n").agg(F.count_if(F.col("c") > HOT).alias("hot"))
     need = F.expr(f"{_sql_required('n')} - hot")
-    stats = stats.select("node", need.alias("need"), (1 - F.col("hot") / F.col("n")).alias("other"))
+    stats = stats.select(
+        "node", "hot", need.alias("need"), (1 - F.col("hot") / F.col("n")).alias("other")
+    )
     return xshared.join(stats, "node")
 
 
@@ -207,31 +239,43 @@ def _centre_pairs(flagged: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(flagged: DataFrame, components: DataFrame) -> DataFrame:
-    """Core nodes in different components that share one of their rarest tokens."""
-    core = flagged.where("need <= 0").select("token", "node", "n", "c")
-    # A token that only one component has joins nothing new.
-    placed = core.join(components, "node", "left").withColumn(
+    """Core nodes in different components that share hot tokens only.
+
+    All they share lies in either one's h hot tokens, so they meet in the h - o + 1
+    rarest of these, and h is at least 4/9 of both sizes together.
+    """
+    hot = flagged.where((F.col("need") <= 0) & (F.col("c") > HOT))
+    placed = hot.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
+    # A token that only one component has joins nothing new.
     spread = placed.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     )
     live = materialize(spread.where("low <> high").select("token"), "live_tokens")
-    # The n - o + 1 rarest: at most the tokens of one set are in a window. Tokens
-    # that no other node has come first and are not among the postings.
-    seen = core.groupBy("node").agg(F.count("*").alias("n_seen"))
+    # At most the tokens of one set.
     order = F.array_sort(F.collect_list(F.struct("c", "token")))
-    prefixes = core.groupBy("node", "n").agg(order.alias("ordered")).join(seen, "node")
-    width = F.expr(f"greatest(0, n - {_sql_required('n')} + 1 - (n - n_seen))").cast("int")
-    prefix = prefixes.select("node", "n", F.explode(F.slice("ordered", F.lit(1), width)).alias("t")).select(
-        "node", "n", F.col("t.token").alias("token")
-    )
-    open_ = prefix.join(live, "token", "left_semi").join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
+    ordered = placed.groupBy("node", "n", "hot", "component").agg(order.alias("ordered"))
+    width = F.expr(f"hot - {_sql_required('n')} + 1").cast("int")
+    prefix = ordered.select(
+        "node", "n", "hot", "component", F.explode(F.slice("ordered", F.lit(1), width)).alias("t")
+    ).withColumn("token", F.col("t.token"))
+    open_ = materialize(prefix.drop("t").join(live, "token", "left_semi"), "core_prefixes")
+    sides = [
+        open_.select(
+            "token",
+            *[F.col(c).alias(f"{c}_{s}") for c in ("n", "hot", "component")],
+            F.col("node").alias(s),
+        )
+        for s in "ab"
+    ]
+    met = sides[0].join(
+        sides[1],
+        (sides[0]["token"] == sides[1]["token"])
+        & F.expr("a < b and component_a <> component_b")
+        & _close("n_a", "n_b")
+        & F.expr("9 * least(hot_a, hot_b) >= 4 * (n_a + n_b)"),
     )
-    left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = left.join(right, "token").where("a < b and ca <> cb").where(_close("na", "nb"))
     return met.select("a", "b").distinct()
 
 
@@ -264,7 +308,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = materialize(_sets_of(docs, keyed), "sets")
     whole = sets.join(costly, "node", "left_semi").select("node", "n", F.explode("tokens").alias("token"))
     flagged = materialize(_flag_core(_frequent(whole, "whole")), "whole_postings")
-    pairs = first.unionByName(_candidates(flagged)).unionByName(_centre_pairs(flagged))
+    pairs = first.unionByName(_whole_candidates(flagged)).unionByName(_centre_pairs(flagged))
     links = materialize(_verified(pairs.distinct(), sets), "first_links")
     met = connected_components(links, "a", "b")
     rest = materialize(_verified(_rest_pairs(flagged, met), sets), "rest_links")
