@@ -241,8 +241,9 @@ def _centre_pairs(flagged: DataFrame) -> DataFrame:
 def _rest_pairs(flagged: DataFrame, components: DataFrame) -> DataFrame:
     """Core nodes in different components that share hot tokens only.
 
-    All they share lies in either one's h hot tokens, so they meet in the h - o + 1
-    rarest of these, and h is at least 4/9 of both sizes together.
+    All they share lies in either one's h hot tokens and is at least 4/9 of both sizes
+    together, say m; so they meet in the h - m + 1 rarest of these. A node is listed
+    with what its smallest partner may need; a pair is met where its own m allows.
     """
     hot = flagged.where((F.col("need") <= 0) & (F.col("c") > HOT))
     placed = hot.join(components, "node", "left").withColumn(
@@ -258,13 +259,13 @@ def _rest_pairs(flagged: DataFrame, components: DataFrame) -> DataFrame:
     ordered = placed.groupBy("node", "n", "hot", "component").agg(order.alias("ordered"))
     width = F.expr(f"hot - {_sql_required('n')} + 1").cast("int")
     prefix = ordered.select(
-        "node", "n", "hot", "component", F.explode(F.slice("ordered", F.lit(1), width)).alias("t")
-    ).withColumn("token", F.col("t.token"))
-    open_ = materialize(prefix.drop("t").join(live, "token", "left_semi"), "core_prefixes")
+        "node", "n", "component", "hot", F.posexplode(F.slice("ordered", F.lit(1), width)).alias("i", "t")
+    ).select("node", "n", "component", (F.col("hot") - F.col("i")).alias("left"), "t.token")
+    open_ = materialize(prefix.join(live, "token", "left_semi"), "core_prefixes")
     sides = [
         open_.select(
             "token",
-            *[F.col(c).alias(f"{c}_{s}") for c in ("n", "hot", "component")],
+            *[F.col(c).alias(f"{c}_{s}") for c in ("n", "left", "component")],
             F.col("node").alias(s),
         )
         for s in "ab"
@@ -274,7 +275,7 @@ def _rest_pairs(flagged: DataFrame, components: DataFrame) -> DataFrame:
         (sides[0]["token"] == sides[1]["token"])
         & F.expr("a < b and component_a <> component_b")
         & _close("n_a", "n_b")
-        & F.expr("9 * least(hot_a, hot_b) >= 4 * (n_a + n_b)"),
+        & F.expr("9 * least(left_a, left_b) >= 4 * (n_a + n_b)"),
     )
     return met.select("a", "b").distinct()
 
