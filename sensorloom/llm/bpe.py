@@ -29,6 +29,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
@@ -37,9 +38,11 @@ from sensorloom.llm.token_counts import load_tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 # Pieces and words whose ids, and pairs whose verdicts, a worker keeps.
-KEPT_PIECES = 500_000
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 1_000_000
+KEPT_PIECES = 200_000
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 400_000
+# Ids that are decoded together.
+SLICE_IDS = 1 << 20
 # Words of these characters are their own NFC form and hold no white space.
 _SIMPLE = re.compile("[!-~À-ɏ]*")
 # Stands for "this symbol ends its word"; byte symbols stay below U+0200.
@@ -305,9 +308,21 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id``, ``ids`` and ``text`` for rows of ``doc_id, ids``; null ids are none."""
     path = path or public_tokenizers.path(TOKENIZER)
 
+    def slices(batches):
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column("ids")).to_pylist()
+            start, held = 0, 0
+            for row, size in enumerate(sizes):
+                if row > start and held + (size or 0) > SLICE_IDS:
+                    yield batch.slice(start, row - start)
+                    start, held = row, 0
+                held += size or 0
+            if start < batch.num_rows:
+                yield batch.slice(start)
+
     def run(batches):
         table = offset_table(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("ids")
             texts = []
             for row in range(len(ids)):
