@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from catalog.queries import PAIRS, SEEDS
 from catalog.views import (
     FIRST_DAY,
     MODEL_OF_SENSOR,
     N_CLASSES,
+    ODD_LABELS,
     SCORE_UNIT,
     SENSORS,
     TRAIN_ONLY_SENSOR,
 )
-from sensorloom.functions.columns import METRICS, SUMMARISED
+
+# Spelled out here and not taken from the code under test.
+SEEDS = list(range(20))
+PAIRS = [("RF", "GBT"), ("LR", "SVM"), ("RF", "Dummy_stratified")]
+SUMMARISED = {
+    "field_0": "field_0", "field_1": "field_1", "field_2": "field_2", "field_3": "field_3",
+    "field_4": "field_4", "field_5": "field_5", "field_6": "field_6", "field_7": "field_7",
+    "mag": "mag_012",
+}
+METRICS = (
+    "n_events duration_ms "
+    "field_0_mean field_0_p50 field_0_std field_0_min field_0_max field_0_nn "
+    "field_1_mean field_1_p50 field_1_std field_1_min field_1_max field_1_nn "
+    "field_2_mean field_2_p50 field_2_std field_2_min field_2_max field_2_nn "
+    "field_3_mean field_3_p50 field_3_std field_3_min field_3_max field_3_nn "
+    "field_4_mean field_4_p50 field_4_std field_4_min field_4_max field_4_nn "
+    "field_5_mean field_5_p50 field_5_std field_5_min field_5_max field_5_nn "
+    "field_6_mean field_6_p50 field_6_std field_6_min field_6_max field_6_nn "
+    "field_7_mean field_7_p50 field_7_std field_7_min field_7_max field_7_nn "
+    "mag_mean mag_p50 mag_std mag_min mag_max mag_nn event_rate"
+).split()
 
 COLUMNS = (
     ["uid", "timestamp", "sensor_type"]
@@ -55,6 +75,20 @@ CLASS_SESSIONS = (
     f"cast(cast(user_id AS int) % {N_CLASSES} AS varchar) AS user_id FROM sensor_events)"
 )
 SEED_LIST = f"seeds AS (SELECT unnest({SEEDS}) AS seed)"
+ONE_SEED = "seeds AS (SELECT unnest([0]) AS seed)"
+# What the fits see: the sessions before the unseen period, four classes of users.
+LEARNABLE_SESSIONS = (
+    "sessions AS (SELECT DISTINCT session_id, "
+    f"cast(cast(user_id AS int) % {N_CLASSES} AS varchar) AS user_id "
+    "FROM sensor_events WHERE session_id NOT LIKE '%-4')"
+)
+LEARNABLE_TEST = (
+    f"SELECT DISTINCT session_id, cast(cast(user_id AS int) % {N_CLASSES} AS varchar) AS user_id "
+    f"FROM sensor_events WHERE session_id LIKE '%-4' AND sensor_type <> '{TRAIN_ONLY_SENSOR}'"
+)
+DENSE = (
+    "dense AS (SELECT * REPLACE (split_part(session_id, '-', 2) AS session_id) FROM sensor_events)"
+)
 
 
 def with_(*relations: str, recursive: bool = False) -> str:
@@ -127,6 +161,14 @@ def aligned_columns(present: list[str], digits: int | None = 6) -> str:
     return ", ".join(cells)
 
 
+def odd_columns() -> str:
+    return ", ".join(
+        f"round(coalesce(sensor_{s}_{m}::DOUBLE, 0.0), 6) AS sensor_{ODD_LABELS[s]}_{m}"
+        for s in SENSORS
+        for m in METRICS
+    )
+
+
 SEEN = [s for s in SENSORS if s != TRAIN_ONLY_SENSOR]
 TRAIN_WIDE = [SENSOR_EVENTS, TRAIN, digest_sql("train"), wide_sql("digest", "wide", SENSORS)]
 TEST_WIDE = [SENSOR_EVENTS, TEST, digest_sql("test"), wide_sql("digest", "wide", SEEN)]
@@ -135,9 +177,9 @@ LABELS = "labels_ AS (SELECT DISTINCT session_id, user_id FROM {})"
 # --- splits -----------------------------------------------------------------
 
 
-def split_sql(test_size: float) -> list[str]:
+def split_sql(test_size: float, seeds: str = SEED_LIST) -> list[str]:
     return [
-        SEED_LIST,
+        seeds,
         "totals AS (SELECT count(*) AS n, "
         f"cast(ceil({test_size} * count(*)) AS BIGINT) AS n_valid FROM sessions)",
         """classes AS (
@@ -217,11 +259,12 @@ SUMMARY = """summary AS (
   FROM scores GROUP BY model)"""
 # Rank subsets per sum, one more rank per step; 1-based lists.
 WAYS = """ways AS (
-  SELECT 0 AS r, list_transform(range(0, 700), lambda i: CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END) AS c
+  SELECT 0 AS r,
+         list_transform(range(0, 700), lambda i: CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS c
   UNION ALL
   SELECT r + 1, list_transform(range(0, 700),
            lambda s: (c[s + 1] + CASE WHEN s >= r + 1 THEN c[s - r] ELSE 0.0 END)::DOUBLE)
-  FROM ways WHERE r < 50)""".replace("1.0 ELSE 0.0 END) AS c", "1.0 ELSE 0.0 END::DOUBLE) AS c")
+  FROM ways WHERE r < 50)"""
 # erfc(x) = 1 - erf(x) by its power series; x stays below 4 here.
 ERFC = (
     "(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), "
@@ -286,6 +329,9 @@ def oracle_sql() -> dict[str, str]:
     train_rows = with_(SENSOR_EVENTS, TRAIN) + "SELECT * FROM train"
     splits = [SENSOR_EVENTS, SESSIONS, *split_sql(0.2)]
     class_splits = [SENSOR_EVENTS, CLASS_SESSIONS, *split_sql(0.2)]
+    learnable = [SENSOR_EVENTS, LEARNABLE_SESSIONS, *split_sql(0.2, ONE_SEED)]
+    held_out = with_(*learnable)
+    dense_digest = with_(SENSOR_EVENTS, DENSE, digest_sql("dense")) + DIGEST_SELECT + " FROM digest"
     mixed = with_(SENSOR_EVENTS, MIXED)
     all_digest = with_(SENSOR_EVENTS, digest_sql("sensor_events")) + DIGEST_SELECT + " FROM digest"
     scaler_cells = ", ".join(f"sensor_{s}_{m}" for s in SENSORS for m in METRICS)
@@ -362,11 +408,39 @@ HAVING count(DISTINCT u) > 1 OR (count(DISTINCT u) > 0 AND count_if(u IS NULL) >
         "session_features_train": with_(*TRAIN_WIDE, LABELS.format("train"))
         + f"SELECT w.session_id, {wide_columns(SENSORS)}, l.user_id "
         "FROM wide w LEFT JOIN labels_ l ON l.session_id = w.session_id",
-        "session_features_mixed": with_(SENSOR_EVENTS, MIXED, LABELS.format("mixed"))
-        + """SELECT w.session_id, l.user_id, w.n AS sensor_1_n_events
-FROM (SELECT session_id, nullif(count_if(sensor_type = '1'), 0)::BIGINT AS n
-      FROM mixed GROUP BY session_id) w
-LEFT JOIN labels_ l ON l.session_id = w.session_id""",
+        "dense_sessions_plain": dense_digest,
+        "dense_sessions_placed": dense_digest,
+        "dense_sessions_salted": dense_digest,
+        "odd_sensor_names": with_(*TRAIN_WIDE, LABELS.format("train"))
+        + f"SELECT w.session_id, {odd_columns()}, l.user_id, 285::BIGINT AS n_features "
+        "FROM wide w LEFT JOIN labels_ l ON l.session_id = w.session_id",
+        "session_features_mixed": with_(
+            SENSOR_EVENTS, MIXED, digest_sql("mixed"), wide_sql("digest", "wide", SENSORS),
+            LABELS.format("mixed"),
+        )
+        + f"SELECT w.session_id, {wide_columns(SENSORS)}, l.user_id "
+        "FROM wide w LEFT JOIN labels_ l ON l.session_id = w.session_id",
+        **{name: held_out + f"SELECT '{model}' AS model, seed, session_id, user_id, "
+           "user_id AS prediction FROM splits WHERE is_valid"
+           for name, model in (("logistic_regression", "LR"), ("linear_svm", "SVM"),
+                               ("random_forest", "RF"), ("boosted_trees", "GBT"))},
+        "model_comparison": with_(*learnable, MOST_FREQUENT, STRATIFIED,
+            "both_ AS (SELECT * FROM most_frequent UNION ALL SELECT * FROM stratified)",
+            f"scores AS ({macro_f1_sql('both_')} UNION ALL "
+            "SELECT unnest(['LR', 'SVM', 'RF', 'GBT']), 0, 1.0)", SUMMARY)
+        + "SELECT model, "
+        + ", ".join(
+            f"round({c}_macro_f1, 6)::DOUBLE AS {c}_macro_f1" for c in ("mean", "std", "min", "max")
+        )
+        + " FROM summary ORDER BY mean_macro_f1 DESC, model",
+        "forest_tuning": """SELECT "rank"::INT AS "rank", ("rank" - 1)::INT AS grid_id,
+       n_estimators::INT AS n_estimators, max_depth::INT AS max_depth, max_features,
+       min_samples_leaf::INT AS min_samples_leaf, 1.0::DOUBLE AS mean, 0.0::DOUBLE AS std
+FROM (VALUES (1, 300, NULL, 'sqrt', 1), (2, 500, NULL, 'sqrt', 1), (3, 500, 20, 'sqrt', 1),
+             (4, 500, 10, 'sqrt', 1), (5, 500, NULL, 'sqrt', 2), (6, 500, NULL, 'sqrt', 5))
+  g("rank", n_estimators, max_depth, max_features, min_samples_leaf)""",
+        "final_predictions": base + LEARNABLE_TEST,
+        "experiment": base + LEARNABLE_TEST,
         "session_features_test": with_(*TEST_WIDE)
         + f"SELECT session_id, {wide_columns(SEEN)} FROM wide",
         "aligned_train": aligned_train,

@@ -74,18 +74,40 @@ def mixed_events(events: DataFrame) -> DataFrame:
 def learnable_events(events: DataFrame) -> DataFrame:
     """All events with four classes of users and a signature in two fields.
 
+    The signature is strong enough for every learner to be right on every session,
+    so that SQL can tell what the fits have to predict.
+
     The supplied users behave at random; this is what the models can learn.
     """
     group = F.col("user_id").cast("int") % N_CLASSES
     return events.withColumns(
         {
             "user_id": group.cast("string"),
-            "field_0": F.col("field_0") / 100 + 3 * group,
-            "field_1": F.col("field_1") / 50 + 2 * (group % 2),
+            "field_0": F.col("field_0") / 100 + 6 * group,
+            "field_1": F.col("field_1") / 50 + 6 * (group % 2),
         }
     )
 
 
+def dense_events(events: DataFrame) -> DataFrame:
+    """All events with the slot alone as session: thousands of events per session."""
+    slot = F.substring_index("session_id", "-", -1)
+    return events.withColumns({"session_id": slot, "user_id": F.lit("all")})
+
+
+# Sensor types that differ in case, hold dots, quotes or blanks, or look like NULL.
+ODD_SENSORS = {"1": None, "19": "null", "2": "A", "4": "a", "5": "a.b `c'"}
+ODD_LABELS = {"1": "null", "19": "xnull", "2": "x_41", "4": "xa", "5": "xa_2eb_20_60c_27"}
+
+
+def oddly_named(events: DataFrame) -> DataFrame:
+    """All events under the sensor types of :data:`ODD_SENSORS`."""
+    sensor = F.lit(None).cast("string")
+    for plain, odd in ODD_SENSORS.items():
+        sensor = F.when(F.col("sensor_type") == plain, F.lit(odd)).otherwise(sensor)
+    return events.withColumn("sensor_type", sensor)
+
+
 def aligned_sides(events: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Aligned train and test features of an event table."""
     train = build_session_features(train_part(events), True, sensors=SENSORS, single_user=True)

@@ -29,7 +29,7 @@ from sensorloom.operators.scoring import (
     signed_rank_test,
     summarize_model_scores,
 )
-from sensorloom.operators.splits import assemble, class_weights, fit_label_index, stratified_splits
+from sensorloom.operators.splits import assemble, class_table, class_weights, stratified_splits
 from sensorloom.plans.experiment import run_experiment
 from sensorloom.plans.reports import feature_job, validation_report
 from sensorloom.session import build_session
@@ -60,7 +60,7 @@ __all__ = [
     "dataset_audit",
     "feature_job",
     "find_mixed_user_sessions",
-    "fit_label_index",
+    "class_table",
     "get_imbalance_ratio",
     "get_null_counts",
     "get_sensor_types",

@@ -20,6 +20,23 @@ METRICS = (
 )
 
 
+def sensor_label(sensor: str | None) -> str:
+    """A sensor type as part of a column name (F15): injective, lower case, no dots.
+
+    Plain digits stay. Anything else gets an ``x`` in front and keeps its lower-case
+    ASCII letters and digits; other bytes become ``_`` and two hexadecimal digits. NULL is
+    ``null``, which no string turns into.
+    """
+    if sensor is None:
+        return "null"
+    if sensor.isascii() and sensor.isdigit():
+        return sensor
+    kept = "abcdefghijklmnopqrstuvwxyz0123456789"
+    return "x" + "".join(
+        chr(b) if chr(b) in kept else f"_{b:02x}" for b in sensor.encode("utf-8")
+    )
+
+
 def magnitude() -> Column:
     """Length of the vector (field_0, field_1, field_2); NULL if any part is (F1)."""
     squares = [F.col(axis) * F.col(axis) for axis in MEASUREMENTS[:3]]
@@ -36,7 +53,9 @@ def metric_aggregates(accuracy: int | None = None) -> list[Column]:
 
     Mean, sample standard deviation, extremes and non-null counts are plain
     partial aggregates. The median is a mergeable quantile summary: an actual
-    element of the data, exact up to several thousand values per group.
+    element of the data whose rank is off by at most n / accuracy (10,000 by
+    default) of n values. Which element within that bound depends on how the
+    group was spread over tasks; groups of some thousand values are exact.
 
     Written as SQL fragments: one call each instead of several per column object.
     """

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import digest_fraction, seeded_digest
 from sensorloom.operators.ranking import binned_running_total
-
-# Neighbouring training positions that share one join key in the stratified draw.
-POSITIONS_PER_SLOT = 64
+from sensorloom.sources.scratch import materialize
 
 PREDICTION_COLUMNS = ["model", "seed", "session_id", "user_id", "prediction"]
 
@@ -39,28 +37,49 @@ def most_frequent_predictions(splits: DataFrame) -> DataFrame:
     )
 
 
+def _dyadic_blocks(first: Column, last: Column, most: int) -> Column:
+    """The positions first..last as aligned blocks: array of (level, block).
+
+    A block of level k is 2^k positions long and starts at a multiple of it; an
+    interval is at most two blocks per level.
+    """
+    levels = F.sequence(F.lit(0), F.lit(max(0, most.bit_length() - 1)))
+
+    def on_level(k: Column) -> Column:
+        width = F.pow(F.lit(2.0), k)
+        low = F.ceil(first / width).cast("bigint")
+        high = F.floor((last + 1) / width).cast("bigint")
+        after = low + low % 2
+        left = F.when((low < high) & (low % 2 == 1), F.struct(k.alias("level"), low.alias("block")))
+        right = F.when(
+            (after < high) & (high % 2 == 1), F.struct(k.alias("level"), (high - 1).alias("block"))
+        )
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(levels, on_level)))
+
+
 def stratified_predictions(splits: DataFrame) -> DataFrame:
     """Random classes with the training frequencies, repeatable (M5).
 
     Training sessions are laid out class by class on positions 0..n-1, so a
     class owns an interval as long as it is frequent. Each validation session
-    draws a position; the owner is found by an equi-join on position slots, in
-    which at most 64 classes can meet, never by comparing with all classes.
+    draws a position. Intervals are cut into aligned blocks, at most two per
+    power of two, and a position lies in one block of each size: the owner is found
+    by an equi-join on (size, block) that meets exactly once.
     """
     sizes = _train_class_sizes(splits).withColumn("bin", F.substring(F.md5("user_id"), 1, 3))
-    intervals = binned_running_total(sizes, ["seed"], "bin", ["user_id"], F.col("n_train"))
-    last = F.col("before") + F.col("n_train") - 1
-    slots = F.sequence(
-        F.floor(F.col("before") / POSITIONS_PER_SLOT), F.floor(last / POSITIONS_PER_SLOT)
+    intervals = materialize(
+        binned_running_total(sizes, ["seed"], "bin", ["user_id"], F.col("n_train")), "intervals"
     )
+    first, last = F.col("before"), F.col("before") + F.col("n_train") - 1
+    longest = intervals.agg(F.coalesce(F.max("n_train"), F.lit(1))).first()[0]
     owners = intervals.select(
         "seed",
         F.col("user_id").alias("prediction"),
-        F.col("before").alias("first"),
-        last.alias("last"),
-        F.explode(slots).alias("slot"),
+        F.inline(_dyadic_blocks(first, last, longest)),
     )
-    totals = sizes.groupBy("seed").agg(F.sum("n_train").alias("n"))
+    totals = intervals.groupBy("seed").agg(F.sum("n_train").alias("n"))
     # The split already used the digest of (seed, session); a draw from the same
     # digest would only reach the front of the line, hence the extra word.
     chance = digest_fraction(seeded_digest(F.lit("draw"), "seed", "session_id"))
@@ -69,11 +88,12 @@ def stratified_predictions(splits: DataFrame) -> DataFrame:
         # One row per seed.
         .join(F.broadcast(totals), "seed")
         .withColumn("at", F.floor(chance * F.col("n")))
-        .withColumn("slot", F.floor(F.col("at") / POSITIONS_PER_SLOT))
+        # One row per block size that occurs.
+        .withColumn("level", F.explode(F.lit(list(range(longest.bit_length())))))
+        .withColumn("block", F.floor(F.col("at") / F.pow(F.lit(2.0), "level")))
     )
     return (
-        draws.join(owners, ["seed", "slot"])
-        .where(F.col("at").between(F.col("first"), F.col("last")))
+        draws.join(owners, ["seed", "level", "block"])
         .withColumn("model", F.lit("Dummy_stratified"))
         .select(*PREDICTION_COLUMNS)
     )

@@ -14,16 +14,17 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,16 +39,19 @@ from sensorloom.operators.baselines import (
 from sensorloom.operators.scoring import macro_f1
 from sensorloom.operators.splits import (
     assemble,
+    class_table,
     class_weights,
-    fit_label_index,
     held_out_seeds,
     split_sizes,
     stratified_splits,
+    with_label,
 )
 from sensorloom.sources.scratch import fresh_path, in_parallel, materialize
 
 # MLlib's depth limit stands in for "no limit".
 UNLIMITED_DEPTH = 30
+# Bytes of features in one partition of a training table.
+FIT_PARTITION_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -217,14 +221,16 @@ class HoldoutData:
     """Everything the repeated fits read: written once, scanned by every fit.
 
     ``table`` has session_id, user_id, label, features and ``held_out``, the
-    seeds for which the session is a validation row; ``splits`` is the long form.
+    seeds for which the session is a validation row; ``splits`` is the long form;
+    ``classes`` maps labels to users.
     """
 
     table: DataFrame
     splits: DataFrame
     seeds: list[int]
     n_train: int
-    classes: list[str]
+    classes: DataFrame
+    n_classes: int
 
     def train(self, seed: int) -> DataFrame:
         return self.table.where(~F.array_contains("held_out", seed))
@@ -245,18 +251,22 @@ def prepare_holdout(
     sizes = split_sizes(table, test_size)
     splits = materialize(stratified_splits(table, seeds, test_size, sizes=sizes), "splits")
     vectors = assemble(table, features, ["session_id", "user_id"])
-    index = fit_label_index(table)
-    flagged = index.transform(vectors).join(held_out_seeds(splits), "session_id")
-    return HoldoutData(
-        materialize(flagged, "holdout"), splits, seeds, sizes.n_train, list(index.labels)
-    )
+    classes, n_classes = class_table(table)
+    labelled = with_label(vectors, classes, n_classes)
+    flagged = labelled.join(held_out_seeds(splits), "session_id")
+    stored = materialize(_in_fit_partitions(flagged, sizes.sessions, len(features)), "holdout")
+    return HoldoutData(stored, splits, seeds, sizes.n_train, classes, n_classes)
 
 
-def _named(predictions: DataFrame, classes: list[str]) -> DataFrame:
-    # The class names are the model's own label list, already on the driver.
-    return IndexToString(inputCol="prediction", outputCol="named", labels=classes).transform(
-        predictions
-    )
+def _in_fit_partitions(table: DataFrame, rows: int, width: int) -> DataFrame:
+    """``table`` in partitions of some 64 MB of features: an iterative fit runs a task
+    per partition in every one of its many short jobs."""
+    return table.repartition(max(1, -(-rows * (width + 1) * 8 // FIT_PARTITION_BYTES)))
+
+
+def _named(predictions: DataFrame, classes: DataFrame) -> DataFrame:
+    names = classes.select(F.col("label").alias("prediction"), F.col("user_id").alias("named"))
+    return predictions.join(names, "prediction")
 
 
 def learner_predictions(
@@ -276,6 +286,8 @@ def learner_predictions(
 
 def _run_all(tasks: list[Callable[[], DataFrame]], at_a_time: int, name: str) -> DataFrame:
     """Run the tasks a few at a time and gather their rows in one scratch table."""
+    if not tasks:
+        raise ValueError("no model or no seed to fit")
 
     def stored(task: Callable[[], DataFrame]) -> tuple[str, StructType]:
         rows = task()
@@ -392,23 +404,34 @@ def train_final_random_forest(
     best_parameters: ForestParams = ForestParams(),
     random_state: int = 42,
     settings: FitSettings = FitSettings(),
-) -> PipelineModel:
+) -> FinalForest:
     """Fit on all labelled sessions with balanced class weights.
 
-    Weights are set once over all sessions, not anew per bootstrap sample. The
-    returned pipeline turns aligned features into ``prediction`` (an index) and
-    ``predicted_user``.
+    Weights are set once over all sessions, not anew per bootstrap sample. A forest
+    without depth limit may meet MLlib's limit of 30, which then takes effect.
     """
-    index = fit_label_index(table)
+    classes, n_classes = class_table(table)
     vectors = assemble(table, features, ["session_id", "user_id"])
-    train = materialize(class_weights(index.transform(vectors)), "final_train")
+    weighted = class_weights(with_label(vectors, classes, n_classes))
+    sized = _in_fit_partitions(weighted, table.count(), len(features))
+    train = materialize(sized, "final_train")
     fitted = forest(best_parameters, random_state, settings, weighted=True).fit(train)
-    decode = IndexToString(inputCol="prediction", outputCol="predicted_user", labels=index.labels)
-    return PipelineModel(stages=[fitted, decode])
+    return FinalForest(fitted, classes)
+
+
+@dataclass(frozen=True)
+class FinalForest:
+    """A fitted forest, whose predictions are labels, and the table of its classes.
+
+    MLlib keeps one model per forest on the driver; the class names stay a table.
+    """
+
+    forest: RandomForestClassificationModel
+    classes: DataFrame
 
 
-def predict_users(model: PipelineModel, table: DataFrame, features: list[str]) -> DataFrame:
+def predict_users(model: FinalForest, table: DataFrame, features: list[str]) -> DataFrame:
     """``(session_id, user_id)`` with a known user for each session."""
-    scored = model.transform(assemble(table, features, ["session_id"]))
-    return scored.select("session_id", F.col("predicted_user").alias("user_id"))
+    scored = model.forest.transform(assemble(table, features, ["session_id"]))
+    return _named(scored, model.classes).select("session_id", F.col("named").alias("user_id"))
 

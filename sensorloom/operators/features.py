@@ -18,6 +18,7 @@ from sensorloom.functions.columns import (
     event_rate,
     magnitude,
     metric_aggregates,
+    sensor_label,
 )
 from sensorloom.operators.layout import SessionLayout, aggregate_by_layout
 from sensorloom.operators.quality import get_sensor_types
@@ -54,8 +55,8 @@ def session_sensor_features(
 
 
 def feature_name(sensor: str | None, metric: str) -> str:
-    """``sensor_<type>_<metric>``; a NULL sensor is called ``null``."""
-    return f"sensor_{'null' if sensor is None else sensor}_{metric}"
+    """``sensor_<type>_<metric>`` with the type as :func:`sensor_label` writes it."""
+    return f"sensor_{sensor_label(sensor)}_{metric}"
 
 
 def sensor_values(events: DataFrame) -> list[str | None]:
@@ -120,7 +121,8 @@ def build_session_features(
     column. Labels are left-joined on the session, so a session of two users
     gives two rows and a NULL session stays unlabelled (F17). When the caller
     has already ruled that out (``single_user``), the label rides through the
-    aggregates instead: no second pass over the events and no join.
+    aggregates instead: no second pass over the events and no join. The feature
+    job does so; the join is the definition it is tested against.
     """
     if sensors is None:
         sensors = sensor_values(events)

@@ -6,12 +6,13 @@ summary of a group below some thousand values is no smaller than the values, so
 for ordinary sessions the shuffle carries as much as the events would, and the
 pivot shuffles once more.
 
-With an event profile at hand the sizes are known. Ordinary sessions are then
+With an event profile at hand the sizes are known. Events are then
 hash-partitioned by session once, and everything after that (the aggregate, the
-pivot, the label join) finds its rows in place: one shuffle altogether. Sessions
-too large for one task never take that road. They keep partial aggregation, by
-a bounded number of tasks: each sends one buffer per (session, sensor), so what
-meets at a reducer depends on the number of tasks and not on the data.
+pivot, the label join) finds its rows in place: one shuffle altogether. If some
+session is too large for one task, every event also gets a *salt*: 0 for ordinary
+sessions, one of ceil(size / limit) numbers for a hot one. The events still are
+read and moved once; what moves again is one aggregation buffer per (session,
+sensor, salt), which is where the pieces of a hot session meet.
 """
 
 from __future__ import annotations
@@ -22,22 +23,27 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions.columns import MEASUREMENTS
 from sensorloom.sources.scratch import materialize
 
 # Events of one session above which it is not put into one task.
 HOT_SESSION_ROWS = 20_000_000
-# Events per partition aimed at (some 200 MB of rows).
-ROWS_PER_PARTITION = 1_500_000
-# Tasks that pre-aggregate the hot sessions.
-HOT_TASKS = 4096
+# Events per partition aimed at (some 2 GB of rows, sorted and spilled), and the most
+# partitions: each costs the driver and every map task an entry.
+ROWS_PER_PARTITION = 20_000_000
+MAX_PARTITIONS = 50_000
+# Up to this many hot sessions their table is broadcast (some 10 MB).
+BROADCAST_SESSIONS = 100_000
 
 
 @dataclass(frozen=True)
 class SessionLayout:
-    """Sessions to keep apart (None if there are none) and partitions for the rest."""
+    """Hot sessions with their number of ``salts`` (None if there are none), how many
+    they are, and partitions (None: the session's setting)."""
 
     hot_sessions: DataFrame | None
     partitions: int | None
+    n_hot: int = 0
 
 
 def plan_layout(
@@ -47,36 +53,38 @@ def plan_layout(
 
     Fewer than (events / ``hot_session_rows``) sessions are hot by construction.
     """
+    limit = max(1, hot_session_rows)
     sizes = profile.groupBy("session_id").agg(F.sum("n_rows").alias("size"))
     hot = materialize(
-        sizes.where(F.col("size") > hot_session_rows).select("session_id"), "hot_sessions"
+        sizes.where(F.col("size") > hot_session_rows).select(
+            "session_id", F.ceil(F.col("size") / limit).cast("int").alias("salts")
+        ),
+        "hot_sessions",
     )
+    n_hot = hot.count()
     total = profile.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
-    wanted = -(-total // ROWS_PER_PARTITION)
+    wanted = min(MAX_PARTITIONS, -(-total // ROWS_PER_PARTITION))
     default = int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Below the session's own setting, adaptive execution picks the number.
-    return SessionLayout(
-        None if hot.isEmpty() else hot, wanted if wanted > default else None
-    )
+    return SessionLayout(hot if n_hot else None, wanted if wanted > default else None, n_hot)
 
 
 def aggregate_by_layout(
     events: DataFrame, layout: SessionLayout, aggregate: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """``aggregate(events)``, where the aggregate groups by session (and more)."""
-    regular = events
+    keys = [F.col("session_id")]
     if layout.hot_sessions is not None:
-        hot = layout.hot_sessions.select(F.col("session_id").alias("hot_session_id"))
+        hot = layout.hot_sessions.select(F.col("session_id").alias("hot_session_id"), "salts")
+        if layout.n_hot <= BROADCAST_SESSIONS:
+            hot = F.broadcast(hot)
         # A NULL session is a session too, and may well be the largest.
-        same = events["session_id"].eqNullSafe(hot["hot_session_id"])
-        regular = events.join(hot, same, "left_anti")
+        same = events["session_id"].eqNullSafe(F.col("hot_session_id"))
+        salt = F.pmod(F.xxhash64("timestamp", *MEASUREMENTS), F.col("salts"))
+        events = events.join(hot, same, "left").withColumn("salt", F.coalesce(salt, F.lit(0)))
+        keys.append(F.col("salt"))
     if layout.partitions is None:
-        placed = regular.repartition("session_id")
+        placed = events.repartition(*keys)
     else:
-        placed = regular.repartition(layout.partitions, "session_id")
-    result = aggregate(placed)
-    if layout.hot_sessions is not None:
-        # coalesce() merges input splits without a shuffle.
-        large = events.join(hot, same, "left_semi").coalesce(HOT_TASKS)
-        result = result.unionByName(aggregate(large))
-    return result
+        placed = events.repartition(layout.partitions, *keys)
+    return aggregate(placed)

@@ -1,8 +1,9 @@
 """Data-quality checks on event tables (V1-V7).
 
 The checks that group by session or user need only who, where and how often, so
-all of them also accept the *event profile*: one row per (session, user, sensor)
-with a row count and null counts. It takes one pass over the events with
+all of them also work on the *event profile*: one row per (session, user, sensor)
+with a row count and null counts. What counts rows says so by ``weight=PROFILE_ROWS``;
+a table's own column of that name has no such meaning. It takes one pass over the events with
 map-side aggregation and is smaller by the number of events per group; a
 report that needs every check builds it once (see ``plans.reports``).
 """
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROFILE_KEYS = ["session_id", "user_id", "sensor_type"]
-_COUNT = "n_rows"
+# Name of the row count of a profile.
+PROFILE_ROWS = "n_rows"
 _NULLS = "nulls__"
 
 
@@ -30,7 +32,7 @@ def event_profile(df: DataFrame, with_nulls: bool = True) -> DataFrame:
     keys = [k for k in PROFILE_KEYS if k in df.columns]
     others = [c for c in df.columns if c not in keys] if with_nulls else []
     return df.groupBy(*keys).agg(
-        F.count("*").alias(_COUNT),
+        F.count("*").alias(PROFILE_ROWS),
         *[F.count_if(F.col(c).isNull()).alias(_NULLS + c) for c in others],
     )
 
@@ -42,22 +44,25 @@ def null_counts_of_profile(profile: DataFrame, columns: list[str]) -> DataFrame:
         if _NULLS + column in profile.columns:
             total = F.sum(_NULLS + column)
         else:
-            total = F.sum(F.when(F.col(column).isNull(), F.col(_COUNT)))
+            total = F.sum(F.when(F.col(column).isNull(), F.col(PROFILE_ROWS)))
         return F.coalesce(total, F.lit(0)).alias(column)
 
     return profile.select(*[nulls(c) for c in columns])
 
 
-def find_mixed_user_sessions(df: DataFrame, with_nulls: bool = False) -> DataFrame:
+def find_mixed_user_sessions(
+    df: DataFrame, with_nulls: bool = False, weight: str | None = None
+) -> DataFrame:
     """Sessions with more than one distinct user (V2).
 
     A NULL user is no user and is not counted. ``with_nulls`` adds
     ``n_null_users`` (unlabelled rows) and also returns sessions that have both
-    a user and unlabelled rows: those would still get two label rows.
+    a user and unlabelled rows: those would still get two label rows. ``weight``
+    names a column that says how many rows a row stands for.
     """
-    weight = F.col(_COUNT) if _COUNT in df.columns else F.lit(1)
+    stands_for = F.lit(1) if weight is None else F.col(weight)
     # One row per (session, user) first: map-side partial, no expanded distinct.
-    pairs = df.groupBy("session_id", "user_id").agg(F.sum(weight).alias("rows"))
+    pairs = df.groupBy("session_id", "user_id").agg(F.sum(stands_for).alias("rows"))
     checked = pairs.groupBy("session_id").agg(
         F.count("user_id").alias("n_users"),
         F.coalesce(F.sum(F.when(F.col("user_id").isNull(), F.col("rows"))), F.lit(0)).alias(
@@ -69,9 +74,9 @@ def find_mixed_user_sessions(df: DataFrame, with_nulls: bool = False) -> DataFra
     return checked.where("n_users > 1 OR (n_users > 0 AND n_null_users > 0)")
 
 
-def get_session_size_stats(df: DataFrame) -> DataFrame:
+def get_session_size_stats(df: DataFrame, weight: str | None = None) -> DataFrame:
     """50th, 90th and 99th percentile and maximum of events per session (V3)."""
-    rows = F.sum(_COUNT) if _COUNT in df.columns else F.count("*")
+    rows = F.count("*") if weight is None else F.sum(weight)
     sizes = df.groupBy("session_id").agg(rows.alias("size"))
     quantiles = {f"p{q}": F.percentile_approx("size", q / 100) for q in (50, 90, 99)}
     return sizes.agg(

@@ -6,12 +6,13 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import digest_fraction, seeded_digest
 from sensorloom.operators.ranking import binned_rank
+from sensorloom.sources.scratch import materialize
 
 # Sessions of one class that are sorted together; larger classes are cut up.
 ROWS_PER_BIN = 50_000
@@ -23,11 +24,31 @@ def assemble(table: DataFrame, features: list[str], keep: list[str]) -> DataFram
     return vector.transform(table).select(*keep, "features")
 
 
-def fit_label_index(table: DataFrame, label: str = "user_id") -> StringIndexerModel:
-    """Classes in sorted order -> 0, 1, ... (M2)."""
-    return StringIndexer(
-        inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error"
-    ).fit(table)
+def class_table(table: DataFrame, bin_rows: int = ROWS_PER_BIN) -> tuple[DataFrame, int]:
+    """``(user_id, label)`` with classes in sorted order -> 0, 1, ..., and their number (M2).
+
+    The names stay in the table: they are ranked in range partitions of bounded size
+    and only their count comes to the driver.
+    """
+    users = materialize(table.select("user_id").distinct(), "users")
+    counts = users.agg(
+        F.count("*").alias("n"), F.count_if(F.col("user_id").isNull()).alias("unknown")
+    ).first()
+    if counts["unknown"]:
+        raise ValueError("sessions without a user_id have no class")
+    n_bins = max(1, -(-counts["n"] // bin_rows))
+    ranges = users.repartitionByRange(n_bins, "user_id").withColumn("bin", F.spark_partition_id())
+    # Written once, so that a row's range is the same whenever it is read.
+    placed = materialize(ranges, "user_ranges")
+    ranked = binned_rank(placed, [], "bin", ["user_id"], one_bin=n_bins == 1)
+    label = (F.col("position") - 1).cast("double").alias("label")
+    return materialize(ranked.select("user_id", label), "classes"), counts["n"]
+
+
+def with_label(table: DataFrame, classes: DataFrame, n_classes: int) -> DataFrame:
+    """``table`` plus ``label``, which knows the number of classes but not their names."""
+    attributes = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": n_classes}}
+    return table.join(classes, "user_id").withMetadata("label", attributes)
 
 
 def class_counts(table: DataFrame) -> DataFrame:
@@ -49,8 +70,9 @@ def class_weights(table: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SplitSizes:
-    """What a split of a table comes to."""
+    """What a split of a table comes to; ``counts`` has the sessions of each user."""
 
+    counts: DataFrame
     sessions: int
     users: int
     largest_user: int
@@ -65,7 +87,9 @@ def split_sizes(sessions: DataFrame, test_size: float) -> SplitSizes:
     """Sizes of a stratified split (an action); ``ValueError`` where there is none."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    totals = class_counts(sessions).agg(
+    # Written once: everything about class sizes is derived from this table.
+    counts = materialize(class_counts(sessions), "class_counts")
+    totals = counts.agg(
         F.coalesce(F.sum("n_class"), F.lit(0)).alias("n"),
         F.count("*").alias("k"),
         F.min("n_class").alias("smallest"),
@@ -79,21 +103,21 @@ def split_sizes(sessions: DataFrame, test_size: float) -> SplitSizes:
         raise ValueError("every user needs at least two sessions to be split")
     if n_valid < totals["k"] or totals["n"] - n_valid < totals["k"]:
         raise ValueError("a split side would hold fewer sessions than there are users")
-    return SplitSizes(totals["n"], totals["k"], totals["largest"], n_valid)
+    return SplitSizes(counts, totals["n"], totals["k"], totals["largest"], n_valid)
 
 
-def _quotas(sessions: DataFrame, seeds: list[int], sizes: SplitSizes, bin_rows: int) -> DataFrame:
+def _quotas(seeds: list[int], sizes: SplitSizes, bin_rows: int) -> DataFrame:
     """Per user: its sessions and, per seed, how many of them are held out."""
     share = F.col("n_class") * sizes.n_valid
     remainder = share % sizes.sessions
-    shares = class_counts(sessions).select(
+    shares = sizes.counts.select(
         "user_id",
         "n_class",
         ((share - remainder) / sizes.sessions).cast("bigint").alias("base"),
         remainder.alias("remainder"),
     )
     # How many places rounding down leaves open; the same for every seed.
-    open_places = shares.agg(F.lit(sizes.n_valid) - F.sum("base")).scalar()
+    open_places = sizes.n_valid - shares.agg(F.sum("base")).first()[0]
     drawn = (
         shares.withColumn("seed", F.explode(F.lit(seeds)))
         .withColumn("draw", seeded_digest("seed", "user_id"))
@@ -133,7 +157,7 @@ def stratified_splits(
     candidates = (
         sessions.select("session_id", "user_id")
         # Joined before the seeds are unfolded: N rows, not N x seeds.
-        .join(_quotas(sessions, seeds, sizes, bin_rows), "user_id")
+        .join(_quotas(seeds, sizes, bin_rows), "user_id")
         .select("session_id", "user_id", "n_class", F.inline("quotas"))
         .withColumn("draw", seeded_digest("seed", "session_id"))
         .withColumn("bin", F.floor(digest_fraction(F.col("draw")) * user_bins))

@@ -12,6 +12,7 @@ from sensorloom.operators.alignment import align_train_test_features
 from sensorloom.operators.features import build_session_features, sensor_values
 from sensorloom.operators.layout import HOT_SESSION_ROWS, plan_layout
 from sensorloom.operators.quality import (
+    PROFILE_ROWS,
     event_profile,
     find_mixed_user_sessions,
     get_sensor_types,
@@ -49,11 +50,11 @@ def validation_report(events: DataFrame) -> dict[str, DataFrame]:
     profile = profiled.profile
     report = {
         "null_counts": null_counts_of_profile(profile, events.columns),
-        "session_size_stats": get_session_size_stats(profile),
+        "session_size_stats": get_session_size_stats(profile, weight=PROFILE_ROWS),
         "sensor_types": get_sensor_types(profile),
     }
     if profiled.labelled:
-        report["mixed_user_sessions"] = find_mixed_user_sessions(profile)
+        report["mixed_user_sessions"] = find_mixed_user_sessions(profile, weight=PROFILE_ROWS)
         report["user_session_counts"] = get_user_session_counts(profile)
         report["imbalance_ratio"] = imbalance(profile)
     return report
@@ -66,7 +67,7 @@ def audit_of(tables: dict[str, Profiled]) -> DataFrame:
         users = F.count_distinct("user_id") if table.labelled else F.lit(None).cast("bigint")
         audits.append(
             table.profile.agg(
-                F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+                F.coalesce(F.sum(PROFILE_ROWS), F.lit(0)).alias("n_rows"),
                 F.count_distinct("session_id").alias("n_sessions"),
                 users.alias("n_users"),
             ).select(

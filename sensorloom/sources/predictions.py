@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_predictions(predictions: DataFrame, path: str, single_file: bool = False) -> None:
+def write_predictions(predictions: DataFrame, path: str) -> None:
     """Write ``session_id,user_id`` as CSV with a header, sorted by session.
 
-    The sort is a range shuffle, so the part files are in order too.
-    ``single_file`` merges them into one and is meant for small outputs only.
+    The sort is a range shuffle, so the part files are in order too; who needs one
+    file concatenates them.
     """
     out = predictions.select("session_id", "user_id").orderBy("session_id")
-    if single_file:
-        out = out.coalesce(1)
     out.write.mode("overwrite").option("header", True).csv(path)

@@ -8,6 +8,8 @@ keeps the data columnar, so later readers still prune columns.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,7 +40,10 @@ def scratch_root(spark: SparkSession) -> str:
             "spark.checkpoint.dir must name a shared folder when running on a cluster"
         )
     if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="sensorloom-")
+        root = tempfile.mkdtemp(prefix="sensorloom-")
+        # Ours alone, and gone with this process.
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        _local_roots[context.applicationId] = root
     return _local_roots[context.applicationId]
 
 
@@ -55,6 +60,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class ScratchTables:
+    """Scratch tables of one piece of work, all in one folder that goes as a whole.
+
+    Used as a context: whatever :meth:`materialize` wrote is deleted at the end, so
+    only results that do not read it any more may be handed out. What has to
+    outlive it is written by the plain :func:`materialize`.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = fresh_path(spark, "work")
+
+    def __enter__(self) -> ScratchTables:
+        return self
+
+    def materialize(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *failure: object) -> None:
+        delete_folder(self.spark, self.folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of our own in whatever file system it lies."""
+    if "/sensorloom/" not in folder:
+        raise ValueError(f"{folder} is not a scratch folder")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_parallel(
     spark: SparkSession, tasks: list[Callable[[], Result]], at_a_time: int
 ) -> list[Result]:

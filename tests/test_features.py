@@ -1,17 +1,19 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.functions.columns import METRICS
+from sensorloom.functions.columns import METRICS, sensor_label
 from sensorloom.operators.alignment import align_train_test_features, feature_union
 from sensorloom.operators.features import (
     build_session_features,
     session_sensor_features,
     with_magnitude,
 )
-from sensorloom.operators.layout import SessionLayout, plan_layout
+from sensorloom.operators.layout import MAX_PARTITIONS, SessionLayout, plan_layout
 from sensorloom.operators.quality import event_profile
+from sensorloom.operators.splits import assemble
 from sensorloom.plans.reports import feature_job
 
 
@@ -30,21 +32,23 @@ def test_metric_count():
     assert len(METRICS) * 6 == 342
 
 
-def test_session_features(six_events):
-    features = build_session_features(six_events, has_label=True)
+def test_session_features(walk_events):
+    features = build_session_features(walk_events, has_label=True)
     assert features.columns[0] == "session_id" and features.columns[-1] == "user_id"
     assert len(features.columns) == 2 + 2 * 57
     rows = by_session(features)
-    assert len(rows) == 2
-    first = rows["session_1"]
-    assert first["user_id"] == "user_1"
-    assert first["sensor_1_field_0_mean"] == pytest.approx(2.0)
-    assert first["sensor_1_duration_ms"] == 1000
-    assert first["sensor_1_event_rate"] == pytest.approx(2 / 1001)
-    assert first["sensor_1_field_0_p50"] == 1.0
-    assert first["sensor_1_field_0_std"] == pytest.approx(math.sqrt(2))
-    assert first["sensor_1_mag_min"] == pytest.approx(math.sqrt(14))
-    assert rows["session_2"]["sensor_2_field_0_mean"] is None
+    assert set(rows) == {"walk-a", "walk-b", "walk-c"}
+    first = rows["walk-a"]
+    assert first["user_id"] == "ada" and rows["walk-c"]["user_id"] == "bo"
+    assert first["sensor_4_n_events"] == 3 and first["sensor_4_duration_ms"] == 480
+    assert first["sensor_4_event_rate"] == pytest.approx(3 / 481)
+    assert (first["sensor_4_mag_min"], first["sensor_4_mag_max"]) == (5.0, 9.0)
+    assert first["sensor_4_mag_p50"] == 7.0 and first["sensor_4_field_1_p50"] == 3.0
+    assert first["sensor_4_field_0_std"] == pytest.approx(math.sqrt(13))
+    assert first["sensor_11_event_rate"] == 1.0 and first["sensor_11_mag_mean"] == 2.5
+    # Of two values the lower one is the median.
+    assert rows["walk-b"]["sensor_4_field_0_p50"] == 8.0
+    assert rows["walk-b"]["sensor_11_field_0_mean"] is None
 
 
 def test_plain_co_located_and_hot_paths_agree(spark):
@@ -66,6 +70,9 @@ def test_plain_co_located_and_hot_paths_agree(spark):
     for threshold in (10**9, 1000, 100, 0):
         layout = plan_layout(profile, threshold)
         assert (layout.hot_sessions is None) == (threshold == 10**9)
+        if threshold == 100:
+            salts = {r["session_id"]: r["salts"] for r in layout.hot_sessions.collect()}
+            assert salts["hot"] == 20
         rows = session_sensor_features(events, layout=layout)
         assert rounded_rows(rows) == expected, threshold
     fixed = session_sensor_features(events, layout=SessionLayout(None, 5))
@@ -75,11 +82,34 @@ def test_plain_co_located_and_hot_paths_agree(spark):
 def test_layout_grows_with_the_table(spark):
     profile = spark.createDataFrame([("s1", 10**12), ("s2", 5)], "session_id string, n_rows bigint")
     layout = plan_layout(profile)
-    assert layout.partitions > 500_000
-    assert [r[0] for r in layout.hot_sessions.collect()] == ["s1"]
+    # More than a session's setting, but never more than a driver can look after.
+    assert layout.partitions == MAX_PARTITIONS == 50_000
+    assert [tuple(r) for r in layout.hot_sessions.collect()] == [("s1", 50_000)]
+    assert plan_layout(profile.withColumn("n_rows", F.lit(10**9))).partitions == 100
     assert plan_layout(profile.where("n_rows < 10")).partitions is None
 
 
+def test_medians_of_large_groups_keep_one_bound(spark):
+    """300,000 values per group: plain, placed and salted alike within n / accuracy."""
+    n, accuracy = 300_000, 10_000
+    events = spark.range(2 * n).selectExpr(
+        "cast(id AS string) AS uid",
+        "id AS timestamp",
+        "cast(id % 2 AS string) AS sensor_type",
+        # A permutation of 0 .. n-1 for each sensor: a value is its own rank.
+        f"cast((id div 2) * 7919 % {n} AS double) AS field_0",
+        *[f"cast(null AS double) AS field_{i}" for i in range(1, 8)],
+        "'s' AS session_id",
+        "'u' AS user_id",
+    )
+    profile = event_profile(events, with_nulls=False)
+    layouts = [None, SessionLayout(None, 6), plan_layout(profile, 50_000)]
+    assert layouts[2].hot_sessions is not None
+    for layout in layouts:
+        for row in session_sensor_features(events, layout=layout).collect():
+            assert abs(row["field_0_p50"] - n / 2) <= n / accuracy + 1
+
+
 def test_median_accuracy_is_passed_on(spark, make_events):
     events = make_events([(i, "1", float(i), 0.0, 0.0, "s", "u") for i in range(2000)])
     exact = session_sensor_features(events).first()["field_0_p50"]
@@ -113,23 +143,39 @@ def test_magnitude(make_events):
     assert [r["mag_012"] for r in rows.orderBy("uid").collect()] == [7.0, None]
 
 
-def test_any_sensor_name_gets_the_prefix(make_events):
-    events = make_events([(1, "acc", 1.0, 1.0, 1.0, "s", "u"), (1, None, 2.0, 1.0, 1.0, "s", "u")])
-    features = build_session_features(events, has_label=False)
-    row = features.first().asDict()
-    assert row["sensor_acc_field_0_mean"] == 1.0
-    assert row["sensor_null_field_0_mean"] == 2.0
+ODD_SENSORS = [None, "null", "A", "a", "a.b", "a_2eb", "it's `b`", "", "7", "é 中"]
+
 
+def test_sensor_labels_are_apart_and_plain():
+    labels = [sensor_label(s) for s in ODD_SENSORS]
+    assert len({label.lower() for label in labels}) == len(ODD_SENSORS)
+    assert all(re.fullmatch("[a-z0-9_]+", label) for label in labels)
+    assert sensor_label("19") == "19" and sensor_label(None) == "null"
+    assert sensor_label("null") == "xnull"
 
-def test_single_metric_column_order_and_listed_sensors(six_events):
-    features = build_session_features(six_events, has_label=False, sensors=["7", "1"])
+
+def test_odd_sensor_names_go_all_the_way(make_events):
+    events = make_events(
+        [(i, s, float(i), 1.0, 2.0, f"w{k}", "u") for i, s in enumerate(ODD_SENSORS) for k in (1, 2)]
+    )
+    tables = feature_job(events, events.where("session_id = 'w1'").drop("user_id"))
+    assert len(tables.features) == 57 * len(ODD_SENSORS)
+    row = tables.train.where("session_id = 'w2'").first()
+    for i, sensor in enumerate(ODD_SENSORS):
+        assert row[f"sensor_{sensor_label(sensor)}_field_0_mean"] == i
+    vector = assemble(tables.test, tables.features, ["session_id"]).first()["features"]
+    assert len(vector) == len(tables.features)
+
+
+def test_single_metric_column_order_and_listed_sensors(walk_events):
+    features = build_session_features(walk_events, has_label=False, sensors=["7", "4"])
     assert features.columns[1] == "sensor_7_n_events"
-    assert features.columns[58] == "sensor_1_n_events"
+    assert features.columns[58] == "sensor_4_n_events"
     rows = by_session(features)
-    assert rows["session_1"]["sensor_7_n_events"] is None
+    assert rows["walk-a"]["sensor_7_n_events"] is None
     # A session that only has unlisted sensors is kept.
-    only_2 = build_session_features(six_events.where("session_id = 'session_1'"), False, ["7"])
-    assert only_2.count() == 1
+    only_7 = build_session_features(walk_events.where("session_id = 'walk-a'"), False, ["7"])
+    assert only_7.count() == 1
 
 
 def test_label_join_keeps_every_label(make_events):
@@ -155,28 +201,28 @@ def test_label_join_keeps_every_label(make_events):
     assert users["s2"] == "u1" and users[None] is None
 
 
-def test_joined_and_carried_labels_agree(six_events):
-    joined = build_session_features(six_events, True)
-    carried = build_session_features(six_events, True, single_user=True)
+def test_joined_and_carried_labels_agree(walk_events):
+    joined = build_session_features(walk_events, True)
+    carried = build_session_features(walk_events, True, single_user=True)
     assert by_session(joined) == by_session(carried)
 
 
-def test_alignment(six_events):
-    train = build_session_features(six_events, True)
-    test = build_session_features(
-        six_events.where("session_id = 'session_2'").drop("user_id"), False
-    )
-    aligned_train, aligned_test, features = align_train_test_features(train, test)
-    assert len(aligned_train.columns) == len(features) + 2
-    assert len(aligned_test.columns) == len(features) + 1
-    assert aligned_train.columns == ["session_id", *features, "user_id"]
-    assert "sensor_2_field_0_mean" in aligned_test.columns
-    row = aligned_test.where("session_id = 'session_2'").first()
-    assert row["sensor_2_field_0_mean"] == pytest.approx(0.0)
-    assert row["sensor_1_field_0_mean"] == pytest.approx(3.0)
-    types = dict(aligned_train.dtypes)
-    assert {types[f] for f in features} == {"double"}
-    assert [types[f] for f in features] == [dict(aligned_test.dtypes)[f] for f in features]
+@pytest.mark.parametrize("unseen", ["4", "11"])
+def test_alignment_fills_what_one_side_never_saw(walk_events, unseen):
+    """Each sensor in turn is missing on the test side."""
+    train = build_session_features(walk_events, True)
+    other = walk_events.where(F.col("sensor_type") != unseen).drop("user_id")
+    left, right, features = align_train_test_features(train, build_session_features(other, False))
+    assert left.columns == ["session_id", *features, "user_id"]
+    assert right.columns == ["session_id", *features] and features == sorted(features)
+    assert {t for c, t in left.dtypes if c in features} == {"double"}
+    assert dict(right.dtypes).items() <= dict(left.dtypes).items()
+    for row in right.collect():
+        assert all(row[f] == 0.0 for f in features if f.startswith(f"sensor_{unseen}_"))
+    whole = by_session(left)
+    for row in right.collect():
+        kept = [f for f in features if not f.startswith(f"sensor_{unseen}_")]
+        assert [row[f] for f in kept] == [whole[row["session_id"]][f] for f in kept]
 
 
 def test_alignment_sorts_as_text_and_never_takes_the_label(spark):
@@ -193,23 +239,23 @@ def test_alignment_sorts_as_text_and_never_takes_the_label(spark):
     assert tuple(right.first()) == ("t", 0.0, 0.0, 0.0)
 
 
-def test_feature_job(six_events):
-    test = six_events.where("session_id = 'session_2'").drop("user_id")
-    tables = feature_job(six_events, test)
+def test_feature_job(walk_events):
+    test = walk_events.where("session_id <> 'walk-a'").drop("user_id")
+    tables = feature_job(walk_events, test)
     assert len(tables.features) == 114
-    assert (tables.train.count(), tables.test.count()) == (2, 1)
+    assert (tables.train.count(), tables.test.count()) == (3, 2)
     plain = align_train_test_features(
-        build_session_features(six_events, True), build_session_features(test, False)
+        build_session_features(walk_events, True), build_session_features(test, False)
     )
-    assert by_session(tables.train) == by_session(plain[0])
-    assert by_session(tables.test) == by_session(plain[1])
+    assert rounded_rows(tables.train) == rounded_rows(plain[0])
+    assert rounded_rows(tables.test) == rounded_rows(plain[1])
 
 
-def test_shuffles(spark, six_events, tmp_path, plan_text):
+def test_shuffles(spark, walk_events, tmp_path, plan_text):
     path = str(tmp_path / "events")
-    six_events.write.parquet(path)
+    walk_events.write.parquet(path)
     events = spark.read.parquet(path)
-    sensors = ["1", "2"]
+    sensors = ["4", "11"]
     plain = plan_text(build_session_features(events, True, sensors, single_user=True))
     assert plain.count("Exchange hashpartitioning") == 2
     assert "partial_avg" in plain
@@ -223,12 +269,14 @@ def test_shuffles(spark, six_events, tmp_path, plan_text):
     assert "uid" not in placed
 
 
-def test_hot_sessions_are_aggregated_before_they_move(spark, six_events, tmp_path, plan_text):
+def test_hot_sessions_take_one_scan(spark, walk_events, tmp_path, plan_text):
     path = str(tmp_path / "events")
-    six_events.write.parquet(path)
+    walk_events.write.parquet(path)
     events = spark.read.parquet(path)
-    hot = events.where(F.col("session_id") == "session_1").select("session_id").distinct()
-    rows = session_sensor_features(events, layout=SessionLayout(hot, 6))
+    layout = plan_layout(event_profile(events, with_nulls=False), 2)
+    rows = session_sensor_features(events, layout=layout)
     plan = plan_text(rows)
-    assert "Coalesce" in plan and "LeftAnti" in plan and "LeftSemi" in plan
-    assert rows.count() == 3
+    # The other scan is the table of hot sessions, which is broadcast.
+    assert plan.count("FileScan parquet") == 2 and plan.count("field_7") and "BroadcastHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and "partial_avg" in plan
+    assert rounded_rows(rows) == rounded_rows(session_sensor_features(events))

@@ -14,29 +14,28 @@ FEATURES = ["feature_1", "feature_2", "feature_3"]
 
 
 @pytest.fixture(scope="module")
-def two_groups(spark):
-    """Ten sessions around 0 and ten around 5."""
-    rng = np.random.default_rng(42)
-    rows = [
-        (f"s{user}{i}", f"user_{user}", *map(float, rng.normal(centre, 0.2, 3)))
-        for user, centre in (("a", 0.0), ("b", 5.0))
-        for i in range(10)
-    ]
+def rings(spark):
+    """Three walkers told apart by the length of a vector whose direction is random."""
+    rng = np.random.default_rng(20)
+    rows = []
+    for i in range(36):
+        direction = rng.normal(size=3)
+        length = 1.0 + 2 * (i % 3) + rng.uniform(-0.4, 0.4)
+        rows.append((f"r{i}", f"walker {i % 3}", *map(float, length * np.abs(direction) / np.linalg.norm(direction))))
     columns = ", ".join(f"{f} double" for f in FEATURES)
     return spark.createDataFrame(rows, f"session_id string, user_id string, {columns}")
 
 
-def test_final_forest_fits_and_predicts(two_groups):
+def test_final_forest_knows_its_training_sessions(rings):
     model = est.train_final_random_forest(
-        two_groups, FEATURES, est.ForestParams(n_estimators=20), random_state=42
+        rings, FEATURES, est.ForestParams(n_estimators=60), random_state=9
     )
-    predicted = est.predict_users(model, two_groups, FEATURES)
+    predicted = est.predict_users(model, rings, FEATURES)
     assert predicted.columns == ["session_id", "user_id"]
-    assert predicted.count() == 20
-    assert {r["user_id"] for r in predicted.collect()} <= {"user_a", "user_b"}
-    truth = two_groups.select("session_id", F.col("user_id").alias("truth"))
-    hits = predicted.join(truth, "session_id").where("user_id = truth").count()
-    assert hits / 20 >= 0.95
+    truth = {r["session_id"]: r["user_id"] for r in rings.collect()}
+    found = {r["session_id"]: r["user_id"] for r in predicted.collect()}
+    assert found.keys() == truth.keys() and set(found.values()) <= set(truth.values())
+    assert sum(found[s] == truth[s] for s in truth) >= 34
 
 
 def test_defaults_are_the_full_protocol():
@@ -74,22 +73,22 @@ def test_scaler_centres_and_flattens_constants(spark):
     assert stats["x"]["mean"] == pytest.approx(3.0) and stats["x"]["std"] == pytest.approx(std)
 
 
-def test_logistic_penalty_matches_population_scaling(two_groups):
+def test_logistic_penalty_matches_population_scaling(rings):
     """The fitted model solves C * loss + |w|^2 / 2 on population-scaled inputs."""
     settings = est.FitSettings(logistic_iterations=500)
-    index = est.fit_label_index(two_groups)
-    data = index.transform(assemble(two_groups, FEATURES, ["user_id"]))
-    fitted = Pipeline(stages=[est.logistic_regression(settings, 20, 0)]).fit(data)
+    classes, n_classes = est.class_table(rings)
+    data = est.with_label(assemble(rings, FEATURES, ["user_id"]), classes, n_classes)
+    fitted = Pipeline(stages=[est.logistic_regression(settings, 36, 0)]).fit(data)
     weights = fitted.stages[0].stages[1].coefficientMatrix.toArray()
     x = np.array([r["features"].toArray() for r in data.collect()])
     y = np.array([int(r["label"]) for r in data.collect()])
     x = (x - x.mean(0)) / x.std(0)
     # Scaled by the sample deviation, weights come out larger by sqrt(n / (n - 1)).
-    w = weights * math.sqrt(19 / 20)
+    w = weights * math.sqrt(35 / 36)
     logits = x @ w.T + fitted.stages[0].stages[1].interceptVector.toArray()
     p = np.exp(logits - logits.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    gradient = (p - np.eye(2)[y]).T @ x + w
+    gradient = (p - np.eye(3)[y]).T @ x + w
     assert np.abs(gradient).max() < 1e-3
 
 
@@ -117,7 +116,7 @@ def holdout(four_groups):
 
 
 def test_holdout_tables(holdout):
-    assert holdout.n_train == 32 and holdout.classes == ["u0", "u1", "u2", "u3"]
+    assert holdout.n_train == 32 and holdout.n_classes == 4
     for seed in (0, 1):
         assert holdout.train(seed).count() == 32
         assert holdout.valid(seed).count() == 8
@@ -125,6 +124,11 @@ def test_holdout_tables(holdout):
         assert both.isEmpty()
 
 
+def test_nothing_to_fit_is_an_error(holdout):
+    with pytest.raises(ValueError, match="no model"):
+        est.compare_predictions(holdout, est.LIGHT, models=[])
+
+
 def test_comparison(holdout):
     predictions = est.compare_predictions(holdout, est.LIGHT)
     counts = predictions.groupBy("model", "seed").count().collect()

@@ -51,54 +51,54 @@ def test_reordered_header_is_refused(spark, tmp_path):
         load_train_data(spark, str(path)).collect()
 
 
-def test_parquet_twin_finds_columns_by_name(spark, six_events, tmp_path):
+def test_parquet_twin_finds_columns_by_name(spark, walk_events, tmp_path):
     path = str(tmp_path / "events")
-    shuffled = six_events.select(*reversed(six_events.columns)).withColumn(
+    shuffled = walk_events.select(*reversed(walk_events.columns)).withColumn(
         "timestamp", F.col("timestamp").cast("int")
     )
     write_events(shuffled, path, fmt="parquet")
     back = load_train_data(spark, path, fmt="parquet")
     assert back.schema == TRAIN_SCHEMA
-    assert sorted(back.collect()) == sorted(six_events.collect())
+    assert sorted(back.collect()) == sorted(walk_events.collect())
     assert load_test_data(spark, path, fmt="parquet").columns == TEST_SCHEMA.names
 
 
-def test_parquet_scan_reads_only_what_is_used(spark, six_events, tmp_path, plan_text):
+def test_parquet_scan_reads_only_what_is_used(spark, walk_events, tmp_path, plan_text):
     path = str(tmp_path / "events")
-    write_events(six_events, path, fmt="parquet")
+    write_events(walk_events, path, fmt="parquet")
     plan = plan_text(load_train_data(spark, path, fmt="parquet").groupBy("session_id").count())
     assert "ReadSchema: struct<session_id:string>" in plan
 
 
-def test_profile_reads_three_columns(spark, six_events, tmp_path, plan_text):
+def test_profile_reads_three_columns(spark, walk_events, tmp_path, plan_text):
     path = str(tmp_path / "events")
-    write_events(six_events, path, fmt="parquet")
+    write_events(walk_events, path, fmt="parquet")
     events = load_train_data(spark, path, fmt="parquet")
     plan = plan_text(event_profile(events, with_nulls=False))
     assert "ReadSchema: struct<sensor_type:string,session_id:string,user_id:string>" in plan
     assert "partial_count" in plan
 
 
-def test_unknown_format(spark, six_events, tmp_path):
+def test_unknown_format(spark, walk_events, tmp_path):
     with pytest.raises(ValueError):
         read_events(spark, "x", labelled=True, fmt="orc")
     with pytest.raises(ValueError):
-        write_events(six_events, str(tmp_path / "x"), fmt="orc")
+        write_events(walk_events, str(tmp_path / "x"), fmt="orc")
 
 
-def test_audit_from_events_and_from_profiles(six_events):
-    tables = {"train": six_events, "test": six_events.drop("user_id")}
+def test_audit_from_events_and_from_profiles(walk_events):
+    tables = {"train": walk_events, "test": walk_events.drop("user_id")}
     expected = [("train", 6, 2, 2, 13), ("test", 6, 2, None, 12)]
     assert [tuple(r) for r in dataset_audit(tables).collect()] == expected
     profiles = {name: profile_events(df) for name, df in tables.items()}
     assert [tuple(r) for r in audit_of(profiles).collect()] == expected
 
 
-def test_preview_is_a_top_n(six_events, plan_text):
-    top = preview(six_events, 2, ["uid"])
+def test_preview_is_a_top_n(walk_events, plan_text):
+    top = preview(walk_events, 2, ["uid"])
     assert [r["uid"] for r in top.collect()] == ["e0", "e1"]
     assert "TakeOrderedAndProject" in plan_text(top)
-    assert preview(six_events).count() == 5
+    assert preview(walk_events).count() == 5
 
 
 def test_predictions_are_sorted_csv_with_header(spark, tmp_path):
@@ -118,8 +118,8 @@ def test_scratch_uses_the_named_folder(spark):
     assert fresh_path(spark, "t") != fresh_path(spark, "t")
 
 
-def test_profile_keeps_null_counts(spark, six_events):
-    holes = six_events.withColumn("field_1", F.when(F.col("uid") != "e0", F.col("field_1")))
+def test_profile_keeps_null_counts(spark, walk_events):
+    holes = walk_events.withColumn("field_1", F.when(F.col("uid") != "e0", F.col("field_1")))
     holes = holes.withColumn("user_id", F.when(F.col("uid") != "e5", F.col("user_id")))
     report = validation_report(holes)
     assert report["null_counts"].first() == get_null_counts(holes).first()

@@ -9,11 +9,12 @@ from sensorloom.operators.baselines import most_frequent_predictions, stratified
 from sensorloom.operators.ranking import binned_rank, binned_running_total
 from sensorloom.operators.splits import (
     assemble,
+    class_table,
     class_weights,
-    fit_label_index,
     held_out_seeds,
     split_sizes,
     stratified_splits,
+    with_label,
 )
 
 
@@ -122,10 +123,17 @@ def test_binned_ranks_equal_plain_ranks(spark):
             before += row["w"]
 
 
-def test_label_index_is_alphabetic(spark):
-    sessions = table(spark, {"b": 3, "a": 1, "c": 2})
-    indexed = fit_label_index(sessions).transform(sessions)
-    assert {(r["user_id"], r["label"]) for r in indexed.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+@pytest.mark.parametrize("bin_rows", [3, 1000])
+def test_label_index_is_alphabetic(spark, bin_rows):
+    names = ["b", "a", "c", "B", "ä", "10", "9", ""] + [f"u{i:03}" for i in range(20)]
+    sessions = table(spark, {name: 1 + i % 3 for i, name in enumerate(names)})
+    classes, n_classes = class_table(sessions, bin_rows)
+    assert n_classes == len(names)
+    found = {r["user_id"]: r["label"] for r in classes.collect()}
+    assert found == {name: i for i, name in enumerate(sorted(names))}
+    labelled = with_label(sessions, classes, n_classes)
+    assert labelled.count() == sessions.count()
+    assert labelled.schema["label"].metadata["ml_attr"]["num_vals"] == n_classes
 
 
 def test_vectors_keep_column_order(spark):
