@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# Writes a table under a name and returns a scan of it: ``materialize`` for what has to
+# last, the method of a ``ScratchTables`` for what may go when the operator is done.
+Store = Callable[[DataFrame, str], DataFrame]
+
 # Text bytes that a Python function looks at together.
 SLICE_BYTES = 4 << 20
 

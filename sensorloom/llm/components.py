@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.common import Store
 from sensorloom.sources.scratch import materialize
 
 
@@ -28,10 +29,10 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str, store: Store = materialize) -> DataFrame:
     """``node, component``: the nodes that some link leads down from, with the least
     node they reach. The least nodes themselves and nodes without links have no row."""
-    current = materialize(
+    current = store(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u <> v")
         .distinct(),
@@ -45,4 +46,4 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         if mark == before or mark[0] == 0:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = mark
-        current = materialize(_small_star(_large_star(current)), "stars")
+        current = store(_small_star(_large_star(current)), "stars")

@@ -45,13 +45,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import map_slices, texts_of, type_of
+from sensorloom.llm.common import Store, map_slices, texts_of, type_of
 from sensorloom.llm.components import connected_components
-from sensorloom.sources.scratch import materialize
+from sensorloom.sources.scratch import ScratchTables, materialize
 
 WORDS = 5
 # Nodes that share a shingle above which it makes no candidates.
 HOT = 16
+# A node that shares fewer cheap shingles with all others together than it needs from one
+# partner has no partner; shingles that meet by chance mostly end here.
+MAY_PAIR = "need <= 0 or cheap >= need"
 # The broadcast filter of ids never has more rows than this.
 FILTER_SLOTS = 1 << 21
 
@@ -179,7 +182,7 @@ def _whole_candidates(flagged: DataFrame) -> DataFrame:
     Of k shared cheap tokens: k is at least what either node needs, and with the hot
     tokens of the poorer node it makes up 4/9 of both sizes, as a Jaccard of 0.8 asks.
     """
-    cheap = flagged.where(F.col("c") <= HOT)
+    cheap = flagged.where(F.col("c") <= HOT).where(MAY_PAIR)
     sides = [
         cheap.select(
             "token",
@@ -198,11 +201,11 @@ def _whole_candidates(flagged: DataFrame) -> DataFrame:
     return counted.where("k >= need and k + hot >= overlap").select("a", "b")
 
 
-def _frequent(postings: DataFrame, name: str) -> DataFrame:
+def _frequent(postings: DataFrame, store: Store) -> DataFrame:
     """Postings of tokens that two nodes or more have, with their number ``c``."""
     counts = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     # Written, so that the join below reads two plain tables and a hot token can be split.
-    stored = materialize(counts, "token_counts")
+    stored = store(counts, "token_counts")
     return postings.join(stored.hint("shuffle_hash"), "token")
 
 
@@ -218,27 +221,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _flag_core(xshared: DataFrame) -> DataFrame:
     """Postings of the whole sets with ``need`` and the share of tokens that are not hot."""
-    stats = xshared.groupBy("node", "n").agg(F.count_if(F.col("c") > HOT).alias("hot"))
+    stats = xshared.groupBy("node", "n").agg(
+        F.count_if(F.col("c") > HOT).alias("hot"), F.count_if(F.col("c") <= HOT).alias("cheap")
+    )
     need = F.expr(f"{_sql_required('n')} - hot")
     stats = stats.select(
-        "node", "hot", need.alias("need"), (1 - F.col("hot") / F.col("n")).alias("other")
+        "node", "hot", "cheap", need.alias("need"), (1 - F.col("hot") / F.col("n")).alias("other")
     )
     return xshared.join(stats, "node")
 
 
-def _centre_pairs(flagged: DataFrame) -> DataFrame:
+def _centre_pairs(flagged: DataFrame, store: Store) -> DataFrame:
     """Each core node with the centres of its hot tokens."""
     hot = flagged.where((F.col("need") <= 0) & (F.col("c") > HOT))
     centres = hot.groupBy("token").agg(
         F.min(F.struct("other", F.col("node").alias("b"), F.col("n").alias("nb"))).alias("centre")
     )
-    met = hot.join(materialize(centres, "centres"), "token").select(
+    met = hot.join(store(centres, "centres"), "token").select(
         F.col("node").alias("a"), F.col("centre.b").alias("b"), "n", F.col("centre.nb").alias("nb")
     )
     return met.where("a <> b").where(_close("n", "nb")).select("a", "b").distinct()
 
 
-def _rest_pairs(flagged: DataFrame, components: DataFrame) -> DataFrame:
+def _rest_pairs(flagged: DataFrame, components: DataFrame, store: Store) -> DataFrame:
     """Core nodes in different components that share hot tokens only.
 
     All they share lies in either one's h hot tokens and is at least 4/9 of both sizes
@@ -253,7 +258,7 @@ def _rest_pairs(flagged: DataFrame, components: DataFrame) -> DataFrame:
     spread = placed.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     )
-    live = materialize(spread.where("low <> high").select("token"), "live_tokens")
+    live = store(spread.where("low <> high").select("token"), "live_tokens")
     # At most the tokens of one set.
     order = F.array_sort(F.collect_list(F.struct("c", "token")))
     ordered = placed.groupBy("node", "n", "hot", "component").agg(order.alias("ordered"))
@@ -261,7 +266,7 @@ def _rest_pairs(flagged: DataFrame, components: DataFrame) -> DataFrame:
     prefix = ordered.select(
         "node", "n", "component", "hot", F.posexplode(F.slice("ordered", F.lit(1), width)).alias("i", "t")
     ).select("node", "n", "component", (F.col("hot") - F.col("i")).alias("left"), "t.token")
-    open_ = materialize(prefix.join(live, "token", "left_semi"), "core_prefixes")
+    open_ = store(prefix.join(live, "token", "left_semi"), "core_prefixes")
     sides = [
         open_.select(
             "token",
@@ -280,22 +285,27 @@ def _rest_pairs(flagged: DataFrame, components: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_classes(
+    docs: DataFrame, store: Store = materialize
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures per row, classes ``d1, d2, n, node`` and links ``a, b`` between nodes."""
-    rows = materialize(signatures(docs), "signatures")
+    rows = store(signatures(docs), "signatures")
     classes = (
         rows.where("n > 0 and doc_id is not null")
         .groupBy("d1", "d2", "n")
         .agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"))
     )
-    nodes = materialize(classes, "nodes")
+    nodes = store(classes, "nodes")
     postings = nodes.select("node", "n", F.explode("tokens").alias("token"))
-    shared = materialize(_frequent(postings, "first"), "shared_tokens")
-    hot = shared.groupBy("node", "n").agg(F.count_if(F.col("c") > HOT).alias("hot"))
-    needs = materialize(
-        hot.select("node", F.expr(f"{_sql_least_extra('n')} - hot").alias("need")), "needs"
+    shared = store(_frequent(postings, store), "shared_tokens")
+    counted = shared.groupBy("node", "n").agg(
+        F.count_if(F.col("c") > HOT).alias("hot"), F.count_if(F.col("c") <= HOT).alias("cheap")
+    )
+    needs = store(
+        counted.select("node", F.expr(f"{_sql_least_extra('n')} - hot").alias("need"), "cheap"),
+        "needs",
     )
-    first = materialize(_candidates(shared.join(needs, "node")), "candidates")
+    first = store(_candidates(shared.join(needs.where(MAY_PAIR), "node")), "candidates")
     costly = needs.where("need <= 0").select("node")
     involved = (
         first.select(F.col("a").alias("node"))
@@ -303,30 +313,32 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .unionByName(costly)
         .distinct()
     )
-    keyed = materialize(
+    keyed = store(
         nodes.select("node", "d1", "d2").join(involved, "node", "left_semi"), "involved"
     )
-    sets = materialize(_sets_of(docs, keyed), "sets")
+    sets = store(_sets_of(docs, keyed), "sets")
     whole = sets.join(costly, "node", "left_semi").select("node", "n", F.explode("tokens").alias("token"))
-    flagged = materialize(_flag_core(_frequent(whole, "whole")), "whole_postings")
-    pairs = first.unionByName(_whole_candidates(flagged)).unionByName(_centre_pairs(flagged))
-    links = materialize(_verified(pairs.distinct(), sets), "first_links")
-    met = connected_components(links, "a", "b")
-    rest = materialize(_verified(_rest_pairs(flagged, met), sets), "rest_links")
+    flagged = store(_flag_core(_frequent(whole, store)), "whole_postings")
+    pairs = first.unionByName(_whole_candidates(flagged)).unionByName(_centre_pairs(flagged, store))
+    links = store(_verified(pairs.distinct(), sets), "first_links")
+    met = connected_components(links, "a", "b", store)
+    rest = store(_verified(_rest_pairs(flagged, met, store), sets), "rest_links")
     return rows, nodes.drop("tokens"), links.unionByName(rest)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs``."""
-    rows, nodes, links = similar_classes(docs)
-    components = connected_components(links, "a", "b")
-    known = materialize(
-        nodes.join(components, "node", "left").select(
+    with ScratchTables(docs.sparkSession) as scratch:
+        store = scratch.materialize
+        rows, nodes, links = similar_classes(docs, store)
+        components = connected_components(links, "a", "b", store)
+        known = nodes.join(components, "node", "left").select(
             "d1", "d2", "n", F.coalesce("component", "node").alias("component")
-        ),
-        "classes",
-    )
-    joined = rows.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
+        )
+        # All that the result reads; the rest goes now.
+        known = materialize(known, "classes")
+        rows = materialize(rows.select("doc_id", "n", "d1", "d2"), "signatures")
+    joined = rows.join(known, ["d1", "d2", "n"], "left")
     return joined.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
