@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import map_slices, texts_of, type_of
-from sensorloom.sources.scratch import materialize
+from sensorloom.llm.common import Store, map_slices, texts_of, type_of
+from sensorloom.sources.scratch import ScratchTables, materialize
 
 # On average a chunk ends at every third line.
 BORDER = 3
@@ -153,11 +153,11 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select(row.alias("row"), "chunk", "digest", "is_first", "begin", "end", "body")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, store: Store = materialize) -> DataFrame:
     """``row, spans``: per document the (begin, end) characters to be removed."""
-    occurrences = materialize(chunk_occurrences(docs), "chunks")
+    occurrences = store(chunk_occurrences(docs), "chunks")
     place = F.struct(F.col("row.id").isNull().alias("last"), "row", "chunk")
-    repeated = materialize(
+    repeated = store(
         occurrences.groupBy("digest")
         .agg(F.count("*").alias("n"), F.min(place).alias("first"))
         .where("n > 1")
@@ -171,7 +171,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = hits.groupBy("row").agg(
         F.collect_set(F.struct("chunk", "digest", "is_first")).alias("chunks")
     )
-    copies = materialize(_cut_out(docs, wanted), "repeated_chunk_texts")
+    copies = store(_cut_out(docs, wanted), "repeated_chunk_texts")
     # The bytes are compared by grouping: copies of one chunk meet map-side. A body
     # without a first occurrence only shares the digest and stays.
     bodies = copies.groupBy("digest", "body").agg(F.max("is_first").alias("has_first"))
@@ -197,7 +197,9 @@ def _without(text: Column, spans: Column) -> Column:
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks cut out, and ``chunks_removed`` (long) per row."""
-    drops = materialize(repeated_spans(docs), "removals").select(
+    with ScratchTables(docs.sparkSession) as scratch:
+        removals = materialize(repeated_spans(docs, scratch.materialize), "removals")
+    drops = removals.select(
         F.col("row").alias("__dedup_row"), F.col("spans").alias("__dedup_spans")
     )
     text = F.col("text").cast("string")

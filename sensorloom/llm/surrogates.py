@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import map_slices
-from sensorloom.sources.scratch import materialize
+from sensorloom.llm.common import Store, map_slices
+from sensorloom.sources.scratch import ScratchTables, materialize
 
 KEY = "change-me"
 # Patterns of the entity types, in order of precedence.
@@ -271,7 +271,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
-def assign(entities: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
+def assign(
+    entities: DataFrame, key: str, max_rounds: int = 64, store: Store = materialize
+) -> DataFrame:
     """``kind, normal, drawn``: a surrogate for each distinct entity, all different.
 
     Gender does not make names different, so the kinds are checked in families. Each
@@ -308,9 +310,9 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
         # Of those who drew the same, the least keeps it.
         winner = free.groupBy("family", "drawn").agg(F.min(F.struct("kind", "normal")).alias("w"))
         won = winner.select("w.kind", "w.normal", "drawn", "family")
-        won = materialize(won, f"surrogates_{round_}")
+        won = store(won, f"surrogates_{round_}")
         settled = won if settled is None else settled.unionByName(won)
-        open_ = materialize(
+        open_ = store(
             open_.join(won, ["kind", "normal"], "left_anti").select("kind", "normal"),
             f"open_{round_}",
         )
@@ -321,17 +323,21 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``entities``: (begin, end, kind) in the new text."""
-    found = materialize(occurrences(docs).dropDuplicates(["text_key"]), "entities")
-    single = found.select("text_key", F.inline("found"))
-    distinct = materialize(single.select("kind", "normal").distinct(), "distinct_entities")
-    drawn = assign(distinct, key)
-    # Bounded by the entities of one text.
-    per_text = materialize(
-        single.join(drawn, ["kind", "normal"])
-        .groupBy("text_key")
-        .agg(F.array_sort(F.collect_list(F.struct("begin", "end", "kind", "drawn"))).alias("__pii_plan")),
-        "replacements",
-    )
+    with ScratchTables(docs.sparkSession) as scratch:
+        store = scratch.materialize
+        found = store(occurrences(docs).dropDuplicates(["text_key"]), "entities")
+        single = found.select("text_key", F.inline("found"))
+        distinct = store(single.select("kind", "normal").distinct(), "distinct_entities")
+        drawn = assign(distinct, key, store=store)
+        plan = F.array_sort(F.collect_list(F.struct("begin", "end", "kind", "drawn")))
+        # Bounded by the entities of one text. Written, so that the texts of a hot key
+        # can be split in the join below.
+        per_text = materialize(
+            single.join(drawn, ["kind", "normal"])
+            .groupBy("text_key")
+            .agg(plan.alias("__pii_plan")),
+            "replacements",
+        )
 
     def run(batches):
         for batch in batches:
