@@ -7,7 +7,7 @@ some sensors only and ``field_5`` to ``field_7`` never.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators.alignment import align_train_test_features
@@ -23,6 +23,13 @@ TEST_SLOT = "%-4"
 N_CLASSES = 4
 
 
+def epoch_millis(ts: str) -> Column:
+    """Milliseconds of a zone-less timestamp, read as UTC whatever the session's zone is."""
+    days = F.date_diff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = F.floor(F.expr(f"extract(SECOND FROM {ts})") * 1000)
+    return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000 + seconds
+
+
 def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events in the labelled event layout (B1)."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -34,7 +41,7 @@ def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = F.floor((F.dayofmonth("ts") - 1) / 6).cast("int").cast("string")
     columns = {
         "uid": event_id,
-        "timestamp": F.unix_millis(F.col("ts").cast("timestamp")),
+        "timestamp": epoch_millis("ts"),
         "sensor_type": sensor,
         "field_0": value,
         "field_1": F.get_json_object("props", "$.k"),

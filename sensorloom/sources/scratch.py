@@ -88,6 +88,9 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of our own in whatever file system it lies."""
     if "/sensorloom/" not in folder:
         raise ValueError(f"{folder} is not a scratch folder")
+    if not hasattr(spark, "_jvm"):
+        # A remote session reaches no file system; the folder's owner expires it.
+        return
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

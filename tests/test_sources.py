@@ -1,8 +1,10 @@
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.views import epoch_millis
 from sensorloom.operators.quality import event_profile, get_null_counts
 from sensorloom.plans.reports import audit_of, profile_events, validation_report
 from sensorloom.sources.events import (
@@ -16,7 +18,13 @@ from sensorloom.sources.events import (
     write_events,
 )
 from sensorloom.sources.predictions import write_predictions
-from sensorloom.sources.scratch import fresh_path, scratch_root
+from sensorloom.sources.scratch import (
+    ScratchTables,
+    delete_folder,
+    fresh_path,
+    materialize,
+    scratch_root,
+)
 
 HEADER = "uid,timestamp,sensor_type," + ",".join(f"field_{i}" for i in range(8))
 
@@ -88,7 +96,7 @@ def test_unknown_format(spark, walk_events, tmp_path):
 
 def test_audit_from_events_and_from_profiles(walk_events):
     tables = {"train": walk_events, "test": walk_events.drop("user_id")}
-    expected = [("train", 6, 2, 2, 13), ("test", 6, 2, None, 12)]
+    expected = [("train", 7, 3, 2, 13), ("test", 7, 3, None, 12)]
     assert [tuple(r) for r in dataset_audit(tables).collect()] == expected
     profiles = {name: profile_events(df) for name, df in tables.items()}
     assert [tuple(r) for r in audit_of(profiles).collect()] == expected
@@ -107,10 +115,13 @@ def test_predictions_are_sorted_csv_with_header(spark, tmp_path):
         [("s3", "u1", 1), ("s1", "u2", 2), ("s2", "u1", 3)],
         "session_id string, user_id string, x int",
     )
-    write_predictions(rows, str(path), single_file=True)
-    write_predictions(rows, str(path), single_file=True)
-    (part,) = path.glob("*.csv")
-    assert part.read_text() == "session_id,user_id\ns1,u2\ns2,u1\ns3,u1\n"
+    write_predictions(rows, str(path))
+    write_predictions(rows, str(path))
+    parts = [part.read_text() for part in sorted(path.glob("*.csv"))]
+    assert all(part.startswith("session_id,user_id\n") for part in parts)
+    # Part after part, the sessions are in order.
+    lines = [line for part in parts for line in part.splitlines()[1:]]
+    assert lines == ["s1,u2", "s2,u1", "s3,u1"]
 
 
 def test_scratch_uses_the_named_folder(spark):
@@ -123,4 +134,30 @@ def test_profile_keeps_null_counts(spark, walk_events):
     holes = holes.withColumn("user_id", F.when(F.col("uid") != "e5", F.col("user_id")))
     report = validation_report(holes)
     assert report["null_counts"].first() == get_null_counts(holes).first()
-    assert event_profile(holes).agg(F.sum("n_rows")).first()[0] == 6
+    assert event_profile(holes).agg(F.sum("n_rows")).first()[0] == 7
+
+
+def test_scratch_tables_go_as_a_whole(spark):
+    kept = materialize(spark.range(3), "kept")
+    with ScratchTables(spark) as scratch:
+        own = scratch.materialize(spark.range(5), "own")
+        assert own.count() == 5 and Path(scratch.folder.removeprefix("file:")).exists()
+    assert not Path(scratch.folder.removeprefix("file:")).exists()
+    assert kept.count() == 3
+    with pytest.raises(ValueError):
+        delete_folder(spark, "/tmp/somewhere-else")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/St_Johns"])
+def test_event_times_do_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        table = spark.sql(
+            "SELECT timestamp_ntz'2024-03-10 02:30:01.987654' AS ts "
+            "UNION ALL SELECT timestamp_ntz'1970-01-02 00:00:00.001' UNION ALL SELECT null"
+        )
+        found = {r[0] for r in table.select(epoch_millis("ts")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found == {1710037801987, 86400001, None}
