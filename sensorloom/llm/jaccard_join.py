@@ -100,6 +100,12 @@ def _sql_required(n: str) -> str:
     return f"((4 * {n} + 4) div 5)"
 
 
+def _sql_prefix(n: str) -> str:
+    """Length of the first prefix."""
+    o = _sql_required(n)
+    return f"({n} - {o} + least({o}, 1 + greatest(2, {n} div 32)))"
+
+
 def _sql_least_extra(n: str) -> str:
     """L of the smallest set that can be similar to one of n."""
     m = _sql_required(n)
@@ -138,21 +144,26 @@ def signatures(docs: DataFrame, sets: bool = False) -> DataFrame:
     return map_slices(texts_of(docs), "text", run, schema)
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, n, tokens`` with the whole sets of some nodes (``node, d1, d2``)."""
+def _sets_of(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """``node, n, tokens`` with the whole sets of some nodes (``node, d1, d2``).
+
+    ``repeated``: whether ``docs`` may hold a row twice.
+    """
     slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_SLOTS))
     slots = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_SLOTS)).alias("slot")).distinct()
     # At most FILTER_SLOTS numbers, so it may be broadcast; it keeps most texts
     # from being shuffled. The join by id below is the exact one.
     near = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     near = near.join(F.broadcast(slots), slot == slots["slot"], "left_semi")
-    wanted = nodes.select("node", "d1", "d2")
-    exact = near.join(wanted.select("node").distinct(), near["doc_id"] == F.col("node"), "left_semi")
-    sets = signatures(exact, sets=True).withColumnRenamed("doc_id", "node")
-    # Of rows with one id, those whose set is the class's.
-    return sets.join(wanted, ["node", "d1", "d2"], "left_semi").dropDuplicates(["node", "d1", "d2"]).select(
-        "node", "n", "tokens"
-    )
+    wanted = nodes.select("node", F.struct("d1", "d2").alias("digest"))
+    exact = near.join(wanted, near["doc_id"] == F.col("node"))
+    # The digest rides along: of rows with one id, only those count whose set is the class's.
+    keyed = exact.select(F.struct("node", "digest").alias("doc_id"), "text")
+    sets = signatures(keyed, sets=True).where("doc_id.digest = struct(d1, d2)")
+    found = sets.select("doc_id.node", "n", "tokens", "d1", "d2")
+    if repeated:
+        found = found.dropDuplicates(["node", "d1", "d2"])
+    return found.drop("d1", "d2")
 
 
 def _close(a: str, b: str) -> Column:
@@ -161,19 +172,34 @@ def _close(a: str, b: str) -> Column:
 
 
 def _candidates(shared: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` from postings ``token, node, n, c, need`` of first prefixes.
+    """Pairs ``a, b`` from postings ``token, node, n, c, need, hot`` of first prefixes.
 
     A node with ``need`` > 0 makes candidates: of all that share at least ``need``
-    of its cheap tokens. Two such nodes are looked at from one side only.
+    of its cheap tokens. Two such nodes are looked at from one side only. Besides the
+    k cheap tokens, a pair can share the hot ones of the poorer prefix and what lies
+    behind the prefixes; together that must be 4/9 of both sizes.
     """
-    cheap = shared.where(F.col("c") <= HOT)
-    makers = cheap.where("need > 0").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "need")
-    others = cheap.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"))
-    met = makers.join(others, "token").where("a <> b and (need_b <= 0 or a < b)").where(_close("na", "nb"))
-    counted = met.groupBy("a", "b", F.greatest("need", "need_b").alias("need")).agg(
-        F.count("*").alias("k")
+    cheap = shared.where(F.col("c") <= HOT).withColumn("behind", F.expr(f"n - {_sql_prefix('n')}"))
+    sides = [
+        cheap.select(
+            "token",
+            *[F.col(c).alias(f"{c}_{s}") for c in ("n", "need", "hot", "behind")],
+            F.col("node").alias(s),
+        )
+        for s in "ab"
+    ]
+    met = (
+        sides[0]
+        .where("need_a > 0")
+        .join(sides[1], "token")
+        .where("a <> b and (need_b <= 0 or a < b)")
+        .where(_close("n_a", "n_b"))
     )
-    return counted.where("k >= need").select("a", "b")
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * 4 / 9 - 1e-6)
+    elsewhere = F.least("hot_a", "hot_b") + F.greatest("behind_a", "behind_b")
+    least = F.greatest("need_a", "need_b", overlap - elsewhere).alias("least_k")
+    counted = met.groupBy("a", "b", least).agg(F.count("*").alias("k"))
+    return counted.where("k >= least_k").select("a", "b")
 
 
 def _whole_candidates(flagged: DataFrame) -> DataFrame:
@@ -302,7 +328,7 @@ def similar_classes(
         F.count_if(F.col("c") > HOT).alias("hot"), F.count_if(F.col("c") <= HOT).alias("cheap")
     )
     needs = store(
-        counted.select("node", F.expr(f"{_sql_least_extra('n')} - hot").alias("need"), "cheap"),
+        counted.select("node", F.expr(f"{_sql_least_extra('n')} - hot").alias("need"), "cheap", "hot"),
         "needs",
     )
     first = store(_candidates(shared.join(needs.where(MAY_PAIR), "node")), "candidates")
@@ -316,7 +342,8 @@ def similar_classes(
     keyed = store(
         nodes.select("node", "d1", "d2").join(involved, "node", "left_semi"), "involved"
     )
-    sets = store(_sets_of(docs, keyed), "sets")
+    twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    sets = store(_sets_of(docs, keyed, repeated=not twice.isEmpty()), "sets")
     whole = sets.join(costly, "node", "left_semi").select("node", "n", F.explode("tokens").alias("token"))
     flagged = store(_flag_core(_frequent(whole, store)), "whole_postings")
     pairs = first.unionByName(_whole_candidates(flagged)).unionByName(_centre_pairs(flagged, store))
