@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, sets: bool = False) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
-    """``node, n, tokens`` with the whole sets of some nodes (``node, d1, d2``).
+    """``node, n, tokens, costly`` with the whole sets of some nodes (``node, d1, d2, costly``).
 
     ``repeated``: whether ``docs`` may hold a row twice.
     """
@@ -155,12 +155,12 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     # from being shuffled. The join by id below is the exact one.
     near = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     near = near.join(F.broadcast(slots), slot == slots["slot"], "left_semi")
-    wanted = nodes.select("node", F.struct("d1", "d2").alias("digest"))
+    wanted = nodes.select("node", F.struct("d1", "d2", "costly").alias("digest"))
     exact = near.join(wanted, near["doc_id"] == F.col("node"))
     # The digest rides along: of rows with one id, only those count whose set is the class's.
     keyed = exact.select(F.struct("node", "digest").alias("doc_id"), "text")
-    sets = signatures(keyed, sets=True).where("doc_id.digest = struct(d1, d2)")
-    found = sets.select("doc_id.node", "n", "tokens", "d1", "d2")
+    sets = signatures(keyed, sets=True).where("doc_id.digest.d1 = d1 and doc_id.digest.d2 = d2")
+    found = sets.select("doc_id.node", "n", "tokens", "doc_id.digest.costly", "d1", "d2")
     if repeated:
         found = found.dropDuplicates(["node", "d1", "d2"])
     return found.drop("d1", "d2")
@@ -332,24 +332,23 @@ def similar_classes(
         "needs",
     )
     first = store(_candidates(shared.join(needs.where(MAY_PAIR), "node")), "candidates")
-    costly = needs.where("need <= 0").select("node")
+    # The flag travels with a set, so that no set is shuffled to find it.
+    met = [first.select(F.col(side).alias("node"), F.lit(False).alias("costly")) for side in "ab"]
+    costly = needs.where("need <= 0").select("node", F.lit(True).alias("costly"))
     involved = (
-        first.select(F.col("a").alias("node"))
-        .unionByName(first.select(F.col("b").alias("node")))
-        .unionByName(costly)
-        .distinct()
-    )
-    keyed = store(
-        nodes.select("node", "d1", "d2").join(involved, "node", "left_semi"), "involved"
+        met[0].unionByName(met[1]).unionByName(costly).groupBy("node").agg(F.max("costly").alias("costly"))
     )
+    keyed = store(nodes.select("node", "d1", "d2").join(involved, "node"), "involved")
     twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     sets = store(_sets_of(docs, keyed, repeated=not twice.isEmpty()), "sets")
-    whole = sets.join(costly, "node", "left_semi").select("node", "n", F.explode("tokens").alias("token"))
+    whole = sets.where("costly").select("node", "n", F.explode("tokens").alias("token"))
     flagged = store(_flag_core(_frequent(whole, store)), "whole_postings")
     pairs = first.unionByName(_whole_candidates(flagged)).unionByName(_centre_pairs(flagged, store))
     links = store(_verified(pairs.distinct(), sets), "first_links")
-    met = connected_components(links, "a", "b", store)
-    rest = store(_verified(_rest_pairs(flagged, met, store), sets), "rest_links")
+    joined = connected_components(links, "a", "b", store)
+    # Core nodes are costly ones.
+    core = sets.where("costly")
+    rest = store(_verified(_rest_pairs(flagged, joined, store), core), "rest_links")
     return rows, nodes.drop("tokens"), links.unionByName(rest)
 
 
