@@ -175,7 +175,8 @@ def repeated_spans(docs: DataFrame, store: Store = materialize) -> DataFrame:
     # The bytes are compared by grouping: copies of one chunk meet map-side. A body
     # without a first occurrence only shares the digest and stays.
     bodies = copies.groupBy("digest", "body").agg(F.max("is_first").alias("has_first"))
-    strangers = bodies.where("not has_first").select("digest", "body")
+    # Written, as it is nearly always empty: known small, it does not make the copies move.
+    strangers = store(bodies.where("not has_first").select("digest", "body"), "strangers")
     removed = copies.where("not is_first").join(strangers, ["digest", "body"], "left_anti")
     return removed.groupBy("row").agg(
         F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans")
