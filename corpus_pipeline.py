@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import jaccard_join, line_dedup, packing, quality_rules, surrogates
+from sensorloom.llm import jaccard_join, line_dedup, packing, passages, quality_rules, surrogates
 from sensorloom.llm.common import read_table
 from sensorloom.sources.scratch import materialize
 
@@ -46,6 +46,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays; then repeated passages go,
+    which line dedup leaves where they are no whole chunks.
+
+    In this order a near copy goes as a whole and leaves no scraps around its edits.
+    """
+    once = materialize(_one_of_each_group(docs), "one_of_each_group")
+    cleaned = passages.remove_repeated_passages(once)
+    touched = F.col("passages_removed") > 0
+    left = cleaned.where(~touched | F.col("text").rlike(NO_BLANK))
+    return _same_columns(left, docs, touched)
+
+
+def _one_of_each_group(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least id.
 
     Rows without an id or without a word belong to no group and stay; rows that agree in id

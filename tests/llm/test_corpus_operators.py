@@ -16,6 +16,7 @@ from sensorloom.llm import (
     licenses,
     line_dedup,
     maxscore,
+    passages,
     perspectives,
     quality_rules,
     surrogates,
@@ -221,6 +222,56 @@ def test_line_dedup_against_plain_version(documents, sentence, odd_rows):
     assert line_dedup.remove_repeated_chunks(table.limit(0)).count() == 0
 
 
+# --- passages ---
+
+
+def plain_passages(rows):
+    """Words per (id, text) without runs of 50 that stand earlier, run by run."""
+    first, out = {}, {}
+    for d, text in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
+        words = text.encode().split()
+        gone = set()
+        for at in range(len(words) - 49):
+            place = first.setdefault(tuple(words[at : at + 50]), (d, text, at))
+            if place[:2] != (d, text) or at >= place[2] + 50:
+                gone.update(range(at, at + 50))
+        out[d, text] = [w for i, w in enumerate(words) if i not in gone]
+    return out
+
+
+def test_repeated_passages_go_wherever_they_begin(spark, documents, sentence, odd_rows):
+    lines = "\n".join(sentence(900 + i, 20) for i in range(3))
+    inside = sentence(910, 50)
+    rows = odd_rows + [
+        (30, f"{sentence(1, 31)}\n{lines}\n{sentence(2, 31)}"),
+        (31, f"{sentence(3, 31)}\n{lines}\n{sentence(4, 31)}"),
+        (32, f"{sentence(5, 31)} {inside} {sentence(6, 31)}\nend"),
+        (33, f"{sentence(7, 31)} {inside} {sentence(8, 31)}\nend"),
+        (34, f"{sentence(9, 31)} {inside[:-1]}\nend"),
+        (35, f"{inside.replace(' ', chr(10))} {sentence(10, 9)} {lines}"),
+        (36, "a b " * 100),
+        (37, sentence(11, 70) + " x " + sentence(11, 70)),
+    ]
+    table = documents(rows).withColumns({c: F.lit(c) for c in ["row", "marks", "digest", "spans"]})
+    cleaned = passages.remove_repeated_passages(table)
+    assert cleaned.columns == [*table.columns, "passages_removed"]
+    assert cleaned.count() == len(rows)
+    expected = plain_passages(rows)
+    found = cleaned.where("doc_id >= 30").collect()
+    new = {r["doc_id"]: r["text"] for r in found}
+    for d, text in rows[len(odd_rows) :]:
+        assert new[d].encode().split() == expected[d, text]
+    assert new[31] == f"{sentence(3, 31)}\n{sentence(4, 31)}"
+    assert new[33] == f"{sentence(7, 31)} {sentence(8, 31)}\nend"
+    assert new[34] == dict(rows)[34] and new[35] == sentence(10, 9)
+    # The stage of the pipeline does the same.
+    staged = corpus_pipeline.near_duplicates(spark, table, "").collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in staged if r["text"] is not None)
+    staged = {r["doc_id"]: r["text"] for r in staged}
+    assert inside not in staged[33] and lines not in staged[31] and inside in staged[32]
+    assert passages.remove_repeated_passages(table.limit(0)).count() == 0
+
+
 # --- surrogates ---
 
 PRIVATE = (
