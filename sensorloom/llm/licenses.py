@@ -50,6 +50,10 @@ class Template:
     label: str
     words: str
     phrase: bool = False
+    # What makes a label sure besides the threshold: words that must be met, or one of
+    # these sequences as it stands.
+    must: tuple[str, ...] = ()
+    forms: tuple[str, ...] = ()
 
 
 PHRASES = (
@@ -79,24 +83,58 @@ PASSAGES = (
         "gpl",
         "this program is free software you can redistribute it and or modify it under the terms "
         "of the gnu general public license as published by the free software foundation",
+        must=("gnu",),
+    ),
+    Template(
+        "gpl-use",
+        "gpl",
+        "licensed under the gnu general public license version",
+        forms=("licensed under the gnu general public license version",),
     ),
-    Template("gpl-use", "gpl", "licensed under the gnu general public license version"),
     Template(
         "apache-notice",
         "apache",
         "licensed under the apache license version 2 0 you may not use this file except in "
         "compliance with the license",
+        must=("apache",),
+    ),
+    Template(
+        "apache-use",
+        "apache",
+        "licensed under the apache license version 2 0",
+        forms=("licensed under the apache license version 2 0",),
+    ),
+    Template(
+        "cc-by-nc-use",
+        "cc-by-nc",
+        "licensed under cc by nc 4 0",
+        forms=(
+            "licensed under cc by nc 4 0",
+            "licensed under cc by nc sa 4 0",
+            "licensed under cc by nc nd 4 0",
+        ),
+    ),
+    Template(
+        "cc-by-sa-use",
+        "cc-by-sa",
+        "licensed under cc by sa 4 0",
+        forms=("licensed under cc by sa 4 0", "licensed under cc by nc sa 4 0"),
+    ),
+    Template(
+        "mit-use",
+        "mit",
+        "released under the mit license",
+        forms=("released under the mit license",),
     ),
-    Template("apache-use", "apache", "licensed under the apache license version 2 0"),
-    Template("cc-by-nc-use", "cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa-use", "cc-by-sa", "licensed under cc by sa 4 0"),
-    Template("mit-use", "mit", "released under the mit license"),
     Template(
         "mpl-notice",
         "mpl",
         "this source code form is subject to the terms of the mozilla public license",
+        must=("mozilla",),
+    ),
+    Template(
+        "reserved", "all-rights-reserved", "all rights reserved", forms=("all rights reserved",)
     ),
-    Template("reserved", "all-rights-reserved", "all rights reserved"),
 )
 
 
@@ -228,6 +266,17 @@ def phrase_places(ws: Column, phrase: str, stride: int) -> Column:
     return F.filter(starts, here)
 
 
+def _sure(t: Template, ws: Column, stride: int) -> Column:
+    """Whether a block that meets the threshold also holds what decides for the template."""
+    sure = F.lit(True)
+    for word in t.must:
+        sure = sure & F.array_contains(ws, word)
+    if t.forms:
+        places = [F.size(phrase_places(ws, form, stride)) > 0 for form in t.forms]
+        sure = sure & reduce(lambda a, b: a | b, places)
+    return sure
+
+
 def scan_licenses(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -237,7 +286,9 @@ def scan_licenses(
     """Per row of ``docs``: words, phrase places, labels and the best containment.
 
     ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` and
-    ``templates``, the names of all templates met.
+    ``templates``, the names of all templates met. ``labels`` are those of all templates
+    within the threshold, so a text under one license may also get the label of a license that
+    differs in one word; ``sure_labels`` are those whose deciding words stand in the text.
     """
     templates = PHRASES + PASSAGES
     vocabulary = sorted({w for t in templates for w in t.words.split()})
@@ -260,11 +311,16 @@ def scan_licenses(
         places = F.when(F.col("name") == t.name, phrase_places(F.col("ws"), t.words, stride)).otherwise(places)
     checked = pairs.withColumn("places", F.transform(places, lambda p: p + F.col("block") * stride))
     met = checked.where(~F.col("phrase") | (F.size("places") > 0))
+    sure = F.lit(True)
+    for t in PASSAGES:
+        if t.must or t.forms:
+            sure = F.when(F.col("name") == t.name, _sure(t, F.col("ws"), stride)).otherwise(sure)
     per_block = met.select(
         "row", "block", "name", "label", "phrase", "containment",
         F.when(F.col("phrase"), F.size("places")).otherwise(0).alias("n_places"),
         F.array_min("places").alias("first"),
         F.array_max("places").alias("last"),
+        sure.alias("sure"),
     ).dropDuplicates(["row", "block", "name"])
     found = materialize(
         per_block.groupBy("row").agg(
@@ -274,6 +330,7 @@ def scan_licenses(
             # Bounded by the number of templates.
             F.collect_set(F.when(F.col("phrase"), F.col("label"))).alias("base_set"),
             F.collect_set("label").alias("label_set"),
+            F.collect_set(F.when(F.col("sure"), F.col("label"))).alias("sure_set"),
             F.array_sort(F.collect_set("name")).alias("templates"),
             F.max("containment").alias("score"),
         ),
@@ -293,4 +350,5 @@ def scan_licenses(
         F.coalesce(F.array_join(F.array_sort("label_set"), ","), F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce(F.array_join("templates", ","), F.lit("")).alias("templates"),
+        F.coalesce(F.array_join(F.array_sort("sure_set"), ","), F.lit("")).alias("sure_labels"),
     )

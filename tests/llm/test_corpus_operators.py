@@ -163,6 +163,27 @@ def test_license_scan_against_plain_version(documents, sentence, odd_rows):
     assert licenses.scan_licenses(table.limit(0)).count() == 0
 
 
+def test_sure_labels_need_the_deciding_words(documents, sentence):
+    lead = sentence(1, 70)
+    cases = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+        "Licensed under CC BY 4.0.": "cc-by",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc,cc-by-sa",
+        "Released under the old license.": "",
+        "Licensed under the Zope license version 2.0.": "",
+        "Licensed under the Apache License, Version 2.0.": "apache",
+        "All of them reserved the rights.": "",
+        "All rights reserved.": "all-rights-reserved",
+        f"{licenses.PASSAGES[4].words.replace('apache', 'zope')}": "",
+        licenses.PASSAGES[4].words: "apache",
+        licenses.PASSAGES[0].words: "mit",
+    }
+    rows = list(enumerate(f"{lead} {text}" for text in cases))
+    found = {r["doc_id"]: r["sure_labels"] for r in licenses.scan_licenses(documents(rows)).collect()}
+    assert [found[i] for i, _ in rows] == list(cases.values())
+
+
 def test_license_scan_stays_in_the_jvm(documents):
     plan = licenses.scan_licenses(documents([(1, "mit license")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
