@@ -311,10 +311,24 @@ def _rest_pairs(flagged: DataFrame, components: DataFrame, store: Store) -> Data
     return met.select("a", "b").distinct()
 
 
+def _same_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of the ids that stand in more than one class with the nodes of these."""
+    held = rows.where("n > 0 and doc_id is not null").select("doc_id", "d1", "d2", "n").distinct()
+    several = held.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    classes = held.join(several.hint("shuffle_hash"), "doc_id").join(
+        nodes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"]
+    )
+    return classes.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+
+
 def similar_classes(
     docs: DataFrame, store: Store = materialize
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures per row, classes ``d1, d2, n, node`` and links ``a, b`` between nodes."""
+    """Signatures per row, classes ``d1, d2, n, node`` and links ``a, b`` between nodes.
+
+    The links suffice for the components. They are not all links there are: within large
+    groups, core nodes are linked with centres, by cheap shingles or across components only.
+    """
     rows = store(signatures(docs), "signatures")
     classes = (
         rows.where("n > 0 and doc_id is not null")
@@ -340,7 +354,8 @@ def similar_classes(
     )
     keyed = store(nodes.select("node", "d1", "d2").join(involved, "node"), "involved")
     twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    sets = store(_sets_of(docs, keyed, repeated=not twice.isEmpty()), "sets")
+    repeated = not twice.isEmpty()
+    sets = store(_sets_of(docs, keyed, repeated=repeated), "sets")
     whole = sets.where("costly").select("node", "n", F.explode("tokens").alias("token"))
     flagged = store(_flag_core(_frequent(whole, store)), "whole_postings")
     pairs = first.unionByName(_whole_candidates(flagged)).unionByName(_centre_pairs(flagged, store))
@@ -349,7 +364,10 @@ def similar_classes(
     # Core nodes are costly ones.
     core = sets.where("costly")
     rest = store(_verified(_rest_pairs(flagged, joined, store), core), "rest_links")
-    return rows, nodes.drop("tokens"), links.unionByName(rest)
+    links = links.unionByName(rest)
+    if repeated:
+        links = links.unionByName(_same_id(rows, nodes))
+    return rows, nodes.drop("tokens"), links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

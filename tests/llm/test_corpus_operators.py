@@ -92,6 +92,12 @@ def test_components_of_large_groups(documents, sentence, monkeypatch, hot):
     assert found_components(documents(rows)) == plain_components(rows)
 
 
+def test_components_join_over_an_id_with_two_texts(documents, sentence):
+    x, y, z, w = (sentence(3000 + i, 30) for i in range(4))
+    rows = [(3, x), (5, x), (5, y), (9, y), (12, z), (20, z), (20, w), (15, w), (1, sentence(3010, 30))]
+    assert found_components(documents(rows)) == plain_components(rows)
+
+
 def test_sizes_at_the_threshold():
     for n in range(1, 400):
         o = jaccard_join.required(n)
