@@ -2,7 +2,8 @@
 
 Entities are found by pattern, in whole texts: e-mail addresses, phone numbers, IPv4
 addresses, payment card numbers, IBANs, US social security numbers, access keys and secrets,
-and names after a form of address. Each distinct entity of the corpus gets one
+and names after a form of address, with any later or earlier mention of such a name or of its
+last word in the same text. Each distinct entity of the corpus gets one
 surrogate, which a secret key decides:
 
 * the *type* and the *format* stay: lengths, separators, case, the card's issuer digit and
@@ -38,6 +39,8 @@ from sensorloom.llm.common import Store, map_slices
 from sensorloom.sources.scratch import ScratchTables, materialize
 
 KEY = "change-me"
+# A word of a name: letters, also after a hyphen or an apostrophe (but for 's).
+_NAME_WORD = r"[^\W\d_a-z](?:[^\W\d_]|-(?=[^\W\d_])|['’](?=[^\W\d_])(?!s\b))+"
 # Patterns of the entity types, in order of precedence.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
@@ -61,7 +64,7 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     (
         "name",
         r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme)\b\.? "
-        r"(?P<value>[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?)",
+        rf"(?P<value>{_NAME_WORD}(?: {_NAME_WORD})*)",
     ),
 )
 
@@ -83,8 +86,8 @@ SYLLABLES = {
 }
 
 _FOUND = [(kind, re.compile(pattern)) for kind, pattern in PATTERNS]
-# A text without a digit, an @ or a form of address holds no entity.
-_HINT = r"[0-9@]|sk-|gh[pousr]_|(?i)(password|passwd|pwd|token|secret|api[_-]?key)|(Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|Mme)\b"
+# A text without a digit, an @, a prefix of a key or a form of address holds no entity.
+_HINT = r"[0-9@]|AKIA|ASIA|sk-|gh[pousr]_|(?i)(password|passwd|pwd|token|secret|api[_-]?key)|(Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|Mme)\b"
 
 
 def luhn_digit(digits: str) -> str:
@@ -96,20 +99,44 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _name_end(text: str, begin: int, end: int) -> int:
+    """Where a name ends: before its first further word in lower case."""
+    words = text[begin:end].split(" ")
+    kept = 1
+    while kept < len(words) and not words[kept][0].islower():
+        kept += 1
+    return begin + len(" ".join(words[:kept]))
+
+
+def _mentions(text: str, names: dict[str, str]) -> list[tuple[int, int, str]]:
+    """(begin, end, type) of names found in a text and their last words, with or without a title."""
+    known = {}
+    for name, kind in names.items():
+        last = name.split(" ")[-1]
+        for one in (name, last) if len(last) > 2 else (name,):
+            known.setdefault(one, kind)
+            known.setdefault(one.upper(), kind)
+    listed = "|".join(re.escape(n) for n in sorted(known, key=lambda n: (-len(n), n)))
+    return [(*m.span(), known[m.group()]) for m in re.finditer(rf"(?<!\w)(?:{listed})(?!\w)", text)]
+
+
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, type) of the entities of a text, ascending and apart."""
-    found = []
+    found, names = [], {}
     for rank, (kind, pattern) in enumerate(_FOUND):
         for m in pattern.finditer(text):
             begin, end = m.span("value") if "value" in pattern.groupindex else m.span()
             if kind == "phone" and sum(c.isdigit() for c in m.group()) < 8:
                 continue
-            if kind == "name" and m.group().split(" ")[0].rstrip(".").lower() in FEMALE_TITLES:
-                found.append((begin, -end, rank, "name_f"))
-            elif kind == "name":
-                found.append((begin, -end, rank, "name_m"))
+            if kind == "name":
+                female = m.group().split(" ")[0].rstrip(".").lower() in FEMALE_TITLES
+                end = _name_end(text, begin, end)
+                found.append((begin, -end, rank, "name_f" if female else "name_m"))
+                names.setdefault(text[begin:end], found[-1][-1])
             else:
                 found.append((begin, -end, rank, kind))
+    if names:
+        found += [(b, -e, len(_FOUND), kind) for b, e, kind in _mentions(text, names)]
     out, free = [], 0
     for begin, end, _, kind in sorted(found):
         if begin >= free:
@@ -203,11 +230,16 @@ def surrogate(key: bytes, kind: str, normal: str, round_: int) -> str:
         script, gender = script_of(normal), kind[-1]
         words = normal.split(" ")
         syllables = SYLLABLES[script]
-        family = "".join(syllables[draw.below(len(syllables))] for _ in range(3 + round_ // 4))
-        if len(words) == 1:
-            return family
         given = GIVEN[gender, script]
-        return f"{given[draw.below(len(given))].lower()} {family}"
+        # As many words and hyphens as the name has.
+        family = "-".join(
+            "".join(syllables[draw.below(len(syllables))] for _ in range(3 + round_ // 4))
+            for _ in words[-1].split("-")
+        )
+        first = [
+            "-".join(given[draw.below(len(given))].lower() for _ in w.split("-")) for w in words[:-1]
+        ]
+        return " ".join([*first, family])
     if kind == "secret":
         for prefix in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"):
             if normal.startswith(prefix):
@@ -226,7 +258,7 @@ def written_like(kind: str, original: str, drawn: str) -> str:
     if kind in ("name_f", "name_m"):
         if original.isupper():
             return drawn.upper()
-        return " ".join(w[:1].upper() + w[1:] for w in drawn.split(" "))
+        return re.sub(r"(?<![^ \-])\w", lambda m: m.group().upper(), drawn)
     if kind == "email":
         if original.isupper():
             return drawn.upper()
