@@ -3,7 +3,7 @@
 Five stages, each a function of (spark, docs, sf_dir) that returns a DataFrame; every
 result is written as Parquet and read back as the next one's input, which cuts the
 lineage. All but the last return the columns of ``documents``; ``n_chars`` follows
-an edited text. Defined results: rows with null or empty texts are rejected by the quality rules; an
+an edited text. Repeated passages go in the stage ``near_duplicates``. Defined results: rows with null or empty texts are rejected by the quality rules; an
 empty table runs through to an empty one; extra columns stay until packing.
 """
 
