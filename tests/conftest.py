@@ -8,7 +8,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from sensorloom.session import build_session  # noqa: E402
 from sensorloom.sources.events import TRAIN_SCHEMA  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    """The smallest of the supplied data sets."""
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

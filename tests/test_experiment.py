@@ -1,6 +1,5 @@
 import pytest
 from catalog import views
-from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from sensorloom.operators.estimators import LIGHT
@@ -9,9 +8,9 @@ from sensorloom.sources.events import write_events
 
 
 @pytest.fixture(scope="module")
-def config(spark, tmp_path_factory):
+def config(spark, sf_dir, tmp_path_factory):
     root = tmp_path_factory.mktemp("experiment")
-    events = views.learnable_events(views.sensor_events(spark, SF_DIR))
+    events = views.learnable_events(views.sensor_events(spark, sf_dir))
     write_events(views.train_part(events), str(root / "train"))
     write_events(views.test_part(events), str(root / "test"))
     return {
@@ -52,16 +51,16 @@ def test_run_experiment(spark, config):
     assert chart.count() == 6
 
 
-def test_gate_stops_the_run(spark, config, tmp_path):
-    events = views.mixed_events(views.train_part(views.sensor_events(spark, SF_DIR)))
+def test_gate_stops_the_run(spark, sf_dir, config, tmp_path):
+    events = views.mixed_events(views.train_part(views.sensor_events(spark, sf_dir)))
     write_events(events, str(tmp_path / "mixed"))
     data = {**config["data"], "train_path": str(tmp_path / "mixed")}
     with pytest.raises(ValueError, match="several users"):
         run_experiment({**config, "data": data}, spark, LIGHT)
 
 
-def test_unlabelled_training_events_stop_the_run(spark, config, tmp_path):
-    events = views.train_part(views.sensor_events(spark, SF_DIR))
+def test_unlabelled_training_events_stop_the_run(spark, sf_dir, config, tmp_path):
+    events = views.train_part(views.sensor_events(spark, sf_dir))
     nobody = F.when(F.col("session_id") != "3-1", F.col("user_id"))
     write_events(events.withColumn("user_id", nobody), str(tmp_path / "nobody"))
     data = {**config["data"], "train_path": str(tmp_path / "nobody")}

@@ -4,7 +4,6 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import SF_DIR
 
 import __spark_entry__ as entry_point
 
@@ -19,9 +18,9 @@ ORACLES = {name: sql for name, sql in TWINS.items() if name not in SLOW | NEARLY
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf_dir):
     connection = duckdb.connect()
-    for file in Path(SF_DIR).glob("*.parquet"):
+    for file in Path(sf_dir).glob("*.parquet"):
         connection.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
     return connection
 
@@ -32,8 +31,8 @@ def canonical(rows, columns):
 
 
 @pytest.mark.parametrize("name", ORACLES)
-def test_query_equals_its_sql_twin(spark, duck, name):
-    df = entry_point.queries()[name](spark, SF_DIR)
+def test_query_equals_its_sql_twin(spark, sf_dir, duck, name):
+    df = entry_point.queries()[name](spark, sf_dir)
     cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
@@ -42,8 +41,8 @@ def test_query_equals_its_sql_twin(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", NEARLY)
-def test_fits_are_nearly_right_on_few_sessions(spark, duck, name):
-    predicted = entry_point.queries()[name](spark, SF_DIR)
+def test_fits_are_nearly_right_on_few_sessions(spark, sf_dir, duck, name):
+    predicted = entry_point.queries()[name](spark, sf_dir)
     cursor = duck.execute(TWINS[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(predicted.columns) == sorted(columns)
