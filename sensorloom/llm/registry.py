@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sensorloom.llm import (
     bpe,
+    id_planes,
     jaccard_join,
     licenses,
     line_dedup,
@@ -22,6 +23,7 @@ from sensorloom.llm import (
     token_counts,
 )
 from sensorloom.llm.common import read_table
+from sensorloom.sources.scratch import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +86,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "id_planes")
+    return id_planes.write_and_read(read_table(spark, sf_dir, "documents"), folder)
+
+
 def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -97,6 +104,7 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
+        "op11_bit_planes": op11_bit_planes,
     }
 
 
