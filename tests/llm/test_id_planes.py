@@ -127,7 +127,7 @@ def test_small_files_and_blocks_with_ids(spark, documents, sentence, tmp_path):
     finally:
         spark.conf.set(slices, before)
     files = manifest.collect()
-    assert len(files) > 8 and sum(r["n_docs"] for r in files) == len(rows)
+    assert len(files) > 5 and sum(r["n_docs"] for r in files) == len(rows)
     got = id_planes.read_ids(spark, folder, "bigint", with_ids=True).orderBy("start").collect()
     assert [tuple(r)[:4] for r in got] == brute_force(rows)
     texts = dict(rows)
