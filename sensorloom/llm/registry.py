@@ -17,6 +17,7 @@ from sensorloom.llm import (
     maxscore,
     oracles,
     packing,
+    periodic_runs,
     perspectives,
     quality_rules,
     surrogates,
@@ -91,6 +92,25 @@ def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_planes.write_and_read(read_table(spark, sf_dir, "documents"), folder)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.plant_loops(read_table(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(planted)
+    best = periodic_runs.best_run(F.col("runs"))
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -105,6 +125,7 @@ def queries() -> dict[str, Query]:
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
         "op11_bit_planes": op11_bit_planes,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
