@@ -22,9 +22,10 @@ from sensorloom.llm import (
     quality_rules,
     surrogates,
     token_counts,
+    turn_repair,
 )
 from sensorloom.llm.common import read_table
-from sensorloom.sources.scratch import fresh_path
+from sensorloom.sources.scratch import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +112,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = read_table(spark, sf_dir, "conversations")
+    broken = turn_repair.damaged(original)
+    rated = turn_repair.structure(broken, materialize, every=original)
+    return turn_repair.with_digests(broken, rated)
+
+
 def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -126,6 +134,7 @@ def queries() -> dict[str, Query]:
         "op10_quality_rules": op10_quality_rules,
         "op11_bit_planes": op11_bit_planes,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_turn_repair": op13_turn_repair,
     }
 
 

@@ -38,7 +38,7 @@ def test_query_equals_its_sql_twin(spark, duck, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 13))
+    assert numbers == list(range(1, 14))
     assert set(registry.queries()) - set(ORACLES) == {
         "pipeline",
         "op1_jaccard_components",
@@ -48,4 +48,5 @@ def test_one_query_per_operator():
         "op9_token_counts",
         "op11_bit_planes",
         "op12_periodic_runs",
+        "op13_turn_repair",
     }
