@@ -462,7 +462,7 @@ def _learner(model: str) -> Callable[[DataFrame], DataFrame]:
     def predictions(events: DataFrame) -> DataFrame:
         train, features = _learnable_train(events)
         data = est.prepare_holdout(train, features, MODEL_SEEDS)
-        return est.learner_predictions(data, model, MODEL_SEEDS[0], FULL)
+        return est.learner_predictions(data, model, MODEL_SEEDS, FULL)[MODEL_SEEDS[0]]
 
     return predictions
 

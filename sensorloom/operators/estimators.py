@@ -1,55 +1,47 @@
-"""The classifiers on pyspark.ml and their shared comparison.
+"""The classifiers and their shared comparison.
 
 Every estimator is another implementation than a single-machine library's, so
 what carries over is the protocol and the hyper-parameters, not the last digit;
-the mapping is written at each builder. Fits are distributed by Spark; the
-driver only submits a bounded number of them at a time and never holds feature
-rows. Predictions of each fit go straight to a scratch table, so fitted models
-do not pile up on the driver.
+the mapping is written at each builder. Linear models and boosted trees are fitted for all
+splits of a repeated holdout together (:mod:`linear`, :mod:`boosting`), forests
+(:mod:`forests`) one by one. Predictions of each fit go straight to a table of the
+ledger, so fitted models do not pile up on the driver and a rerun does not repeat them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import partial
-
-from pyspark.ml import Pipeline
-from pyspark.ml.base import Estimator
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from threading import Lock
+
+import numpy as np
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from sensorloom.operators.baselines import (
     PREDICTION_COLUMNS,
     most_frequent_predictions,
     stratified_predictions,
 )
+from sensorloom.operators.blocks import Blocks, pack
+from sensorloom.operators.boosting import BoostedTrees, BoostParams, bin_edges, fit_boosted_trees
+from sensorloom.operators.forests import Forest, fit_forest
+from sensorloom.operators.ledger import Fit, Ledger, digest, fingerprint
+from sensorloom.operators.linear import LinearModel, fit_logistic, fit_svm
 from sensorloom.operators.scoring import macro_f1
 from sensorloom.operators.splits import (
     assemble,
     class_table,
-    class_weights,
     held_out_seeds,
     split_sizes,
     stratified_splits,
     with_label,
 )
-from sensorloom.sources.scratch import fresh_path, in_parallel, materialize
+from sensorloom.sources.scratch import materialize
 
-# MLlib's depth limit stands in for "no limit".
-UNLIMITED_DEPTH = 30
 # Bytes of features in one partition of a training table.
 FIT_PARTITION_BYTES = 64 << 20
 
@@ -88,12 +80,10 @@ class FitSettings:
     boost_depth: int = 6
     boost_rate: float = 0.05
     boost_row_share: float = 0.9
-    boost_column_share: str = "0.9"
-    # Fits submitted at a time, and binary fits at a time within one-vs-rest.
+    boost_column_share: float = 0.9
+    boost_penalty: float = 1.0
+    # Fits submitted at a time.
     parallel_fits: int = 4
-    parallel_classes: int = 4
-    # Memory for one pass of split statistics; larger means fewer passes.
-    forest_memory_mb: int = 512
     # Split candidates per feature; trees see features in this many quantile bins.
     tree_bins: int = 32
 
@@ -111,7 +101,8 @@ LIGHT = FitSettings(
 
 
 def standard_scaler() -> StandardScaler:
-    """Centre and scale (M6). MLlib divides by the sample deviation, see :func:`_ridge`."""
+    """Centre and scale (M6). MLlib divides by the sample deviation; the linear fits, which
+    scale by themselves, by the population's."""
     return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
 
 
@@ -126,89 +117,61 @@ def scaler_statistics(vectors: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def _ridge(penalty: float, n_train: int) -> float:
-    # C * sum(loss) + |w|^2 / 2 is mean(loss) + lambda / 2 * |w|^2 with lambda =
-    # 1 / (C n). The scaler's sample deviation makes inputs smaller by
-    # sqrt((n-1)/n), so the same model needs weights larger by its inverse.
-    return (n_train - 1) / (penalty * n_train * n_train)
-
-
-def logistic_regression(settings: FitSettings, n_train: int, seed: int) -> Estimator:
-    """Scaled multinomial logistic regression with an L2 penalty (M7)."""
-    model = LogisticRegression(
-        featuresCol="scaled",
-        family="multinomial",
-        elasticNetParam=0.0,
-        regParam=_ridge(settings.linear_penalty, n_train),
-        standardization=False,
-        maxIter=settings.logistic_iterations,
+def forest(
+    data: HoldoutData, params: ForestParams, seed: int, settings: FitSettings, balanced: bool
+) -> Forest:
+    """A random forest for one grid point on one split."""
+    return fit_forest(
+        data.blocks(data.seeds),
+        data.edges(settings.tree_bins),
+        params.n_estimators,
+        params.max_depth,
+        params.max_features,
+        params.min_samples_leaf,
+        seed,
+        data.seeds.index(seed),
+        balanced,
     )
-    return Pipeline(stages=[standard_scaler(), model])
 
 
-def linear_svm(settings: FitSettings, n_train: int, seed: int) -> Estimator:
-    """Scaled one-vs-rest linear SVM (M8); MLlib's loss is the plain hinge."""
-    binary = LinearSVC(
-        featuresCol="scaled",
-        regParam=_ridge(settings.linear_penalty, n_train),
-        standardization=False,
-        maxIter=settings.svm_iterations,
+def logistic_regressions(data: HoldoutData, seeds: list[int], settings: FitSettings) -> list[LinearModel]:
+    """Scaled multinomial logistic regressions with an L2 penalty, all splits together (M7)."""
+    return fit_logistic(
+        data.blocks(seeds), settings.linear_penalty, settings.logistic_iterations
     )
-    many = OneVsRest(
-        classifier=binary, featuresCol="scaled", parallelism=settings.parallel_classes
-    )
-    return Pipeline(stages=[standard_scaler(), many])
 
 
-def forest(
-    params: ForestParams, seed: int, settings: FitSettings, weighted: bool
-) -> RandomForestClassifier:
-    """Random forest for one grid point."""
-    depth = UNLIMITED_DEPTH if params.max_depth is None else params.max_depth
-    model = RandomForestClassifier(
-        numTrees=params.n_estimators,
-        maxDepth=depth,
-        featureSubsetStrategy=params.max_features,
-        minInstancesPerNode=params.min_samples_leaf,
-        seed=seed,
-        maxMemoryInMB=settings.forest_memory_mb,
-        maxBins=settings.tree_bins,
-        # Deep trees: rows remember their node instead of walking every tree.
-        cacheNodeIds=depth > 10,
-    )
-    return model.setWeightCol("weight") if weighted else model
+def linear_svms(data: HoldoutData, seeds: list[int], settings: FitSettings) -> list[LinearModel]:
+    """Scaled one-vs-rest linear SVMs with squared hinge loss, all splits together (M8)."""
+    return fit_svm(data.blocks(seeds), settings.linear_penalty, settings.svm_iterations)
 
 
-def random_forest(settings: FitSettings, n_train: int, seed: int) -> Estimator:
-    """The comparison forest: no class weights (M9)."""
-    return forest(settings.forest, seed, settings, weighted=False)
+def random_forests(data: HoldoutData, seeds: list[int], settings: FitSettings) -> list[Forest]:
+    """The comparison forests: no class weights (M9)."""
+    return [forest(data, settings.forest, seed, settings, balanced=False) for seed in seeds]
 
 
-def boosted_trees(settings: FitSettings, n_train: int, seed: int) -> Estimator:
-    """One-vs-rest gradient boosting.
-
-    MLlib boosts two classes at a time, samples columns per node rather than
-    per tree and has no leaf penalty.
-    """
-    binary = GBTClassifier(
-        maxIter=settings.boost_rounds,
-        maxDepth=settings.boost_depth,
-        stepSize=settings.boost_rate,
-        subsamplingRate=settings.boost_row_share,
-        featureSubsetStrategy=settings.boost_column_share,
-        seed=seed,
-        maxMemoryInMB=settings.forest_memory_mb,
-        maxBins=settings.tree_bins,
+def boosted_trees(data: HoldoutData, seeds: list[int], settings: FitSettings) -> list[BoostedTrees]:
+    """Softmax gradient boosting, the trees of all classes and splits together."""
+    params = BoostParams(
+        settings.boost_rounds,
+        settings.boost_depth,
+        settings.boost_rate,
+        settings.boost_row_share,
+        settings.boost_column_share,
+        settings.boost_penalty,
     )
-    return OneVsRest(classifier=binary, parallelism=settings.parallel_classes)
+    return fit_boosted_trees(data.blocks(seeds), data.edges(settings.tree_bins), params)
 
 
-LEARNERS: dict[str, Callable[[FitSettings, int, int], Estimator]] = {
-    "LR": logistic_regression,
-    "SVM": linear_svm,
-    "RF": random_forest,
+LEARNERS: dict[str, Callable[[HoldoutData, list[int], FitSettings], list]] = {
+    "LR": logistic_regressions,
+    "SVM": linear_svms,
+    "RF": random_forests,
     "GBT": boosted_trees,
 }
+# Learners whose fits of several splits share their passes over the rows.
+TOGETHER = {"LR", "SVM", "GBT"}
 DUMMIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "Dummy_most_frequent": most_frequent_predictions,
     "Dummy_stratified": stratified_predictions,
@@ -228,9 +191,38 @@ class HoldoutData:
     table: DataFrame
     splits: DataFrame
     seeds: list[int]
+    n_rows: int
     n_train: int
+    n_features: int
     classes: DataFrame
     n_classes: int
+    _packed: dict[tuple[int, ...], Blocks] = field(default_factory=dict)
+    _edges: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    _lock: Lock = field(default_factory=Lock)
+
+    def blocks(self, seeds: list[int]) -> Blocks:
+        """All rows as numpy blocks with the splits of some seeds; packed once."""
+        key = tuple(seeds)
+        with self._lock:
+            if key not in self._packed:
+                self._packed[key] = pack(
+                    self.table, self.n_rows, self.n_features, self.n_classes, list(seeds)
+                )
+            return self._packed[key]
+
+    def edges(self, bins: int) -> list[np.ndarray]:
+        """What separates the quantile bins of each feature, over all rows; found once."""
+        with self._lock:
+            if bins not in self._edges:
+                self._edges[bins] = bin_edges(self.table, self.n_features, bins)
+            return self._edges[bins]
+
+    def release(self) -> None:
+        """Lets go of the blocks that the cluster holds."""
+        with self._lock:
+            for blocks in self._packed.values():
+                blocks.release()
+            self._packed.clear()
 
     def train(self, seed: int) -> DataFrame:
         return self.table.where(~F.array_contains("held_out", seed))
@@ -255,7 +247,9 @@ def prepare_holdout(
     labelled = with_label(vectors, classes, n_classes)
     flagged = labelled.join(held_out_seeds(splits), "session_id")
     stored = materialize(_in_fit_partitions(flagged, sizes.sessions, len(features)), "holdout")
-    return HoldoutData(stored, splits, seeds, sizes.n_train, classes, n_classes)
+    return HoldoutData(
+        stored, splits, seeds, sizes.sessions, sizes.n_train, len(features), classes, n_classes
+    )
 
 
 def _in_fit_partitions(table: DataFrame, rows: int, width: int) -> DataFrame:
@@ -270,52 +264,91 @@ def _named(predictions: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def learner_predictions(
-    data: HoldoutData, model: str, seed: int, settings: FitSettings
-) -> DataFrame:
-    """Fit one learner on one split and predict its validation sessions."""
-    fitted = LEARNERS[model](settings, data.n_train, seed).fit(data.train(seed))
-    named = _named(fitted.transform(data.valid(seed)), data.classes)
-    return named.select(
-        F.lit(model).alias("model"),
-        F.lit(seed).alias("seed"),
-        "session_id",
-        "user_id",
-        F.col("named").alias("prediction"),
-    )
+    data: HoldoutData, model: str, seeds: list[int], settings: FitSettings
+) -> dict[int, DataFrame]:
+    """Fit one learner on some splits and predict the validation sessions of each."""
+    found = {}
+    for seed, fitted in zip(seeds, LEARNERS[model](data, seeds, settings)):
+        named = _named(fitted.transform(data.valid(seed)), data.classes)
+        found[seed] = named.select(
+            F.lit(model).alias("model"),
+            F.lit(seed).alias("seed"),
+            "session_id",
+            "user_id",
+            F.col("named").alias("prediction"),
+        )
+    return found
 
 
-def _run_all(tasks: list[Callable[[], DataFrame]], at_a_time: int, name: str) -> DataFrame:
-    """Run the tasks a few at a time and gather their rows in one scratch table."""
-    if not tasks:
-        raise ValueError("no model or no seed to fit")
+_PREDICTIONS = "model string, seed int, session_id string, user_id string, prediction string"
+Job = tuple[list[Fit], Callable[[list[Fit]], dict[Fit, DataFrame]]]
 
-    def stored(task: Callable[[], DataFrame]) -> tuple[str, StructType]:
-        rows = task()
-        path = fresh_path(rows.sparkSession, name)
-        rows.write.parquet(path)
-        return path, rows.schema
 
-    spark = SparkSession.active()
-    written = in_parallel(spark, [partial(stored, task) for task in tasks], at_a_time)
-    return spark.read.schema(written[0][1]).parquet(*[path for path, _ in written])
+def _model_jobs(data: HoldoutData, model: str, settings: FitSettings, rows: str) -> list[Job]:
+    """The fits of one model: a job for all splits where they share their passes."""
+    relevant = settings_of(model, settings)
+    if model in DUMMIES:
+        # One plan covers all seeds.
+        fit = Fit(model, digest(rows, model, data.seeds))
+        return [([fit], lambda missing: {fit: DUMMIES[model](data.splits)})]
+    seed_of = {
+        Fit(f"{model}, seed {seed}", digest(rows, model, seed, relevant)): seed
+        for seed in data.seeds
+    }
+
+    def job(missing: list[Fit]) -> dict[Fit, DataFrame]:
+        seeds = [seed_of[fit] for fit in missing]
+        found = learner_predictions(data, model, seeds, settings)
+        return {fit: found[seed_of[fit]] for fit in missing}
+
+    fits = list(seed_of)
+    return [(fits, job)] if model in TOGETHER else [([fit], job) for fit in fits]
+
+
+def settings_of(model: str, settings: FitSettings) -> dict[str, object]:
+    """The settings that the fits of a model depend on."""
+    prefixes = {
+        "LR": ("linear_", "logistic_"),
+        "SVM": ("linear_", "svm_"),
+        "RF": ("forest", "tree_bins"),
+        "GBT": ("boost_", "tree_bins"),
+    }
+    chosen = prefixes.get(model, ())
+    return {
+        name: value
+        for name, value in vars(settings).items()
+        if chosen and name.startswith(chosen)
+    }
+
+
+def _fingerprint(data: HoldoutData) -> str:
+    """What the fits of a holdout depend on; the order of ``held_out`` does not matter."""
+    return fingerprint(
+        data.table.select(
+            "session_id",
+            "user_id",
+            vector_to_array("features").alias("x"),
+            F.array_sort("held_out").alias("held_out"),
+        )
+    )
 
 
 def compare_predictions(
     data: HoldoutData,
     settings: FitSettings = FitSettings(),
     models: Iterable[str] = MODELS,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
-    """Validation predictions of every (model, seed), one table."""
-    tasks: list[Callable[[], DataFrame]] = []
-    for model in models:
-        if model in DUMMIES:
-            # One plan covers all seeds.
-            tasks.append(partial(DUMMIES[model], data.splits))
-        else:
-            tasks += [
-                partial(learner_predictions, data, model, seed, settings) for seed in data.seeds
-            ]
-    return _run_all(tasks, settings.parallel_fits, "predictions").select(*PREDICTION_COLUMNS)
+    """Validation predictions of every (model, seed), one table.
+
+    With a ``ledger``, fits that an earlier run has finished on the same data are read.
+    """
+    spark = SparkSession.active()
+    ledger = ledger or Ledger(spark)
+    rows = _fingerprint(data)
+    jobs = [job for model in models for job in _model_jobs(data, model, settings, rows)]
+    gathered = ledger.run(jobs, settings.parallel_fits, _PREDICTIONS)
+    return gathered.select(*PREDICTION_COLUMNS)
 
 
 def compare_models_repeated(
@@ -325,10 +358,11 @@ def compare_models_repeated(
     test_size: float = 0.2,
     settings: FitSettings = FitSettings(),
     models: Iterable[str] = MODELS,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Macro-F1 of every model on the same splits: ``(model, seed, macro_f1)``."""
     data = prepare_holdout(table, features, seeds, test_size)
-    return macro_f1(compare_predictions(data, settings, models))
+    return macro_f1(compare_predictions(data, settings, models, ledger))
 
 
 def rank_grid(scores: DataFrame) -> DataFrame:
@@ -347,32 +381,40 @@ def rank_grid(scores: DataFrame) -> DataFrame:
     return means.withColumn("rank", F.row_number().over(order))
 
 
-def grid_scores(data: HoldoutData, settings: FitSettings = FitSettings()) -> DataFrame:
-    """Macro-F1 of every grid point and seed, class-weighted forests."""
+def grid_scores(
+    data: HoldoutData, settings: FitSettings = FitSettings(), ledger: Ledger | None = None
+) -> DataFrame:
+    """Macro-F1 of every grid point and seed; forests with class weights per bag."""
+    rows = _fingerprint(data)
 
-    def one(grid_id: int, params: ForestParams, seed: int) -> DataFrame:
-        fitted = forest(params, seed, settings, weighted=True).fit(class_weights(data.train(seed)))
-        named = _named(fitted.transform(data.valid(seed)), data.classes)
-        return named.select(
-            F.lit(grid_id).alias("grid_id"),
-            F.lit(seed).alias("seed"),
-            "user_id",
-            F.col("named").alias("prediction"),
+    def job_of(grid_id: int, params: ForestParams, seed: int) -> Job:
+        fit = Fit(
+            f"grid point {grid_id}, seed {seed}", digest(rows, "grid", params, seed, settings.tree_bins)
         )
 
-    tasks = [
-        partial(one, grid_id, params, seed)
+        def job(missing: list[Fit]) -> dict[Fit, DataFrame]:
+            fitted = forest(data, params, seed, settings, balanced=True)
+            named = _named(fitted.transform(data.valid(seed)), data.classes)
+            columns = [F.lit(grid_id).alias("grid_id"), F.lit(seed).alias("seed"), "user_id"]
+            return {fit: named.select(*columns, F.col("named").alias("prediction"))}
+
+        return [fit], job
+
+    jobs = [
+        job_of(grid_id, params, seed)
         for grid_id, params in enumerate(settings.grid)
         for seed in data.seeds
     ]
-    return macro_f1(_run_all(tasks, settings.parallel_fits, "grid"), ["grid_id", "seed"])
+    ledger = ledger or Ledger(SparkSession.active())
+    schema = "grid_id int, seed int, user_id string, prediction string"
+    return macro_f1(ledger.run(jobs, settings.parallel_fits, schema), ["grid_id", "seed"])
 
 
 def tune_on(
-    data: HoldoutData, settings: FitSettings = FitSettings()
+    data: HoldoutData, settings: FitSettings = FitSettings(), ledger: Ledger | None = None
 ) -> tuple[ForestParams, DataFrame]:
     """:func:`tune_random_forest` on prepared splits."""
-    ranked = materialize(rank_grid(grid_scores(data, settings)), "tuning")
+    ranked = materialize(rank_grid(grid_scores(data, settings, ledger)), "tuning")
     # Literal map of the grid: as many entries as there are grid points.
     params = F.lit(None)
     for grid_id, p in enumerate(settings.grid):
@@ -405,28 +447,30 @@ def train_final_random_forest(
     random_state: int = 42,
     settings: FitSettings = FitSettings(),
 ) -> FinalForest:
-    """Fit on all labelled sessions with balanced class weights.
-
-    Weights are set once over all sessions, not anew per bootstrap sample. A forest
-    without depth limit may meet MLlib's limit of 30, which then takes effect.
-    """
+    """Fit on all labelled sessions, with class weights balanced within each tree's bag."""
     classes, n_classes = class_table(table)
     vectors = assemble(table, features, ["session_id", "user_id"])
-    weighted = class_weights(with_label(vectors, classes, n_classes))
-    sized = _in_fit_partitions(weighted, table.count(), len(features))
-    train = materialize(sized, "final_train")
-    fitted = forest(best_parameters, random_state, settings, weighted=True).fit(train)
+    train = materialize(with_label(vectors, classes, n_classes), "final_train")
+    blocks = pack(train, train.count(), len(features), n_classes, [])
+    fitted = fit_forest(
+        blocks,
+        bin_edges(train, len(features), settings.tree_bins),
+        best_parameters.n_estimators,
+        best_parameters.max_depth,
+        best_parameters.max_features,
+        best_parameters.min_samples_leaf,
+        random_state,
+        balanced=True,
+    )
+    blocks.release()
     return FinalForest(fitted, classes)
 
 
 @dataclass(frozen=True)
 class FinalForest:
-    """A fitted forest, whose predictions are labels, and the table of its classes.
-
-    MLlib keeps one model per forest on the driver; the class names stay a table.
-    """
+    """A fitted forest, whose predictions are labels, and the table of its classes."""
 
-    forest: RandomForestClassificationModel
+    forest: Forest
     classes: DataFrame
 
 
@@ -434,4 +478,3 @@ def predict_users(model: FinalForest, table: DataFrame, features: list[str]) ->
     """``(session_id, user_id)`` with a known user for each session."""
     scored = model.forest.transform(assemble(table, features, ["session_id"]))
     return _named(scored, model.classes).select("session_id", F.col("named").alias("user_id"))
-

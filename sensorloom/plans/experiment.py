@@ -16,6 +16,7 @@ from sensorloom.operators.estimators import (
     tune_on,
 )
 from sensorloom.operators.layout import HOT_SESSION_ROWS
+from sensorloom.operators.ledger import Ledger
 from sensorloom.operators.quality import (
     find_mixed_user_sessions,
     imbalance,
@@ -44,8 +45,10 @@ def run_experiment(
 
     ``config`` is a plain nested dict: ``data.train_path``, ``data.test_path``,
     optional ``data.format`` (``csv`` or ``parquet``), ``evaluation.n_seeds``
-    (default 20), ``model.random_state`` (default 42), ``output.submission_path``
-    and optional ``output.model_comparison_path``, which gets the chart data.
+    (default 20), ``model.random_state`` (default 42), ``output.submission_path``,
+    optional ``output.model_comparison_path``, which gets the chart data, and optional
+    ``output.ledger_path``: a run that names the ledger of an earlier one reads the fits that
+    are finished there.
 
     The events are read twice per side: once for the profile (validation,
     pivot values, session sizes) and once for the features. A session of two users
@@ -68,7 +71,9 @@ def run_experiment(
 
     tables = feature_job_of(train, test, hot_session_rows, single_user=True)
     holdout = prepare_holdout(tables.train, tables.features, seeds)
-    scores = materialize(macro_f1(compare_predictions(holdout, settings)), "scores")
+    ledger = Ledger(spark, output.get("ledger_path"))
+    predictions = compare_predictions(holdout, settings, ledger=ledger)
+    scores = materialize(macro_f1(predictions), "scores")
     summary = summarize_model_scores(scores)
     comparison = paired_wilcoxon_test(scores, "RF", "GBT")
     chart = comparison_chart(summary)
@@ -77,7 +82,8 @@ def run_experiment(
             output["model_comparison_path"], header=True
         )
 
-    best, tuning = tune_on(holdout, settings)
+    best, tuning = tune_on(holdout, settings, ledger)
+    holdout.release()
     final = train_final_random_forest(
         tables.train, tables.features, best, random_state, settings
     )

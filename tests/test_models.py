@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -42,24 +41,15 @@ def test_defaults_are_the_full_protocol():
     settings = est.FitSettings()
     assert len(settings.grid) == 6
     assert settings.grid[2] == est.ForestParams(500, 20, "sqrt", 1)
-    rf = est.random_forest(settings, 240, 3)
-    assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getSeed()) == (500, est.UNLIMITED_DEPTH, 3)
-    assert not rf.isSet("weightCol")
-    assert est.forest(settings.grid[5], 0, settings, weighted=True).getMinInstancesPerNode() == 5
+    assert settings.forest == est.ForestParams(500, None, "sqrt", 1)
+    boost = (settings.boost_rounds, settings.boost_depth, settings.boost_rate)
+    shares = (settings.boost_row_share, settings.boost_column_share, settings.boost_penalty)
+    assert boost + shares == (400, 6, 0.05, 0.9, 0.9, 1.0)
+    linear = (settings.linear_penalty, settings.logistic_iterations, settings.svm_iterations)
+    assert linear == (1.0, 3000, 1000)
     assert est.MODELS == ["Dummy_most_frequent", "Dummy_stratified", "LR", "SVM", "RF", "GBT"]
 
 
-def test_builders_carry_their_parameters(spark):
-    settings = est.FitSettings()
-    scaler, lr = est.logistic_regression(settings, 240, 0).getStages()
-    assert (scaler.getWithMean(), scaler.getWithStd()) == (True, True)
-    assert lr.getRegParam() == pytest.approx(1 / 240, rel=0.01)
-    assert (lr.getMaxIter(), lr.getElasticNetParam()) == (3000, 0.0)
-    gbt = est.boosted_trees(settings, 240, 0).getClassifier()
-    assert (gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize()) == (400, 6, 0.05)
-    assert (gbt.getSubsamplingRate(), gbt.getFeatureSubsetStrategy()) == (0.9, "0.9")
-
-
 def test_scaler_centres_and_flattens_constants(spark):
     rows = [("a", 1.0, 7.0), ("b", 2.0, 7.0), ("c", 6.0, 7.0)]
     table = spark.createDataFrame(rows, "session_id string, x double, y double")
@@ -73,25 +63,6 @@ def test_scaler_centres_and_flattens_constants(spark):
     assert stats["x"]["mean"] == pytest.approx(3.0) and stats["x"]["std"] == pytest.approx(std)
 
 
-def test_logistic_penalty_matches_population_scaling(rings):
-    """The fitted model solves C * loss + |w|^2 / 2 on population-scaled inputs."""
-    settings = est.FitSettings(logistic_iterations=500)
-    classes, n_classes = est.class_table(rings)
-    data = est.with_label(assemble(rings, FEATURES, ["user_id"]), classes, n_classes)
-    fitted = Pipeline(stages=[est.logistic_regression(settings, 36, 0)]).fit(data)
-    weights = fitted.stages[0].stages[1].coefficientMatrix.toArray()
-    x = np.array([r["features"].toArray() for r in data.collect()])
-    y = np.array([int(r["label"]) for r in data.collect()])
-    x = (x - x.mean(0)) / x.std(0)
-    # Scaled by the sample deviation, weights come out larger by sqrt(n / (n - 1)).
-    w = weights * math.sqrt(35 / 36)
-    logits = x @ w.T + fitted.stages[0].stages[1].interceptVector.toArray()
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    gradient = (p - np.eye(3)[y]).T @ x + w
-    assert np.abs(gradient).max() < 1e-3
-
-
 @pytest.fixture(scope="module")
 def four_groups(spark):
     """Forty sessions of four users, two informative features and one noise column."""
