@@ -43,9 +43,17 @@ HEADLINE = [
     "linear_svm",
     "random_forest",
     "boosted_trees",
+    "model_comparison",
     "final_predictions",
 ]
-FITS = {"logistic_regression", "linear_svm", "random_forest", "boosted_trees", "final_predictions"}
+FITS = {
+    "logistic_regression",
+    "linear_svm",
+    "random_forest",
+    "boosted_trees",
+    "model_comparison",
+    "final_predictions",
+}
 
 
 def main() -> None:

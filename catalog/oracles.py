@@ -330,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
     splits = [SENSOR_EVENTS, SESSIONS, *split_sql(0.2)]
     class_splits = [SENSOR_EVENTS, CLASS_SESSIONS, *split_sql(0.2)]
     learnable = [SENSOR_EVENTS, LEARNABLE_SESSIONS, *split_sql(0.2, ONE_SEED)]
-    held_out = with_(*learnable)
+    learnable_all = [SENSOR_EVENTS, LEARNABLE_SESSIONS, *split_sql(0.2)]
     dense_digest = with_(SENSOR_EVENTS, DENSE, digest_sql("dense")) + DIGEST_SELECT + " FROM digest"
     mixed = with_(SENSOR_EVENTS, MIXED)
     all_digest = with_(SENSOR_EVENTS, digest_sql("sensor_events")) + DIGEST_SELECT + " FROM digest"
@@ -420,10 +420,12 @@ HAVING count(DISTINCT u) > 1 OR (count(DISTINCT u) > 0 AND count_if(u IS NULL) >
         )
         + f"SELECT w.session_id, {wide_columns(SENSORS)}, l.user_id "
         "FROM wide w LEFT JOIN labels_ l ON l.session_id = w.session_id",
-        **{name: held_out + f"SELECT '{model}' AS model, seed, session_id, user_id, "
+        **{name: with_(*views) + f"SELECT '{model}' AS model, seed, session_id, user_id, "
            "user_id AS prediction FROM splits WHERE is_valid"
-           for name, model in (("logistic_regression", "LR"), ("linear_svm", "SVM"),
-                               ("random_forest", "RF"), ("boosted_trees", "GBT"))},
+           for name, model, views in (("logistic_regression", "LR", learnable_all),
+                                      ("linear_svm", "SVM", learnable_all),
+                                      ("random_forest", "RF", learnable),
+                                      ("boosted_trees", "GBT", learnable))},
         "model_comparison": with_(*learnable, MOST_FREQUENT, STRATIFIED,
             "both_ AS (SELECT * FROM most_frequent UNION ALL SELECT * FROM stratified)",
             f"scores AS ({macro_f1_sql('both_')} UNION ALL "
@@ -433,6 +435,12 @@ HAVING count(DISTINCT u) > 1 OR (count(DISTINCT u) > 0 AND count_if(u IS NULL) >
             f"round({c}_macro_f1, 6)::DOUBLE AS {c}_macro_f1" for c in ("mean", "std", "min", "max")
         )
         + " FROM summary ORDER BY mean_macro_f1 DESC, model",
+        "model_comparison_all_seeds": with_(*learnable_all, MOST_FREQUENT, STRATIFIED,
+            "both_ AS (SELECT * FROM most_frequent UNION ALL SELECT * FROM stratified)",
+            f"scores AS ({macro_f1_sql('both_')} UNION ALL SELECT model, seed, 1.0 "
+            "FROM (SELECT unnest(['LR', 'SVM', 'RF', 'GBT']) AS model), seeds)")
+        + "SELECT model, count(*) AS n_seeds, round(avg(macro_f1), 2)::DOUBLE AS mean_macro_f1 "
+        "FROM scores GROUP BY model",
         "forest_tuning": """SELECT "rank"::INT AS "rank", ("rank" - 1)::INT AS grid_id,
        n_estimators::INT AS n_estimators, max_depth::INT AS max_depth, max_features,
        min_samples_leaf::INT AS min_samples_leaf, 1.0::DOUBLE AS mean, 0.0::DOUBLE AS std
