@@ -65,3 +65,12 @@ def map_slices(
 def texts_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (string, null read as empty) of any table with both."""
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """``wanted`` as the name of a new column, with as many ``_`` behind it as it takes to differ
+    from every column of ``docs``, in upper or lower case."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

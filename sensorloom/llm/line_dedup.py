@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import Store, map_slices, texts_of, type_of
+from sensorloom.llm.common import Store, free_name, map_slices, texts_of, type_of
 from sensorloom.sources.scratch import ScratchTables, materialize
 
 # On average a chunk ends at every third line.
@@ -197,7 +197,11 @@ def _without(text: Column, spans: Column) -> Column:
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut out, and ``chunks_removed`` (long) per row."""
+    """``docs`` with repeated chunks cut out, and ``chunks_removed`` (long) per row.
+
+    A column of ``docs`` that has this name, in upper or lower case, stays as it is; the new one is
+    then called as :func:`free_name` says.
+    """
     with ScratchTables(docs.sparkSession) as scratch:
         removals = materialize(repeated_spans(docs, scratch.materialize), "removals")
     drops = removals.select(
@@ -217,5 +221,5 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
             (F.when(spans.isNull(), text).otherwise(_without(text, spans)) if c == "text" else F.col(f"`{c}`")).alias(c)
             for c in docs.columns
         ],
-        F.coalesce(F.size(spans), F.lit(0)).cast("bigint").alias("chunks_removed"),
+        F.coalesce(F.size(spans), F.lit(0)).cast("bigint").alias(free_name(docs, "chunks_removed")),
     )

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import Store, map_slices, texts_of, type_of
+from sensorloom.llm.common import Store, free_name, map_slices, texts_of, type_of
 from sensorloom.llm.line_dedup import _row_key, _without
 from sensorloom.sources.scratch import ScratchTables, materialize
 
@@ -184,7 +184,11 @@ def repeated_passages(docs: DataFrame, store: Store = materialize) -> DataFrame:
 
 
 def remove_repeated_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut out, and ``passages_removed`` (long) per row."""
+    """``docs`` with repeated passages cut out, and ``passages_removed`` (long) per row.
+
+    A column of ``docs`` that has this name, in upper or lower case, stays as it is; the new one is
+    then called as :func:`free_name` says.
+    """
     with ScratchTables(docs.sparkSession) as scratch:
         removals = materialize(repeated_passages(docs, scratch.materialize), "passage_removals")
     drops = removals.select(
@@ -203,5 +207,5 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
             (F.when(spans.isNull(), text).otherwise(_without(text, spans)) if c == "text" else F.col(f"`{c}`")).alias(c)
             for c in docs.columns
         ],
-        F.coalesce(F.size(spans), F.lit(0)).cast("bigint").alias("passages_removed"),
+        F.coalesce(F.size(spans), F.lit(0)).cast("bigint").alias(free_name(docs, "passages_removed")),
     )

@@ -45,7 +45,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = surrogates.replace_entities(read_table(spark, sf_dir, "documents"))
+    replaced = surrogates.replace_entities(read_table(spark, sf_dir, "documents"), corpus_pipeline.surrogate_key(spark))
     return replaced.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"))
 
 

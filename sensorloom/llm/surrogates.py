@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates.
 
 Entities are found by pattern, in whole texts: e-mail addresses, phone numbers, IPv4
-addresses, payment card numbers, IBANs, US social security numbers, access keys and secrets,
+addresses, payment card numbers (with a valid check digit), IBANs, US social security numbers, access keys and secrets,
 and names after a form of address, with any later or earlier mention of such a name or of its
 last word in the same text. Each distinct entity of the corpus gets one
 surrogate, which a secret key decides:
@@ -10,7 +10,8 @@ surrogate, which a secret key decides:
   its check digit, a phone number's country code and grouping, an address's domain
   ending, the script of letters, the gender of a name's form of address;
 * the same entity gets the same surrogate everywhere (coreference), also where it is
-  written with other separators or in other case;
+  written with other separators or in other case; a name that is mentioned by its last word
+  gets the last word of its surrogate (:func:`linked_entities` has the rule);
 * different entities get different ones, and none gets a value that is itself an
   entity of the corpus. That is checked over all distinct entities: whoever
   collides draws again with the next round number until nobody does.
@@ -21,7 +22,7 @@ its occurrences are joined with skew handling against one row per entity.
 
 Defined results: a null text stays null; a null ``doc_id`` and repeated rows are
 carried along; overlapping finds go to the earlier, then the longer one; an empty table gives an
-empty one; all other columns stay as they are.
+empty one; all other columns stay as they are, also one called ``entities``.
 """
 
 from __future__ import annotations
@@ -35,10 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import Store, map_slices
+from sensorloom.llm.common import Store, free_name, map_slices
 from sensorloom.sources.scratch import ScratchTables, materialize
 
-KEY = "change-me"
 # A word of a name: letters, also after a hyphen or an apostrophe (but for 's).
 _NAME_WORD = r"[^\W\d_a-z](?:[^\W\d_]|-(?=[^\W\d_])|['’](?=[^\W\d_])(?!s\b))+"
 # Patterns of the entity types, in order of precedence.
@@ -122,12 +122,52 @@ def _mentions(text: str, names: dict[str, str]) -> list[tuple[int, int, str]]:
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, type) of the entities of a text, ascending and apart."""
+    return [(begin, end, kind) for begin, end, kind, _ in _spans(text)]
+
+
+def linked_entities(text: str) -> list[tuple[int, int, str, str, bool]]:
+    """(begin, end, type, normal form, whether it is a last word) of the entities of a text.
+
+    A name of one word that is the last word of a longer name of the text is a mention of it: of the
+    nearest one before, else of the first one behind; with a title, of those of the same gender.
+    So in "Mrs Anna Smith and Mr Paul Smith met. Smith spoke." it was Paul Smith who spoke.
+    """
+    spans = _spans(text)
+    whole = [
+        (begin, kind, text[begin:end].lower())
+        for begin, end, kind, _ in spans
+        if kind.startswith("name_") and " " in text[begin:end]
+    ]
+    linked = []
+    for begin, end, kind, titled in spans:
+        value = text[begin:end]
+        normal, part = normal_form(kind, value), False
+        if whole and kind.startswith("name_") and " " not in value:
+            meant = [
+                (at, other, name)
+                for at, other, name in whole
+                if name.split(" ")[-1] == normal and (other == kind or not titled)
+            ]
+            before = [one for one in meant if one[0] < begin]
+            if meant:
+                _, kind, normal = before[-1] if before else meant[0]
+                part = True
+        linked.append((begin, end, kind, normal, part))
+    return linked
+
+
+def _spans(text: str) -> list[tuple[int, int, str, bool]]:
+    """(begin, end, type, whether found by a pattern of its own) of the entities of a text."""
     found, names = [], {}
     for rank, (kind, pattern) in enumerate(_FOUND):
         for m in pattern.finditer(text):
             begin, end = m.span("value") if "value" in pattern.groupindex else m.span()
             if kind == "phone" and sum(c.isdigit() for c in m.group()) < 8:
                 continue
+            if kind == "card":
+                digits = re.sub(r"\D", "", m.group())
+                if luhn_digit(digits[:-1]) != digits[-1]:
+                    continue
             if kind == "name":
                 female = m.group().split(" ")[0].rstrip(".").lower() in FEMALE_TITLES
                 end = _name_end(text, begin, end)
@@ -138,9 +178,9 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     if names:
         found += [(b, -e, len(_FOUND), kind) for b, e, kind in _mentions(text, names)]
     out, free = [], 0
-    for begin, end, _, kind in sorted(found):
+    for begin, end, rank, kind in sorted(found):
         if begin >= free:
-            out.append((begin, -end, kind))
+            out.append((begin, -end, kind, rank < len(_FOUND)))
             free = -end
     return out
 
@@ -250,8 +290,11 @@ def surrogate(key: bytes, kind: str, normal: str, round_: int) -> str:
     return draw.like(normal)
 
 
-def written_like(kind: str, original: str, drawn: str) -> str:
-    """A surrogate in normal form with the separators and the case of the original."""
+def written_like(kind: str, original: str, drawn: str, part: bool = False) -> str:
+    """A surrogate in normal form with the separators and the case of the original; of a name that
+    is mentioned by its last word the last word."""
+    if part:
+        drawn = drawn.split(" ")[-1]
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(drawn)
         return "".join(next(rest, "") if c.isalnum() else c for c in original)
@@ -269,20 +312,26 @@ def written_like(kind: str, original: str, drawn: str) -> str:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``row, found``: of the texts with entities, an array of (begin, end, kind, normal)."""
+    """``text_key, found``: of the texts with entities, an array of (begin, end, kind, normal, part)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, found = [], []
         for row, text in enumerate(batch.column("text").to_pylist()):
             entities = [
-                {"begin": b, "end": e, "kind": k, "normal": normal_form(k, text[b:e])}
-                for b, e, k in find_entities(text)
+                {"begin": b, "end": e, "kind": k, "normal": n, "part": p}
+                for b, e, k, n, p in linked_entities(text)
             ]
             if entities:
                 rows.append(row)
                 found.append(entities)
         kind = pa.struct(
-            [("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("normal", pa.string())]
+            [
+                ("begin", pa.int32()),
+                ("end", pa.int32()),
+                ("kind", pa.string()),
+                ("normal", pa.string()),
+                ("part", pa.bool_()),
+            ]
         )
         return pa.RecordBatch.from_arrays(
             [batch.column("text_key").take(pa.array(rows, pa.int64())), pa.array(found, pa.list_(kind))],
@@ -299,7 +348,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         "text",
         run,
         "text_key string, "
-        "found array<struct<begin: int, end: int, kind: string, normal: string>>",
+        "found array<struct<begin: int, end: int, kind: string, normal: string, part: boolean>>",
     )
 
 
@@ -353,21 +402,26 @@ def assign(
     raise ValueError(f"surrogates still collide after {max_rounds} rounds")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and ``entities``: (begin, end, kind) in the new text."""
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with surrogates in ``text``, and ``entities``: (begin, end, kind) in the new text.
+
+    A column of ``docs`` that has this name, in upper or lower case, stays as it is; the new one is
+    then called as :func:`free_name` says.
+    """
     with ScratchTables(docs.sparkSession) as scratch:
         store = scratch.materialize
         found = store(occurrences(docs).dropDuplicates(["text_key"]), "entities")
         single = found.select("text_key", F.inline("found"))
         distinct = store(single.select("kind", "normal").distinct(), "distinct_entities")
         drawn = assign(distinct, key, store=store)
-        plan = F.array_sort(F.collect_list(F.struct("begin", "end", "kind", "drawn")))
+        plan = F.array_sort(F.collect_list(F.struct("begin", "end", "kind", "drawn", "part")))
         # Bounded by the entities of one text. Written, so that the texts of a hot key
         # can be split in the join below.
         per_text = materialize(
             single.join(drawn, ["kind", "normal"])
             .groupBy("text_key")
-            .agg(plan.alias("__pii_plan")),
+            .agg(plan.alias("__pii_plan"))
+            .withColumnRenamed("text_key", "__pii_text_key"),
             "replacements",
         )
 
@@ -375,36 +429,36 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         for batch in batches:
             texts, spans = [], []
             for text, plan in zip(batch.column("text").to_pylist(), batch.column("__pii_plan").to_pylist()):
-                new, marks, at, grown = [], [], 0, 0
+                new, places, at, grown = [], [], 0, 0
                 for one in plan or []:
                     original = text[one["begin"] : one["end"]]
-                    fresh = written_like(one["kind"], original, one["drawn"])
+                    fresh = written_like(one["kind"], original, one["drawn"], one["part"])
                     new += [text[at : one["begin"]], fresh]
                     begin = one["begin"] + grown
-                    marks.append({"begin": begin, "end": begin + len(fresh), "kind": one["kind"]})
+                    places.append({"begin": begin, "end": begin + len(fresh), "kind": one["kind"]})
                     grown += len(fresh) - len(original)
                     at = one["end"]
                 texts.append("".join([*new, text[at:]]))
-                spans.append(marks)
+                spans.append(places)
             kind = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
             columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "__pii_plan")}
-            columns |= {"text": pa.array(texts, pa.string()), "entities": pa.array(spans, pa.list_(kind))}
+            columns |= {"text": pa.array(texts, pa.string()), marks: pa.array(spans, pa.list_(kind))}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     marks_type = "array<struct<begin: int, end: int, kind: string>>"
-    others = [c for c in docs.columns if c != "entities"]
-    names = [*others, "entities"]
-    base = docs.select(*[F.col(f"`{c}`") for c in others]).withColumn(
+    marks = free_name(docs, "entities")
+    names = [*docs.columns, marks]
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns]).withColumn(
         "text", F.col("text").cast("string")
     )
     no_marks = F.expr(f"cast(array() as {marks_type})")
-    schema = base.withColumn("entities", no_marks).schema
+    schema = base.withColumn(marks, no_marks).schema
     hint = F.coalesce(F.col("text").rlike(_HINT), F.lit(False))
     # Only texts that may hold an entity are shuffled.
     touched = base.where(hint).withColumn("__pii_key", F.sha2("text", 256))
     planned = touched.join(
-        per_text.hint("shuffle_hash"), touched["__pii_key"] == per_text["text_key"], "left"
-    ).select(*[F.col(f"`{c}`") for c in others], "__pii_plan")
+        per_text.hint("shuffle_hash"), F.col("__pii_key") == F.col("__pii_text_key"), "left"
+    ).select(*[F.col(f"`{c}`") for c in docs.columns], "__pii_plan")
     replaced = planned.mapInArrow(run, schema)
-    rest = base.where(~hint).withColumn("entities", no_marks)
+    rest = base.where(~hint).withColumn(marks, no_marks)
     return rest.unionByName(replaced)
