@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import jaccard_join, line_dedup, packing, passages, quality_rules, surrogates
-from sensorloom.llm.common import read_table
+from sensorloom.llm.common import free_name, read_table
 from sensorloom.sources.scratch import materialize
 
+KEY_SETTING = "spark.sensorloom.surrogateKey"
 NO_BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -40,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks go, and documents of which nothing but blanks is left."""
     cleaned = line_dedup.remove_repeated_chunks(docs)
-    touched = F.col("chunks_removed") > 0
+    touched = F.col(f"`{free_name(docs, 'chunks_removed')}`") > 0
     left = cleaned.where(~touched | F.col("text").rlike(NO_BLANK))
     return _same_columns(left, docs, touched)
 
@@ -49,11 +50,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates stays; then repeated passages go,
     which line dedup leaves where they are no whole chunks.
 
-    In this order a near copy goes as a whole and leaves no scraps around its edits.
+    A near copy goes as a whole as far as line dedup, which runs before, has left its words; what
+    that stage has cut down may be too little to be like its original.
     """
     once = materialize(_one_of_each_group(docs), "one_of_each_group")
     cleaned = passages.remove_repeated_passages(once)
-    touched = F.col("passages_removed") > 0
+    touched = F.col(f"`{free_name(once, 'passages_removed')}`") > 0
     left = cleaned.where(~touched | F.col("text").rlike(NO_BLANK))
     return _same_columns(left, docs, touched)
 
@@ -84,10 +86,16 @@ def _one_of_each_group(docs: DataFrame) -> DataFrame:
     return marked.where("__repeated is null").unionByName(once).drop("__repeated")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of the surrogates: a setting of the session. Without one the name of the setting
+    serves, which keeps trial runs repeatable and nothing secret."""
+    return spark.conf.get(KEY_SETTING, KEY_SETTING)
+
+
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates."""
-    replaced = surrogates.replace_entities(docs)
-    return _same_columns(replaced, docs, F.size("entities") > 0)
+    replaced = surrogates.replace_entities(docs, surrogate_key(spark))
+    return _same_columns(replaced, docs, F.size(f"`{free_name(docs, 'entities')}`") > 0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
