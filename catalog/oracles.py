@@ -411,6 +411,10 @@ HAVING count(DISTINCT u) > 1 OR (count(DISTINCT u) > 0 AND count_if(u IS NULL) >
         "dense_sessions_plain": dense_digest,
         "dense_sessions_placed": dense_digest,
         "dense_sessions_salted": dense_digest,
+        "dense_session_medians": with_(SENSOR_EVENTS, DENSE, digest_sql("dense"))
+        + "SELECT session_id, sensor_type, "
+        + ", ".join(f"round({p}_p50, 6) AS {p}_p50" for p in SUMMARISED)
+        + " FROM digest",
         "odd_sensor_names": with_(*TRAIN_WIDE, LABELS.format("train"))
         + f"SELECT w.session_id, {odd_columns()}, l.user_id, 285::BIGINT AS n_features "
         "FROM wide w LEFT JOIN labels_ l ON l.session_id = w.session_id",

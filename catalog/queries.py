@@ -19,6 +19,7 @@ from sensorloom.operators.features import (
     with_magnitude,
 )
 from sensorloom.operators.layout import plan_layout
+from sensorloom.operators.medians import exact_medians, large_groups
 from sensorloom.operators.quality import (
     event_profile,
     find_mixed_user_sessions,
@@ -249,6 +250,15 @@ def dense_sessions_placed(events: DataFrame) -> DataFrame:
     return _dense(events, 10**12)
 
 
+@_on_events
+def dense_session_medians(events: DataFrame) -> DataFrame:
+    """Medians of all groups of dense sessions by narrowing, down to twenty values."""
+    dense = with_magnitude(views.dense_events(events))
+    sizes = dense.groupBy("session_id", "sensor_type").agg(F.count("*").alias("n_rows"))
+    groups = large_groups(sizes, ["session_id", "sensor_type"], above=0)
+    return rounded(exact_medians(dense, ["session_id", "sensor_type"], groups, ranked=20))
+
+
 @_on_events
 def dense_sessions_salted(events: DataFrame) -> DataFrame:
     """The same, every session hot and spread over salts."""

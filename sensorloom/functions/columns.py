@@ -55,7 +55,8 @@ def metric_aggregates(accuracy: int | None = None) -> list[Column]:
     partial aggregates. The median is a mergeable quantile summary: an actual
     element of the data whose rank is off by at most n / accuracy (10,000 by
     default) of n values. Which element within that bound depends on how the
-    group was spread over tasks; groups of some thousand values are exact.
+    group was spread over tasks; groups of some thousand values are exact, and the
+    feature operators replace the medians of larger ones.
 
     Written as SQL fragments: one call each instead of several per column object.
     """

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from sensorloom.functions.columns import (
     MEASUREMENTS,
     METRICS,
+    SUMMARISED,
     event_rate,
     magnitude,
     metric_aggregates,
     sensor_label,
 )
 from sensorloom.operators.layout import SessionLayout, aggregate_by_layout
+from sensorloom.operators.medians import BROADCAST_GROUPS, exact_medians, large_groups
 from sensorloom.operators.quality import get_sensor_types
 
 GRAIN = ["session_id", "sensor_type"]
@@ -42,6 +44,10 @@ def session_sensor_features(
     ``layout`` (from an event profile) decides how the events are spread; see
     :mod:`.layout`. ``carry_user`` adds the session's ``user_id``, valid once no
     session has two users.
+
+    Medians are exact, so they depend on no layout: small groups come out of the one
+    aggregate, for large ones see :mod:`.medians`. Without a layout the group sizes are counted
+    first. An ``accuracy`` asks for approximate medians instead, in one pass whatever the sizes.
     """
     label = ["user_id"] if carry_user else []
     aggregates = metric_aggregates(accuracy) + [F.max(c).alias(c) for c in label]
@@ -51,9 +57,36 @@ def session_sensor_features(
 
     used = events.select(*GRAIN, "timestamp", *MEASUREMENTS, *label)
     rows = aggregate(used) if layout is None else aggregate_by_layout(used, layout, aggregate)
+    if accuracy is None:
+        known = layout is not None and layout.sizes_known
+        large = layout.large_groups if known else _large(events)
+        if large is not None:
+            rows = _with_exact_medians(rows, used, large)
     return rows.withColumn("event_rate", event_rate()).select(*GRAIN, *METRICS, *label)
 
 
+def _large(events: DataFrame) -> tuple[DataFrame, int] | None:
+    sizes = events.groupBy(*GRAIN).agg(F.count("*").alias("n_rows"))
+    return large_groups(sizes, GRAIN)
+
+
+def _with_exact_medians(
+    rows: DataFrame, events: DataFrame, large: tuple[DataFrame, int]
+) -> DataFrame:
+    """``rows`` with the medians of large groups replaced by the exact ones."""
+    names = [f"{prefix}_p50" for prefix in SUMMARISED]
+    exact = exact_medians(with_magnitude(events), GRAIN, large)
+    exact = exact.toDF(*[f"g_{k}" for k in GRAIN], *[f"exact_{n}" for n in names])
+    same = F.lit(True)
+    for key in GRAIN:
+        same = same & F.col(key).eqNullSafe(F.col(f"g_{key}"))
+    joined = rows.join(F.broadcast(exact) if large[1] <= BROADCAST_GROUPS else exact, same, "left")
+    chosen = [
+        F.coalesce(f"exact_{c}", c).alias(c) if c in names else F.col(c) for c in rows.columns
+    ]
+    return joined.select(*chosen)
+
+
 def feature_name(sensor: str | None, metric: str) -> str:
     """``sensor_<type>_<metric>`` with the type as :func:`sensor_label` writes it."""
     return f"sensor_{sensor_label(sensor)}_{metric}"

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import MEASUREMENTS
+from sensorloom.operators.medians import large_groups
 from sensorloom.sources.scratch import materialize
 
 # Events of one session above which it is not put into one task.
@@ -39,11 +40,14 @@ BROADCAST_SESSIONS = 100_000
 @dataclass(frozen=True)
 class SessionLayout:
     """Hot sessions with their number of ``salts`` (None if there are none), how many
-    they are, and partitions (None: the session's setting)."""
+    they are, partitions (None: the session's setting), and the (session, sensor) groups that
+    are too large for a median summary (None if there are none, or unless ``sizes_known``)."""
 
     hot_sessions: DataFrame | None
     partitions: int | None
     n_hot: int = 0
+    large_groups: tuple[DataFrame, int] | None = None
+    sizes_known: bool = False
 
 
 def plan_layout(
@@ -65,8 +69,15 @@ def plan_layout(
     total = profile.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
     wanted = min(MAX_PARTITIONS, -(-total // ROWS_PER_PARTITION))
     default = int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_sensor = "sensor_type" in profile.columns
     # Below the session's own setting, adaptive execution picks the number.
-    return SessionLayout(hot if n_hot else None, wanted if wanted > default else None, n_hot)
+    return SessionLayout(
+        hot if n_hot else None,
+        wanted if wanted > default else None,
+        n_hot,
+        large_groups(profile, ["session_id", "sensor_type"]) if by_sensor else None,
+        by_sensor,
+    )
 
 
 def aggregate_by_layout(

@@ -89,25 +89,71 @@ def test_layout_grows_with_the_table(spark):
     assert plan_layout(profile.where("n_rows < 10")).partitions is None
 
 
-def test_medians_of_large_groups_keep_one_bound(spark):
-    """300,000 values per group: plain, placed and salted alike within n / accuracy."""
-    n, accuracy = 300_000, 10_000
+def test_medians_of_large_groups_are_exact_on_every_path(spark):
+    """300,000 values per group: plain, placed and salted find the same element."""
+    n = 300_000
     events = spark.range(2 * n).selectExpr(
         "cast(id AS string) AS uid",
         "id AS timestamp",
         "cast(id % 2 AS string) AS sensor_type",
         # A permutation of 0 .. n-1 for each sensor: a value is its own rank.
         f"cast((id div 2) * 7919 % {n} AS double) AS field_0",
-        *[f"cast(null AS double) AS field_{i}" for i in range(1, 8)],
+        # Half of the values are one; most of the rest lie close together.
+        f"if(id % 4 < 2, 1.5, exp(cast((id div 2) * 7919 % {n} AS double) / {n} * 40)) AS field_1",
+        "if(id % 3 = 0, null, -cast(id AS double)) AS field_2",
+        *[f"cast(null AS double) AS field_{i}" for i in range(3, 8)],
         "'s' AS session_id",
         "'u' AS user_id",
     )
     profile = event_profile(events, with_nulls=False)
     layouts = [None, SessionLayout(None, 6), plan_layout(profile, 50_000)]
-    assert layouts[2].hot_sessions is not None
+    assert layouts[2].hot_sessions is not None and layouts[2].large_groups[1] == 2
+    exact = events.groupBy("sensor_type").agg(
+        *[
+            F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").alias(c)
+            for c in ("field_0", "field_1", "field_2")
+        ]
+    )
+    expected = sorted(map(tuple, exact.collect()))
+    assert expected[0][1] == n / 2 - 1
+    found = ["sensor_type", "field_0_p50", "field_1_p50", "field_2_p50"]
     for layout in layouts:
-        for row in session_sensor_features(events, layout=layout).collect():
-            assert abs(row["field_0_p50"] - n / 2) <= n / accuracy + 1
+        rows = session_sensor_features(events, layout=layout).select(found).collect()
+        assert sorted(map(tuple, rows)) == expected
+
+
+def test_exact_medians_of_odd_values(spark, monkeypatch):
+    """Ties, infinite values, NaN, NULL keys and values over many magnitudes, ranked by narrowing."""
+    from sensorloom.operators import medians
+
+    for name, value in (("EXACT_ROWS", 0), ("RANKED_VALUES", 3), ("RANGES", 4)):
+        monkeypatch.setattr(medians, name, value)
+    inf, nan = math.inf, math.nan
+    columns = {
+        ("a", "1"): [3.0] * 7 + [1.0, 9.0],
+        ("b", "1"): [-inf, 2.0, inf, 5.0, 7.0, inf, -inf, 1.0],
+        ("b", None): [nan, nan, 4.0, 1.0, nan],
+        (None, "2"): [2.0**i for i in range(-30, 31)] + [-(3.0**i) for i in range(20)],
+        ("c", "2"): [None, None],
+        ("d", "2"): [None, 0.5, None, 0.25],
+        ("e", "2"): [1e308, -1e308, 1.7e308, 5.0, -1.7e308],
+    }
+    rows = [
+        (f"{i}", i, sensor, value, session)
+        for (session, sensor), values in columns.items()
+        for i, value in enumerate(values)
+    ]
+    events = spark.createDataFrame(
+        rows, "uid string, timestamp bigint, sensor_type string, field_0 double, session_id string"
+    ).withColumns({f"field_{i}": F.lit(None).cast("double") for i in range(1, 8)})
+    found = {
+        (r["session_id"], r["sensor_type"]): r["field_0_p50"]
+        for r in session_sensor_features(events).collect()
+    }
+    for key, values in columns.items():
+        known = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+        expected = known[(len(known) + 1) // 2 - 1] if known else None
+        assert repr(found[key]) == repr(expected), key
 
 
 def test_median_accuracy_is_passed_on(spark, make_events):
