@@ -298,6 +298,27 @@ SELECT model_a, model_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
        round(mean_difference, 6) AS mean_difference, w::DOUBLE AS wilcoxon_statistic,
        round(p_value, 6) AS p_value, p_value < 0.05 AS significant_at_0_05
 FROM with_p"""
+# Sign choices per doubled rank sum, one more rank (of ties the mean) per step and pair.
+EXACT_WITH_TIES = """, ordered AS (
+  SELECT model_a, model_b, cast(2 * low_rank + ties - 1 AS INT) AS doubled,
+         row_number() OVER (PARTITION BY model_a, model_b ORDER BY abs(difference), seed) AS r
+  FROM ranked),
+choices AS (
+  SELECT model_a, model_b, 0::BIGINT AS r, list_transform(range(0, 1400),
+         lambda i: CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS c
+  FROM means
+  UNION ALL
+  SELECT o.model_a, o.model_b, o.r, list_transform(range(0, 1400),
+         lambda s: (c[s + 1] + CASE WHEN s >= o.doubled THEN c[s - o.doubled + 1] ELSE 0.0 END)::DOUBLE)
+  FROM choices JOIN ordered o
+    ON o.model_a = choices.model_a AND o.model_b = choices.model_b AND o.r = choices.r + 1),
+exact_p AS (
+  SELECT t.*, least(1.0, 2 * list_sum(c[1:cast(floor(2 * w) AS BIGINT) + 1]) / pow(2, n)) AS p_value
+  FROM tested t JOIN choices USING (model_a, model_b) WHERE r = n)
+SELECT model_a, model_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
+       round(mean_difference, 6) AS mean_difference, w::DOUBLE AS wilcoxon_statistic,
+       round(p_value, 6) AS p_value, p_value < 0.05 AS significant_at_0_05
+FROM exact_p"""
 GRID_IDS = " ".join(
     f"WHEN '{m}' THEN {i}" for i, m in enumerate(sorted(MODEL_OF_SENSOR.values()))
 )
@@ -515,6 +536,10 @@ GROUP BY feature""",
         "wilcoxon_pair_ties": with_(
             SENSOR_EVENTS, scores_sql(2), WAYS, DIFFERENCES, SIGNED_RANKS, recursive=True
         ),
+        "wilcoxon_pair_exact_ties": with_(
+            SENSOR_EVENTS, scores_sql(2), WAYS, DIFFERENCES,
+            SIGNED_RANKS[: SIGNED_RANKS.index(",\nwith_p AS")] + EXACT_WITH_TIES, recursive=True,
+        ),
         "comparison_chart_data": with_(SENSOR_EVENTS, scores_sql(9), SUMMARY)
         + """SELECT cast(row_number() OVER (ORDER BY mean_macro_f1, model DESC) AS int) AS position,
        model, round(mean_macro_f1, 6) AS mean,

@@ -437,6 +437,13 @@ def wilcoxon_pair_ties(events: DataFrame) -> DataFrame:
     return rounded(signed_rank_test(paired_differences(views.score_table(events, 2), PAIRS)))
 
 
+@_on_events
+def wilcoxon_pair_exact_ties(events: DataFrame) -> DataFrame:
+    """The same scores with ties and zeros, exact p over all signs."""
+    differences = paired_differences(views.score_table(events, 2), PAIRS)
+    return rounded(signed_rank_test(differences, "exact"))
+
+
 @_on_events
 def comparison_chart_data(events: DataFrame) -> DataFrame:
     return rounded(comparison_chart(summarize_model_scores(views.score_table(events, 9))))
