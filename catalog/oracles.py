@@ -432,6 +432,14 @@ HAVING count(DISTINCT u) > 1 OR (count(DISTINCT u) > 0 AND count_if(u IS NULL) >
         "dense_sessions_plain": dense_digest,
         "dense_sessions_placed": dense_digest,
         "dense_sessions_salted": dense_digest,
+        "sparse_features": with_(SENSOR_EVENTS, digest_sql("sensor_events"),
+            "numbered AS (SELECT *, dense_rank() OVER (ORDER BY sensor_type) - 1 AS no FROM digest)",
+            "users AS (SELECT session_id, max(user_id) AS user_id FROM sensor_events GROUP BY 1)",
+            "entries AS (" + " UNION ALL ".join(
+                f"SELECT session_id, no * {len(METRICS)} + {i} AS index, {m}::DOUBLE AS value FROM numbered"
+                for i, m in enumerate(METRICS)) + ")")
+        + "SELECT session_id, user_id, index::BIGINT AS index, round(value, 6) AS value "
+        "FROM entries JOIN users USING (session_id) WHERE value IS NOT NULL AND value <> 0",
         "dense_session_medians": with_(SENSOR_EVENTS, DENSE, digest_sql("dense"))
         + "SELECT session_id, sensor_type, "
         + ", ".join(f"round({p}_p50, 6) AS {p}_p50" for p in SUMMARISED)

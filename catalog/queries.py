@@ -37,6 +37,7 @@ from sensorloom.operators.scoring import (
     signed_rank_test,
     summarize_model_scores,
 )
+from sensorloom.operators.sparse import sparse_session_features
 from sensorloom.operators.splits import (
     assemble,
     class_table,
@@ -292,6 +293,16 @@ def session_features_test(events: DataFrame) -> DataFrame:
     return rounded(build_session_features(views.test_part(events), False))
 
 
+@_on_events
+def sparse_features(events: DataFrame) -> DataFrame:
+    """The features of all sessions as (session, index, value), without a wide table."""
+    features = sparse_session_features(events, True)
+    entry = F.inline(F.arrays_zip("indices", "values"))
+    return rounded(features.vectors.select("session_id", "user_id", entry).toDF(
+        "session_id", "user_id", "index", "value"
+    ))
+
+
 @_on_events
 def aligned_train(events: DataFrame) -> DataFrame:
     return rounded(views.aligned_sides(events)[0])
