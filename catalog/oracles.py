@@ -14,6 +14,9 @@ from catalog.views import (
 
 # Spelled out here and not taken from the code under test.
 SEEDS = list(range(20))
+TRAIN_COLUMNS = [
+    "uid", "timestamp", "sensor_type", *[f"field_{i}" for i in range(8)], "session_id", "user_id",
+]
 PAIRS = [("RF", "GBT"), ("LR", "SVM"), ("RF", "Dummy_stratified")]
 SUMMARISED = {
     "field_0": "field_0", "field_1": "field_1", "field_2": "field_2", "field_3": "field_3",
@@ -432,6 +435,18 @@ HAVING count(DISTINCT u) > 1 OR (count(DISTINCT u) > 0 AND count_if(u IS NULL) >
         "dense_sessions_plain": dense_digest,
         "dense_sessions_placed": dense_digest,
         "dense_sessions_salted": dense_digest,
+        "bad_field_counts": train_rows.replace("SELECT * FROM train", "")
+        + """, bad AS (
+  SELECT count_if("timestamp" % 7 = 0) AS late, count_if(field_1 >= 90) AS much,
+         count_if("timestamp" % 7 = 0 OR coalesce(field_1 >= 90, false)) AS bad_lines FROM train)
+"""
+        + " UNION ALL ".join(
+            f"SELECT 'train' AS table_name, '{name}' AS column_name, ({count})::BIGINT AS n_bad FROM bad"
+            for name, count in [
+                *[(c, {"timestamp": "late", "field_1": "much"}.get(c, "0")) for c in TRAIN_COLUMNS],
+                ("bad_lines", "bad_lines"),
+            ]
+        ),
         "sparse_features": with_(SENSOR_EVENTS, digest_sql("sensor_events"),
             "numbered AS (SELECT *, dense_rank() OVER (ORDER BY sensor_type) - 1 AS no FROM digest)",
             "users AS (SELECT session_id, max(user_id) AS user_id FROM sensor_events GROUP BY 1)",

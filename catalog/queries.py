@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import views
@@ -48,6 +48,7 @@ from sensorloom.operators.splits import (
 from sensorloom.plans.experiment import run_experiment
 from sensorloom.plans.reports import FeatureTables, feature_job, validation_report
 from sensorloom.sources.events import (
+    bad_field_table,
     dataset_audit,
     load_test_data,
     load_train_data,
@@ -106,6 +107,27 @@ def csv_roundtrip_test(events: DataFrame) -> DataFrame:
     return load_test_data(spark, path)
 
 
+@_on_events
+def bad_field_counts(events: DataFrame) -> DataFrame:
+    """Training events with words for numbers, as CSV; what the profile's pass could not parse."""
+    spark = events.sparkSession
+    path = fresh_path(spark, "malformed_csv")
+    train = views.train_part(events)
+    late = F.col("timestamp") % 7 == 0
+    garbled = train.withColumns(
+        {
+            "timestamp": F.when(late, F.lit("late")).otherwise(F.col("timestamp").cast("string")),
+            "field_1": F.when(F.col("field_1") >= 90, F.lit("much")).otherwise(
+                F.col("field_1").cast("string")
+            ),
+        }
+    )
+    garbled.write.option("header", True).csv(path)
+    counted = Observation("train")
+    materialize(event_profile(load_train_data(spark, path, bad_fields=counted)), "profile")
+    return bad_field_table(spark, "train", counted)
+
+
 @_on_events
 def parquet_roundtrip_train(events: DataFrame) -> DataFrame:
     spark = events.sparkSession

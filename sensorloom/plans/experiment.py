@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators.estimators import (
@@ -30,7 +32,7 @@ from sensorloom.operators.scoring import (
 )
 from sensorloom.plans.reports import audit_of, feature_job_of, profile_both
 from sensorloom.session import build_session
-from sensorloom.sources.events import load_test_data, load_train_data
+from sensorloom.sources.events import bad_field_table, load_test_data, load_train_data
 from sensorloom.sources.predictions import write_predictions
 from sensorloom.sources.scratch import materialize
 
@@ -60,10 +62,14 @@ def run_experiment(
     seeds = list(range(int(config.get("evaluation", {}).get("n_seeds", 20))))
     random_state = int(config.get("model", {}).get("random_state", 42))
 
-    train, test = profile_both(
-        load_train_data(spark, data["train_path"], fmt),
-        load_test_data(spark, data["test_path"], fmt),
+    # The profile's pass counts the fields that could not be parsed; the next pass need not.
+    bad = {"train": Observation("train"), "test": Observation("test")} if fmt == "csv" else {}
+    noted = profile_both(
+        load_train_data(spark, data["train_path"], fmt, bad.get("train")),
+        load_test_data(spark, data["test_path"], fmt, bad.get("test")),
     )
+    train = replace(noted[0], events=load_train_data(spark, data["train_path"], fmt))
+    test = replace(noted[1], events=load_test_data(spark, data["test_path"], fmt))
     require_single_user_sessions(train.profile)
     unlabelled = train.profile.where(F.col("user_id").isNull() | F.col("session_id").isNull())
     if not unlabelled.isEmpty():
@@ -90,7 +96,9 @@ def run_experiment(
     submission = materialize(predict_users(final, tables.test, tables.features), "submission")
     write_predictions(submission, output["submission_path"])
 
+    bad_fields = [bad_field_table(spark, name, counted) for name, counted in bad.items()]
     return {
+        "bad_fields": reduce(DataFrame.unionByName, bad_fields) if bad_fields else None,
         "audit": audit_of({"train": train, "test": test}),
         "mixed_user_sessions": find_mixed_user_sessions(train.profile),
         "imbalance_ratio": imbalance(train.profile),

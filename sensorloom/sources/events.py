@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,16 @@ TRAIN_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in _COLUMNS.item
 TEST_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in _COLUMNS.items() if n != LABEL])
 
 
+# Holds a CSV line that does not fit the schema.
+_BAD_LINE = "_bad_line"
+
+
 def read_events(
-    spark: SparkSession, path: str, labelled: bool, fmt: str = "csv"
+    spark: SparkSession,
+    path: str,
+    labelled: bool,
+    fmt: str = "csv",
+    bad_fields: Observation | None = None,
 ) -> DataFrame:
     """Scan an event table under its fixed schema.
 
@@ -35,30 +43,61 @@ def read_events(
 
     Parquet: columns are found by name and cast to the schema; only the columns
     a query uses are read.
+
+    ``bad_fields`` counts on the way, in the first action on the table, per column the CSV
+    fields that were there and became NULL, and as ``bad_lines`` the lines with such a field or with
+    too few or too many fields. Every field is then parsed in that pass.
     """
     schema = TRAIN_SCHEMA if labelled else TEST_SCHEMA
     if fmt == "csv":
-        reader = spark.read.schema(schema).options(header=True, enforceSchema=False)
-        return reader.csv(path)
+        options = {"header": True, "enforceSchema": False}
+        if bad_fields is None:
+            return spark.read.schema(schema).options(**options).csv(path)
+        noted = T.StructType([*schema.fields, T.StructField(_BAD_LINE, T.StringType(), True)])
+        reader = spark.read.schema(noted).options(**options, columnNameOfCorruptRecord=_BAD_LINE)
+        return _counted(reader.csv(path), schema, bad_fields)
     if fmt == "parquet":
         return conform(spark.read.parquet(path), labelled)
     raise ValueError(f"unsupported event format: {fmt}")
 
 
+def _counted(lines: DataFrame, schema: T.StructType, bad_fields: Observation) -> DataFrame:
+    """Counts what could not be parsed while the lines pass by."""
+    texts = ", ".join(f"`{f.name}` string" for f in schema)
+    # Only lines that did not fit are taken apart once more.
+    raw = F.from_csv(F.col(_BAD_LINE), texts)
+    lost = [
+        F.count_if(raw[f.name].isNotNull() & F.col(f.name).isNull()).alias(f.name) for f in schema
+    ]
+    bad_lines = F.count_if(F.col(_BAD_LINE).isNotNull()).alias("bad_lines")
+    return lines.observe(bad_fields, *lost, bad_lines).drop(_BAD_LINE)
+
+
+def bad_field_table(spark: SparkSession, table_name: str, bad_fields: Observation) -> DataFrame:
+    """``table_name, column_name, n_bad``: what an observation of :func:`read_events` has counted;
+    waits for the first action on that table."""
+    rows = [(table_name, name, count) for name, count in bad_fields.get.items()]
+    return spark.createDataFrame(rows, "table_name string, column_name string, n_bad bigint")
+
+
 def conform(df: DataFrame, labelled: bool) -> DataFrame:
     """Select and cast any table that has the event columns to the event schema."""
     schema = TRAIN_SCHEMA if labelled else TEST_SCHEMA
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def load_train_data(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def load_train_data(
+    spark: SparkSession, path: str, fmt: str = "csv", bad_fields: Observation | None = None
+) -> DataFrame:
     """Labelled events (13 columns)."""
-    return read_events(spark, path, labelled=True, fmt=fmt)
+    return read_events(spark, path, True, fmt, bad_fields)
 
 
-def load_test_data(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def load_test_data(
+    spark: SparkSession, path: str, fmt: str = "csv", bad_fields: Observation | None = None
+) -> DataFrame:
     """Unlabelled events (12 columns)."""
-    return read_events(spark, path, labelled=False, fmt=fmt)
+    return read_events(spark, path, False, fmt, bad_fields)
 
 
 def write_events(df: DataFrame, path: str, fmt: str = "csv") -> None:

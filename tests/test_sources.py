@@ -2,14 +2,17 @@ import math
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from catalog.views import epoch_millis
 from sensorloom.operators.quality import event_profile, get_null_counts
 from sensorloom.plans.reports import audit_of, profile_events, validation_report
+from sensorloom.sources import predictions
 from sensorloom.sources.events import (
     TEST_SCHEMA,
     TRAIN_SCHEMA,
+    bad_field_table,
     dataset_audit,
     load_test_data,
     load_train_data,
@@ -17,7 +20,7 @@ from sensorloom.sources.events import (
     read_events,
     write_events,
 )
-from sensorloom.sources.predictions import write_predictions
+from sensorloom.sources.predictions import read_manifest, read_predictions, write_predictions
 from sensorloom.sources.scratch import (
     ScratchTables,
     delete_folder,
@@ -124,6 +127,72 @@ def test_predictions_are_sorted_csv_with_header(spark, tmp_path):
     assert lines == ["s1,u2", "s2,u1", "s3,u1"]
 
 
+def test_manifest_tells_what_was_written(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(f"s{i}", None if i % 7 == 0 else "" if i % 5 == 0 else f"u{i % 3}") for i in range(500)]
+    table = spark.createDataFrame(rows, "session_id string, user_id string").repartition(4)
+    write_predictions(table, path)
+    manifest = read_manifest(spark, path)
+    assert manifest["rows"] == 500 and manifest["columns"] == ["session_id", "user_id"]
+    assert read_predictions(spark, path).count() == 500
+    next(Path(path).glob("*.csv")).unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        read_predictions(spark, path)
+    write_predictions(table.limit(0), path)
+    assert read_predictions(spark, path).isEmpty()
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_killed_write_leaves_the_former_output_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    good = spark.createDataFrame([("s1", "u1"), ("s2", "u2")], "session_id string, user_id string")
+    write_predictions(good, path)
+    # Dies while writing: one row cannot be computed.
+    broken = spark.range(100).select(
+        F.col("id").cast("string").alias("session_id"),
+        F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise("u").alias("user_id"),
+    )
+    with pytest.raises(Exception, match="lost"):
+        write_predictions(broken, path)
+    assert sorted(map(tuple, read_predictions(spark, path).collect())) == [("s1", "u1"), ("s2", "u2")]
+
+    # Dies between staging and the rename.
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(predictions, "_swap", killed)
+        with pytest.raises(KeyboardInterrupt):
+            write_predictions(good.limit(1), path)
+    assert read_predictions(spark, path).count() == 2
+    write_predictions(good.limit(1), path)
+    assert read_predictions(spark, path).count() == 1
+
+
+def test_malformed_fields_are_counted_by_the_first_pass(spark, tmp_path):
+    header = ",".join(f.name for f in TRAIN_SCHEMA)
+    lines = [
+        "e1,10,4,1.0,2.0,3.0,,,,,,s1,u1",
+        "e2,ten,4,1.0,2.0,3.0,,,,,,s1,u1",
+        "e3,30,4,NaN,x,3.0,,,,,,s1,u1",
+        "e4,4x,4,1.0,y y,,,,,,,s2,u1",
+        "e5,50,4,1.0",
+        "e6,60,4,1.0,2.0,3.0,,,,,,s2,u1,more",
+    ]
+    (tmp_path / "events.csv").write_text("\n".join([header, *lines]) + "\n")
+    counted = Observation("events")
+    events = load_train_data(spark, str(tmp_path), bad_fields=counted)
+    assert events.columns == TRAIN_SCHEMA.names
+    plain = load_train_data(spark, str(tmp_path))
+    profile = event_profile(events).collect()
+    assert sorted(map(str, profile)) == sorted(map(str, event_profile(plain).collect()))
+    found = {r["column_name"]: r["n_bad"] for r in bad_field_table(spark, "train", counted).collect()}
+    expected = dict.fromkeys(TRAIN_SCHEMA.names, 0) | {"timestamp": 2, "field_1": 2, "bad_lines": 5}
+    assert found == expected
+    again = load_train_data(spark, str(tmp_path), bad_fields=Observation("again"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_scratch_uses_the_named_folder(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert fresh_path(spark, "t") != fresh_path(spark, "t")
