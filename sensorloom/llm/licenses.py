@@ -50,7 +50,7 @@ class Template:
     label: str
     words: str
     phrase: bool = False
-    # What makes a label sure besides the threshold: words that must be met, or one of
+    # What decides for the label besides the threshold: words that must be met, or one of
     # these sequences as it stands.
     must: tuple[str, ...] = ()
     forms: tuple[str, ...] = ()
@@ -286,9 +286,9 @@ def scan_licenses(
     """Per row of ``docs``: words, phrase places, labels and the best containment.
 
     ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` and
-    ``templates``, the names of all templates met. ``labels`` are those of all templates
-    within the threshold, so a text under one license may also get the label of a license that
-    differs in one word; ``sure_labels`` are those whose deciding words stand in the text.
+    ``templates``, the names of all templates met. ``near_labels`` are those of all templates
+    within the threshold, among them licenses that differ in one word from the text's; ``labels`` are
+    those whose deciding words stand there too.
     """
     templates = PHRASES + PASSAGES
     vocabulary = sorted({w for t in templates for w in t.words.split()})
@@ -347,8 +347,8 @@ def scan_licenses(
         "first_word",
         "last_word",
         F.coalesce(F.array_join(F.array_sort("base_set"), ","), F.lit("")).alias("base_labels"),
-        F.coalesce(F.array_join(F.array_sort("label_set"), ","), F.lit("")).alias("labels"),
+        F.coalesce(F.array_join(F.array_sort("sure_set"), ","), F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce(F.array_join("templates", ","), F.lit("")).alias("templates"),
-        F.coalesce(F.array_join(F.array_sort("sure_set"), ","), F.lit("")).alias("sure_labels"),
+        F.coalesce(F.array_join(F.array_sort("label_set"), ","), F.lit("")).alias("near_labels"),
     )

@@ -117,25 +117,27 @@ FROM parts
 """
 
 LICENSES = r"""
-WITH templates(name, label, words, phrase) AS (VALUES
-  ('gpl-name', 'gpl', 'gnu general public license', true),
-  ('apache-name', 'apache', 'apache license', true),
-  ('cc-by-name', 'cc-by', 'cc by', true),
-  ('mit-name', 'mit', 'mit license', true),
-  ('mit-grant', 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction', false),
-  ('bsd-grant', 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', false),
-  ('gpl-notice', 'gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation', false),
-  ('gpl-use', 'gpl', 'licensed under the gnu general public license version', false),
-  ('apache-notice', 'apache', 'licensed under the apache license version 2 0 you may not use this file except in compliance with the license', false),
-  ('apache-use', 'apache', 'licensed under the apache license version 2 0', false),
-  ('cc-by-nc-use', 'cc-by-nc', 'licensed under cc by nc 4 0', false),
-  ('cc-by-sa-use', 'cc-by-sa', 'licensed under cc by sa 4 0', false),
-  ('mit-use', 'mit', 'released under the mit license', false),
-  ('mpl-notice', 'mpl', 'this source code form is subject to the terms of the mozilla public license', false),
-  ('reserved', 'all-rights-reserved', 'all rights reserved', false)
+WITH templates(name, label, words, phrase, must, forms) AS (VALUES
+  ('gpl-name', 'gpl', 'gnu general public license', true, '', ''),
+  ('apache-name', 'apache', 'apache license', true, '', ''),
+  ('cc-by-name', 'cc-by', 'cc by', true, '', ''),
+  ('mit-name', 'mit', 'mit license', true, '', ''),
+  ('mit-grant', 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction', false, '', ''),
+  ('bsd-grant', 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', false, '', ''),
+  ('gpl-notice', 'gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation', false, 'gnu', ''),
+  ('gpl-use', 'gpl', 'licensed under the gnu general public license version', false, '', 'licensed under the gnu general public license version'),
+  ('apache-notice', 'apache', 'licensed under the apache license version 2 0 you may not use this file except in compliance with the license', false, 'apache', ''),
+  ('apache-use', 'apache', 'licensed under the apache license version 2 0', false, '', 'licensed under the apache license version 2 0'),
+  ('cc-by-nc-use', 'cc-by-nc', 'licensed under cc by nc 4 0', false, '', 'licensed under cc by nc 4 0|licensed under cc by nc sa 4 0|licensed under cc by nc nd 4 0'),
+  ('cc-by-sa-use', 'cc-by-sa', 'licensed under cc by sa 4 0', false, '', 'licensed under cc by sa 4 0|licensed under cc by nc sa 4 0'),
+  ('mit-use', 'mit', 'released under the mit license', false, '', 'released under the mit license'),
+  ('mpl-notice', 'mpl', 'this source code form is subject to the terms of the mozilla public license', false, 'mozilla', ''),
+  ('reserved', 'all-rights-reserved', 'all rights reserved', false, '', 'all rights reserved')
 ),
 t AS (
-  SELECT name, label, phrase, string_split(words, ' ') AS seq,
+  SELECT name, label, phrase, must, string_split(words, ' ') AS seq,
+         CASE WHEN forms = '' THEN [] ELSE
+           list_transform(string_split(forms, '|'), lambda f: string_split(f, ' ')) END AS forms,
          list_distinct(string_split(words, ' ')) AS ws
   FROM templates
 ),
@@ -150,7 +152,7 @@ blocks AS (
   FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + 63) // 64)) AS b FROM d)
 ),
 met AS (
-  SELECT k.doc_id, k.b, k.bw, t.name, t.label, t.phrase, t.seq,
+  SELECT k.doc_id, k.b, k.bw, t.name, t.label, t.phrase, t.seq, t.must, t.forms,
          len(list_intersect(t.ws, list_distinct(k.bw))) AS shared, len(t.ws) AS n
   FROM blocks k JOIN t
     ON len(list_intersect(t.ws, list_distinct(k.bw)))
@@ -159,7 +161,10 @@ met AS (
 placed AS (
   SELECT *, CASE WHEN phrase THEN
            list_filter(range(0, least(64, len(bw))), lambda i: bw[i + 1 : i + len(seq)] = seq)
-           ELSE [] END AS places
+           ELSE [] END AS places,
+         (must = '' OR list_contains(bw, must)) AND (len(forms) = 0 OR len(list_filter(forms,
+           lambda f: len(list_filter(range(0, least(64, len(bw))),
+                                     lambda i: bw[i + 1 : i + len(f)] = f)) > 0)) > 0) AS sure
   FROM met
 ),
 hits AS (
@@ -168,7 +173,8 @@ hits AS (
          min(b * 64 + list_min(places))::BIGINT AS first_word,
          max(b * 64 + list_max(places))::BIGINT AS last_word,
          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '') AS base_labels,
-         string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE sure), '') AS labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS near_labels,
          string_agg(DISTINCT name, ',' ORDER BY name) AS templates,
          max(shared / n) AS score
   FROM placed WHERE NOT phrase OR len(places) > 0 GROUP BY doc_id
@@ -176,7 +182,7 @@ hits AS (
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score,
-       coalesce(templates, '') AS templates
+       coalesce(templates, '') AS templates, coalesce(near_labels, '') AS near_labels
 FROM d LEFT JOIN hits USING (doc_id)
 """
 
