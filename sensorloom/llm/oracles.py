@@ -91,7 +91,8 @@ lines AS (
          s.speaker = p.perspective AS own,
          '<|im_start|>' || CASE WHEN s.speaker = p.perspective THEN 'assistant'
                                 WHEN s.speaker = 'system' THEN 'system'
-                                ELSE 'user name=' || replace(s.speaker, '<|', '<\|') END
+                                ELSE 'user name='
+           || replace(translate(s.speaker, chr(10) || chr(13), '  '), '<|', '<\|') END
            || chr(10) AS head,
          replace(s.content, '<|', '<\|') || '<|im_end|>' AS body
   FROM seats s JOIN perspectives p ON p.conv_id = s.conv_id

@@ -13,8 +13,8 @@ ever holds more than one part. Ordinary conversations have one part.
 Defined results: a message without a conversation or without a role is left out (it
 has no place or no speaker); a null text is an empty message; messages are ordered
 by turn, then role and text (nulls first), so ties and repeated rows have a fixed place
-and are all rendered; role names are trimmed and lower-cased, markers inside
-names and texts are escaped; conversations of system messages alone give no row; an empty table gives
+and are all rendered; role names are trimmed and lower-cased, line ends inside names become
+blanks, markers inside names and texts are escaped; conversations of system messages alone give no row; an empty table gives
 an empty one; other columns are not looked at.
 """
 
@@ -36,6 +36,11 @@ def _clean(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("<\\|"))
 
 
+def _name(speaker: Column) -> Column:
+    """A speaker as part of a header, which ends at the line end."""
+    return _clean(F.translate(speaker, "\n\r", "  "))
+
+
 def messages(conversations: DataFrame) -> DataFrame:
     """``conv_id, speaker, is_system, content, turn`` of the messages that take part."""
     role = F.lower(F.trim(F.col("role").cast("string")))
@@ -85,7 +90,7 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     header = (
         F.when(own, F.lit("assistant"))
         .when(is_system, F.lit("system"))
-        .otherwise(F.concat(F.lit("user name="), _clean(F.col("speaker"))))
+        .otherwise(F.concat(F.lit("user name="), _name(F.col("speaker"))))
     )
     lines = views.select(
         "conv_id",
