@@ -118,11 +118,11 @@ def pack(table: DataFrame, n_rows: int, n_features: int, n_classes: int, seeds:
     return Blocks(rdd, n_rows, n_features, n_classes, list(seeds))
 
 
-def summed(rdd: RDD, function: Callable[[Any], Any]) -> Any:
+def summed(rdd: RDD, function: Callable[[Any], Any], gathered: int = GATHERED) -> Any:
     """The sum of ``function`` over all blocks; None without blocks.
 
-    Each task adds up its own blocks; with many tasks, their sums are added up on the way
-    before the rest comes to the driver.
+    Each task adds up its own blocks; with many tasks, their sums are added up on the way, about
+    ``gathered`` by a task, before at most as many come to the driver.
     """
 
     def of_task(blocks: Iterable[Any]) -> Iterator[Any]:
@@ -135,8 +135,8 @@ def summed(rdd: RDD, function: Callable[[Any], Any]) -> Any:
 
     parts = rdd.mapPartitions(of_task)
     n = rdd.getNumPartitions()
-    while n > GATHERED:
-        n = -(-n // GATHERED)
+    while n > gathered:
+        n = -(-n // gathered)
         parts = _merged(parts, n)
     total = None
     for part in parts.collect():

@@ -29,9 +29,11 @@ from sensorloom.operators.blocks import Block, Blocks, predicted, summed
 MEMORY = 10
 # A problem is solved when no part of its gradient, per training row, is above this.
 TOLERANCE = 1e-6
-# Up to so many features second derivatives are summed, and so many bytes of them in one pass.
+# Up to so many features second derivatives are summed, so many bytes of them in one pass, and
+# so many such sums are held together.
 NEWTON_FEATURES = 1000
-NEWTON_BYTES = 64 << 20
+NEWTON_BYTES = 16 << 20
+NEWTON_SUMS = 8
 # Share of the predicted decrease that a step has to bring, and how often it may be cut.
 ARMIJO, CUTS = 1e-4, 30
 
@@ -263,7 +265,7 @@ def fit_svm(
                 out[p] = rows.T @ rows
             return out
 
-        sums = summed(blocks.rdd, of_block)
+        sums = summed(blocks.rdd, of_block, NEWTON_SUMS)
         for p, s in enumerate(split):
             # From plain rows to scaled ones.
             change = np.diag(np.append(scales.inverse[s], 1.0))
