@@ -148,3 +148,35 @@ def test_nothing_varies(spark):
     packed = blocks_of.pack(made.drop("x"), 30, 2, 2, [])
     forest = forests.fit_forest(packed, bin_edges(made, 2, 8), 5)
     assert {r["prediction"] for r in forest.transform(made.drop("x")).collect()} == {0.0}
+    spread = forests.fit_forest(packed, bin_edges(made, 2, 8), 5, broadcast_bytes=0)
+    assert spread.depths() == [0] * 5
+
+
+def test_rows_that_soon_are_pure_are_not_sent(spark, monkeypatch):
+    """A table whose classes part at the root: counts alone grow the trees, whatever a task may hold."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 4)) + 10.0 * (np.arange(6000) % 2)[:, None]
+    edges = [np.quantile(x[:, f], np.arange(1, 32) / 32) for f in range(4)]
+    parts = [
+        blocks_of.Block(
+            str(i), np.arange(i, 6000, 6).astype(np.uint64) << np.uint64(20),
+            (np.arange(i, 6000, 6) % 2).astype("<i4"), x[i::6], np.zeros((0, 1000), bool),
+        )
+        for i in range(6)
+    ]
+    packed = blocks_of.Blocks(spark.sparkContext.parallelize(parts, 2), 6000, 4, 2, [])
+    here = forests.fit_forest(packed, edges, 5, seed=1)
+    sent = []
+    finish = forests._Top._finish
+    monkeypatch.setattr(
+        forests._Top, "_finish", lambda top, nodes: (sent.extend(nodes), finish(top, nodes))
+    )
+    spread = forests.fit_forest(packed, edges, 5, seed=1, broadcast_bytes=0)
+    assert sum(node.n_rows for node in sent) < 6000
+    for tree in range(5):
+        assert shape(spread, tree) == shape(here, tree)
+
+
+def test_counts_travel_in_few_bytes():
+    assert forests.narrow(np.array([3, 200])).dtype == np.uint8
+    assert forests.added(np.array([200], np.uint8), np.array([100], np.uint8)).tolist() == [300]
