@@ -180,3 +180,23 @@ def test_no_nested_loops(spark, plan_text):
     for df in (splits, most_frequent_predictions(splits), stratified_predictions(splits)):
         plan = plan_text(df)
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_large_sides_of_joins_stay_off_the_driver(spark, tmp_path, plan_text):
+    """Small on disk, but many rows: such tables are not broadcast."""
+    n_users, seeds = 6000, list(range(20))
+    named = F.concat(F.lit("u"), F.col("id") % n_users)
+    rows = spark.range(2 * n_users).select(
+        F.concat(named, F.lit("-"), F.floor(F.col("id") / n_users)).alias("session_id"),
+        named.alias("user_id"),
+    )
+    rows.write.parquet(f"{tmp_path}/sessions")
+    sessions = spark.read.parquet(f"{tmp_path}/sessions")
+    splits = stratified_splits(sessions, seeds, test_size=0.5)
+    plan = plan_text(splits)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    splits.write.parquet(f"{tmp_path}/splits")
+    drawn = stratified_predictions(spark.read.parquet(f"{tmp_path}/splits"))
+    # The number of training rows per seed goes to all machines, nothing else.
+    assert plan_text(drawn).count("BroadcastHashJoin") == 1
+    assert drawn.count() == n_users * len(seeds)
