@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -33,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
-from sensorloom.llm.common import map_slices, texts_of, type_of
+from sensorloom.llm.common import byte_slices, map_slices, texts_of, type_of
 from sensorloom.llm.token_counts import load_tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
@@ -287,52 +288,77 @@ def offset_table(path: str) -> OffsetTable:
     return OffsetTable(strings)
 
 
+def _encoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    """``doc_id`` and ``ids`` of a batch of ``doc_id, text``."""
+    encoder = text_encoder(path)
+    packed = [encoder.encode(text) for text in batch.column("text").to_pylist()]
+    ends = np.zeros(len(packed) + 1, dtype=np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=ends[1:])
+    values = np.frombuffer(b"".join(packed), dtype=np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+
+
+def _id_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that no piece holds much more than ``SLICE_IDS`` ids."""
+    sizes = pa.compute.list_value_length(batch.column("ids")).to_pylist()
+    start, held = 0, 0
+    for row, size in enumerate(sizes):
+        if row > start and held + (size or 0) > SLICE_IDS:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _decoded(whole: pa.RecordBatch, path: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id``, ``ids`` and ``text`` of a batch of ``doc_id, ids``, in pieces."""
+    table = offset_table(path)
+    for batch in _id_slices(whole):
+        ids = batch.column("ids")
+        texts = []
+        for row in range(len(ids)):
+            one = ids[row].values
+            found = table.join(one.to_numpy(zero_copy_only=False)) if one is not None else b""
+            texts.append(found[:-1].decode("utf-8"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), ids, pa.array(texts, pa.string())],
+            names=["doc_id", "ids", "text"],
+        )
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) per row of ``docs``."""
     path = path or public_tokenizers.path(TOKENIZER)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = text_encoder(path)
-        packed = [encoder.encode(text) for text in batch.column("text").to_pylist()]
-        ends = np.zeros(len(packed) + 1, dtype=np.int32)
-        np.cumsum([len(p) // 4 for p in packed], out=ends[1:])
-        values = np.frombuffer(b"".join(packed), dtype=np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
-
     schema = f"doc_id {type_of(docs, 'doc_id')}, ids array<int>"
-    return map_slices(texts_of(docs), "text", run, schema)
+    return map_slices(texts_of(docs), "text", lambda batch: _encoded(batch, path), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id``, ``ids`` and ``text`` for rows of ``doc_id, ids``; null ids are none."""
     path = path or public_tokenizers.path(TOKENIZER)
 
-    def slices(batches):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch.column("ids")).to_pylist()
-            start, held = 0, 0
-            for row, size in enumerate(sizes):
-                if row > start and held + (size or 0) > SLICE_IDS:
-                    yield batch.slice(start, row - start)
-                    start, held = row, 0
-                held += size or 0
-            if start < batch.num_rows:
-                yield batch.slice(start)
-
-    def run(batches):
-        table = offset_table(path)
-        for batch in slices(batches):
-            ids = batch.column("ids")
-            texts = []
-            for row in range(len(ids)):
-                one = ids[row].values
-                found = table.join(one.to_numpy(zero_copy_only=False)) if one is not None else b""
-                texts.append(found[:-1].decode("utf-8"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), ids, pa.array(texts, pa.string())],
-                names=["doc_id", "ids", "text"],
-            )
+            yield from _decoded(batch, path)
 
     schema = f"doc_id {type_of(encoded, 'doc_id')}, ids array<int>, text string"
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one Python function.
+
+    Two functions in a row are two Python processes per core, and as processes are used again
+    for either, both come to hold the encoder's tables.
+    """
+    path = path or public_tokenizers.path(TOKENIZER)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in byte_slices(batch, "text"):
+                yield from _decoded(_encoded(piece, path), path)
+
+    schema = f"doc_id {type_of(docs, 'doc_id')}, ids array<int>, text string"
+    return texts_of(docs).mapInArrow(run, schema)

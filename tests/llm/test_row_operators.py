@@ -153,6 +153,17 @@ def test_round_trip_of_odd_rows(with_clashes, odd_rows):
         expected[doc_id, tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
     assert Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in rows) == expected
     assert bpe.encode(with_clashes.limit(0)).count() == 0
+    both = bpe.round_trip(with_clashes)
+    assert sorted(map(str, both.collect())) == sorted(map(str, rows))
+    assert bpe.round_trip(with_clashes.limit(0)).count() == 0
+
+
+def test_one_python_process_a_core_for_the_round_trip(spark, sf_dir):
+    """Processes are used again for any function, so a second one would hold the tables too."""
+    from sensorloom.llm.registry import op7_bpe_round_trip
+
+    plan = op7_bpe_round_trip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
 
 
 def test_decoding_null_and_unknown_ids(spark):
