@@ -175,3 +175,29 @@ def test_draws_are_shares_and_independent_of_layout():
     first, second = (boosting.chosen(keys, 4, r, 0.9) for r in (0, 1))
     assert abs(first.mean() - 0.9) < 0.01 and abs((first & second).mean() - 0.81) < 0.01
     assert (boosting.chosen(keys[::-1], 4, 0, 0.9) == first[::-1]).all()
+
+
+@pytest.mark.parametrize("n_bins, width", [(7, 5), (7, 4), (100, 3)])
+def test_one_pass_over_the_rows_counts_two_features(monkeypatch, n_bins, width):
+    rng = np.random.default_rng(5)
+    n = 300
+    bins = rng.integers(0, n_bins, (n, width)).astype(np.uint8)
+    block = boosting.BinnedBlock(
+        "b", rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(0, 2, n), bins,
+        rng.random((1, n)) < 0.2, rng.normal(size=(1, n, 2)), 0,
+    )
+    state = boosting.State(block, n_bins, [4], 0.8)
+    state.node[0, 1] = rng.integers(1, 4, n)
+    passes = []
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: passes.append(1) or count(*a))
+    sums = state.histograms(np.array([0, 1, 1]), np.array([0, 3, 1]))
+    monkeypatch.undo()
+    for at, (k, node) in enumerate([(0, 0), (1, 3), (1, 1)]):
+        rows = state.members[0][state.node[0, k][state.members[0]] == node]
+        for i, values in enumerate((state.gradients, state.hessians)):
+            for f in range(width):
+                plain = np.bincount(bins[rows, f], values[0, k][rows], n_bins)
+                assert (sums[at, i, f] == plain).all()
+    # Gradients and Hessians of two trees.
+    assert len(passes) == 4 * (-(-width // 2) if n_bins == 7 else width)

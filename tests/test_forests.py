@@ -180,3 +180,19 @@ def test_rows_that_soon_are_pure_are_not_sent(spark, monkeypatch):
 def test_counts_travel_in_few_bytes():
     assert forests.narrow(np.array([3, 200])).dtype == np.uint8
     assert forests.added(np.array([200], np.uint8), np.array([100], np.uint8)).tolist() == [300]
+
+
+def test_nodes_look_at_columns_and_copy_no_rows():
+    rng = np.random.default_rng(8)
+    n, width = 500, 12
+    bins = rng.integers(0, 6, (n, width)).astype(np.uint8)
+    labels, times = rng.integers(0, 3, n), rng.poisson(1.0, n)
+    p = forests.GrowParams(None, 1, 4, 6, 3, False, np.arange(width))
+    rows, some = np.flatnonzero(times)[::2], np.array([7, 0, 3])
+    plain = forests.counts_of(bins[rows[:, None], some], labels[rows], times[rows], p)
+    assert (forests.counts_at(bins, rows, some, labels, times, p) == plain).all()
+    # Rows that are not in the bag change nothing, whatever the order of memory.
+    kept = np.flatnonzero(times)
+    whole = forests.grow_locally(np.asfortranarray(bins), labels, times, 9, 0, np.ones(3), p)
+    part = forests.grow_locally(bins[kept], labels[kept], times[kept], 9, 0, np.ones(3), p)
+    assert (whole.feature, whole.bin, whole.left) == (part.feature, part.bin, part.left)
