@@ -86,8 +86,13 @@ SYLLABLES = {
 }
 
 _FOUND = [(kind, re.compile(pattern)) for kind, pattern in PATTERNS]
-# A text without a digit, an @, a prefix of a key or a form of address holds no entity.
-_HINT = r"[0-9@]|AKIA|ASIA|sk-|gh[pousr]_|(?i)(password|passwd|pwd|token|secret|api[_-]?key)|(Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|Mme)\b"
+# A text without a digit, an @, a prefix of a key or a form of address holds no entity. Few places
+# of a text begin like one by their first two letters; only there the words are tried.
+_HINT = (
+    r"[0-9@]|(?=[AaFfgHhMmPpSsTt][AaEehIiKkMmOoPpRrSsWw])"
+    r"(?:AKIA|ASIA|sk-|gh[pousr]_|(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)"
+    r"|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|Mme)\b)"
+)
 
 
 def luhn_digit(digits: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, packing, quality_rules, token_counts
+from sensorloom.llm import bpe, packing, quality_rules, surrogates, token_counts
 
 
 def library(name: str):
@@ -271,3 +272,41 @@ def test_ranks_in_bins_give_the_same_plan(documents, sentence, monkeypatch):
     assert binned.count() == 60 and places.count() == 60
     used = binned.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert used <= 1024
+
+
+# --- texts that may hold an entity ---
+
+PLAIN_HINT = (
+    r"[0-9@]|AKIA|ASIA|sk-|gh[pousr]_|(?i)(password|passwd|pwd|token|secret|api[_-]?key)"
+    r"|(Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|Mme)\b"
+)
+
+
+def test_texts_of_words_are_passed_by_quickly(spark):
+    parts = [
+        "AKIA", "akia", "ASIA", "sk-", "SK-", "sK", "ghp_", "GHP_", "gho", "Password", "pASSWD", "PwD", "ToKen",
+        "K", "SECRET", "API-KEY", "apikey", "api_key", "mR", "MRS", "items", "MISS", "hErr", "FRAU", "SEÑOR",
+        "Señora", "señ", "MONSIEUR", "Madame", "mme", "M", "a", "s", "x", " ", "\n", "4", "@", "é",
+    ]
+    rng = random.Random(6)
+    texts = parts + ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(3000)]
+    regex = spark._jvm.java.util.regex.Pattern
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = table.select(
+        table.text.rlike(surrogates._HINT).alias("new"), table.text.rlike(PLAIN_HINT).alias("plain")
+    )
+    rows = found.collect()
+    assert all(r["new"] == r["plain"] for r in rows) and {r["new"] for r in rows} == {True, False}
+
+    text = "several plain words stand here, the same again; nothing hides among them " * 20_000
+
+    def seconds(pattern):
+        matcher = regex.compile(pattern).matcher(text)
+        best = 1e9
+        for _ in range(5):
+            start = time.perf_counter()
+            assert not matcher.reset().find()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(surrogates._HINT) < 0.75 * seconds(PLAIN_HINT)
