@@ -20,6 +20,7 @@ import base64
 import bisect
 import re
 import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -45,8 +46,6 @@ SLOTS_PER_ROW = 10_000
 
 # Printable ASCII and Latin letters: both libraries agree on what is a letter.
 _SIMPLE = re.compile("[!-~À-ɏ]*")
-# Anything but single blanks and line ends between words goes to the library whole.
-_UNUSUAL = re.compile(r"\s\s|[^\S \n]|^\s|\s$|<\|")
 
 
 class ChunkEncoder:
@@ -70,6 +69,10 @@ class ChunkEncoder:
             mergeable_ranks=ranks,
             special_tokens={},
         )
+        # Bytes of each token.
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
         self.kept = kept
         self.line_end = self._whole("\n")
         self.heads: dict[str, bytes] = {}
@@ -79,30 +82,58 @@ class ChunkEncoder:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, word: str, table: dict[str, bytes]) -> bytes:
-        chunk = word if table is self.heads else " " + word
-        if _SIMPLE.fullmatch(word):
-            ids = np.array(self.fast.encode_ordinary(chunk), dtype="<u4").tobytes()
-        else:
-            ids = self._whole(chunk)
-        if len(table) >= self.kept:
+    def _learn(self, words: Iterable[str], table: dict[str, bytes]) -> None:
+        """Ids of new words, the simple ones of them by one call on all."""
+        words = list(words)
+        if len(table) + len(words) > self.kept:
             table.clear()
-        table[word] = ids
-        return ids
+        blank = "" if table is self.heads else " "
+        simple = []
+        for word in words:
+            if not _SIMPLE.fullmatch(word):
+                table[word] = self._whole(blank + word)
+            elif blank:
+                simple.append(word)
+            else:
+                table[word] = np.array(self.fast.encode_ordinary(word), "<u4").tobytes()
+        if not simple:
+            return
+        # A blank starts a new pre-token, so the tokens of each word fill its bytes.
+        sizes = [len(word) + 1 if word.isascii() else len(word.encode()) + 1 for word in simple]
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(simple)), "<u4")
+        reached, wanted = self.sizes[ids].cumsum(), np.cumsum(sizes)
+        last = reached.searchsorted(wanted)
+        if not np.array_equal(reached[last], wanted):
+            raise ValueError("words and tokens do not end together")
+        packed, at = ids.tobytes(), 0
+        for word, end in zip(simple, (4 * (last + 1)).tolist()):
+            table[word] = packed[at:end]
+            at = end
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as packed little-endian unsigned 32-bit integers."""
-        if _UNUSUAL.search(text):
+        words = text.replace("\n", " ").split(" ")
+        # Anything but single blanks and line ends between words goes to the library whole.
+        if words != text.split() or "<|" in text:
             return self._whole(text)
-        heads, tails = self.heads, self.tails
-        found: list[bytes] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            first = words[0]
-            found.append(heads.get(first) or self._learn(first, heads))
-            found += [tails.get(w) or self._learn(w, tails) for w in words[1:]]
-            found.append(self.line_end)
-        found.pop()
+        heads = [line.partition(" ")[0] for line in text.split("\n")]
+        tails, first = self.tails, self.heads
+        missing = {word for word in words if word not in tails}
+        if missing:
+            if len(tails) + len(missing) > self.kept:
+                missing = set(words)
+            self._learn(missing, tails)
+        missing = {word for word in heads if word not in first}
+        if missing:
+            if len(first) + len(missing) > self.kept:
+                missing = set(heads)
+            self._learn(missing, first)
+        found = list(map(tails.__getitem__, words))
+        at = 0
+        for i, line in enumerate(text.split("\n")):
+            ids = first[heads[i]]
+            found[at] = self.line_end + ids if i else ids
+            at += line.count(" ") + 1
         return b"".join(found)
 
 

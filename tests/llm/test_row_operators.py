@@ -189,6 +189,25 @@ def test_chunk_encoder_equals_the_library():
         assert found == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_of_a_text_are_encoded_in_one_call():
+    encoder = packing.ChunkEncoder(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    )
+    calls, fast = [], encoder.fast
+
+    class Counting:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return fast.encode_ordinary(text)
+
+    encoder.fast = Counting()
+    text = "Zürich's (first) words\nand don't\nstop " + " ".join(f"w{i}x-{i}," for i in range(500))
+    found = np.frombuffer(encoder.encode(text), dtype="<u4").tolist()
+    assert found == library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+    # One for the words and one for each first word of a line.
+    assert len(calls) == 4
+
+
 def test_cut_points():
     assert packing.cut_points(0, 4) == [(0, 0)]
     assert packing.cut_points(4, 4) == [(0, 4)]
