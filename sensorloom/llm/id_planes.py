@@ -123,7 +123,15 @@ class PieceTable:
                 at = end
 
     def _learn(self, pieces: list[str]) -> None:
-        cut = [_WORD.findall(p.lower()) if _SIMPLE.fullmatch(p) else None for p in pieces]
+        # Most pieces are one word of plain letters.
+        cut = [
+            [p.lower()]
+            if p.isalpha() and p.isascii()
+            else _WORD.findall(p.lower())
+            if _SIMPLE.fullmatch(p)
+            else None
+            for p in pieces
+        ]
         words = set()
         for found in cut:
             if found:
@@ -176,9 +184,11 @@ class PieceTable:
         lengths = self.lengths[slots]
         behind = np.cumsum(lengths)
         n_ids = np.diff(behind[ends], prepend=0)
-        at = np.repeat(self.starts[slots] - (behind - lengths), lengths)
-        at += np.arange(len(at))
-        return self.pool[at], n_ids
+        # Of a slice of texts and a bounded pool, so places fit 32 bits but for one huge text.
+        kind = np.int32 if max(len(self.pool), int(behind[-1])) < 1 << 31 else np.int64
+        at = np.repeat((self.starts[slots] - (behind - lengths)).astype(kind), lengths)
+        at += np.arange(len(at), dtype=kind)
+        return self.pool.take(at), n_ids
 
 
 @lru_cache(maxsize=2)

@@ -45,6 +45,22 @@ def test_piece_table_equals_the_library():
         assert ids.tolist() == [i for t in some for i in expected_ids(t)]
 
 
+def test_plain_words_are_taken_as_they_are(monkeypatch):
+    pieces = id_planes.PieceTable(public_tokenizers.path(id_planes.TOKENIZER))
+    looked_at, simple = [], id_planes._SIMPLE
+
+    class Noting:
+        def fullmatch(self, piece):
+            looked_at.append(piece)
+            return simple.fullmatch(piece)
+
+    monkeypatch.setattr(id_planes, "_SIMPLE", Noting())
+    texts = ["Plain WORDS of letters\nand lines", "one (more) é word2", "İx K", ""]
+    ids, n_ids = pieces.encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for t in texts for i in expected_ids(t)]
+    assert sorted(looked_at) == sorted(["(more)", "é", "word2", "İx"])
+
+
 @pytest.mark.parametrize("kind", [id_planes.BYTES, id_planes.BITS])
 def test_planes_round_trip(kind):
     rng = np.random.default_rng(1)
