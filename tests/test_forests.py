@@ -196,3 +196,26 @@ def test_nodes_look_at_columns_and_copy_no_rows():
     whole = forests.grow_locally(np.asfortranarray(bins), labels, times, 9, 0, np.ones(3), p)
     part = forests.grow_locally(bins[kept], labels[kept], times[kept], 9, 0, np.ones(3), p)
     assert (whole.feature, whole.bin, whole.left) == (part.feature, part.bin, part.left)
+
+
+def test_limits_leave_a_part_of_the_same_trees(packed, edges):
+    deep = forests.fit_forest(packed, edges, 6, seed=5, balanced=True)
+    for n_trees, depth in ((6, 3), (4, None), (2, 1)):
+        grown = forests.fit_forest(packed, edges, n_trees, depth, seed=5, balanced=True)
+        left = forests.limited(deep, n_trees, depth)
+        assert left.depths() == grown.depths()
+        assert [shape(left, t) for t in range(n_trees)] == [shape(grown, t) for t in range(n_trees)]
+
+
+def test_features_that_do_not_vary_take_no_bytes(packed, edges, monkeypatch):
+    """The size that decides the plan is that of the features that trees can cut."""
+    monkeypatch.setattr(forests, "_Top", None)
+    padded = blocks_of.Blocks(
+        packed.rdd.map(
+            lambda b: b._replace(x=np.hstack([b.x, np.ones((len(b.x), 90))]))
+        ),
+        N, WIDTH + 90, CLASSES, [0],
+    )
+    more = edges + [np.zeros(0)] * 90
+    forest = forests.fit_forest(padded, more, 3, seed=1, broadcast_bytes=N * WIDTH)
+    assert max(f.max() for f in forest.feature) < WIDTH

@@ -111,3 +111,15 @@ def test_grid_points_resume(spark, holdout, tmp_path, monkeypatch):
 
     monkeypatch.setattr(est, "forest", broken)
     assert sorted(est.grid_scores(holdout, est.LIGHT, ledger).collect()) == first
+
+
+def test_grid_points_that_differ_in_limits_share_their_trees(holdout, monkeypatch):
+    fit, sizes = est.fit_forest, []
+    monkeypatch.setattr(est, "fit_forest", lambda *a: sizes.append(a[2:4]) or fit(*a))
+    points = [est.ForestParams(3, 2), est.ForestParams(6, None), est.ForestParams(5, 4, "sqrt", 3)]
+    shared = est.grid_forests(holdout, points, holdout.seeds[0], est.LIGHT)
+    assert sizes == [(6, None), (5, 4)]
+    x = np.concatenate([b.x for b in holdout.blocks(holdout.seeds).rdd.collect()])
+    for params, forest in zip(points, shared):
+        alone = est.forest(holdout, params, holdout.seeds[0], est.LIGHT, True)
+        assert (alone.margins(x) == forest.margins(x)).all()
