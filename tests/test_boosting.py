@@ -201,3 +201,26 @@ def test_one_pass_over_the_rows_counts_two_features(monkeypatch, n_bins, width):
                 assert (sums[at, i, f] == plain).all()
     # Gradients and Hessians of two trees.
     assert len(passes) == 4 * (-(-width // 2) if n_bins == 7 else width)
+
+
+def test_small_blocks_are_gathered_without_the_rows_held_out(spark, table, packed):
+    """A pass costs a block some milliseconds whatever its rows, so a partition has one."""
+    edges = boosting.bin_edges(table, WIDTH, 16)
+    x, y, keys, held = row_order(packed)
+    pieces = [
+        blocks_of.Block(str(i), keys[i::30], y[i::30], x[i::30], held[:1, i::30]) for i in range(30)
+    ]
+    many = blocks_of.Blocks(spark.sparkContext.parallelize(pieces, 15), N, WIDTH, CLASSES, [3])
+    found = boosting.gathered(many, edges, 16).glom().map(len).collect()
+    assert sum(found) <= spark.sparkContext.defaultParallelism and max(found) == 1
+    rows = boosting.gathered(many, edges, 16).map(lambda b: len(b.labels)).sum()
+    assert rows == N - held[0].sum()
+
+
+@pytest.mark.parametrize("n_bins", [7, 100])
+def test_cells_tell_bins(n_bins):
+    bins = np.random.default_rng(6).integers(0, n_bins, (400, 5)).astype(np.uint8)
+    cells, rows = boosting.paired(bins, n_bins), np.arange(0, 400, 3)
+    for f in range(5):
+        for limit in (0, 3, n_bins - 2):
+            assert (cells.above(f, limit, rows) == (bins[rows, f] > limit)).all()
