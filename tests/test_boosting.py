@@ -224,3 +224,28 @@ def test_cells_tell_bins(n_bins):
     for f in range(5):
         for limit in (0, 3, n_bins - 2):
             assert (cells.above(f, limit, rows) == (bins[rows, f] > limit)).all()
+
+
+def test_features_with_few_bins_share_a_pass(table, packed, monkeypatch):
+    """Groups by the bins that features have: fewer columns than pairs, and the same model."""
+    edges = boosting.bin_edges(table, WIDTH, 16)
+    plain = boosting.fit_boosted_trees(packed, edges, PARAMS)
+    monkeypatch.setattr(boosting, "GROUP_ROWS", 1)
+    bins = np.random.default_rng(2).integers(0, 5, (50, 6)).astype(np.uint8)
+    cells = boosting.grouped(bins, [np.arange(4.0)] * 6, 17)
+    assert len(cells.columns) == 2 < len(boosting.paired(bins, 17).columns)
+    for f in range(6):
+        for limit in range(4):
+            assert (cells.above(f, limit, np.arange(50)) == (bins[:, f] > limit)).all()
+    # In this process, as tasks have a module of their own.
+    n_features, n_classes = packed.n_features, packed.n_classes
+    for s, model in enumerate(plain):
+        whole = boosting.binned(packed, edges).collect()
+        one = boosting.joined(whole)
+        one = boosting.without_held(one._replace(held=one.held[s : s + 1], margins=one.margins[:1]))
+        grower = boosting.Here(one, model.seed, n_features, n_classes, edges, PARAMS)
+        assert max(map(len, grower.state.cells.groups)) > 2
+        for _ in range(PARAMS.rounds):
+            grower.grow()
+        values = np.array([[tree.values for tree in trees] for trees in grower.rounds])
+        assert (values == model.values).all()
